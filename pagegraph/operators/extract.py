@@ -238,8 +238,8 @@ def snapshot(pages: DataFrame, matches: DataFrame | None = None, clustered: bool
     )
 
 
-def summary_text(snap: DataFrame, query: Column) -> Column:
-    """The fixed-layout report of a snapshot (``query`` is the query text)."""
+def summary_text(query: Column) -> Column:
+    """The fixed-layout report of a snapshot row (``query`` is the query text)."""
 
     def line(label: str, c: Column) -> Column:
         return F.when(c.isNotNull(), F.concat(F.lit(f"{label}: "), c))

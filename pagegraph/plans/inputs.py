@@ -65,3 +65,182 @@ def site_pages(t: Tables) -> DataFrame:
         F.expr(RICH_HTML).alias("html"),
     )
     return t.pages.select("page_id", "url", "html").unionByName(rich)
+
+
+# --- the graph: star schema rows as triples -------------------------------------------------
+
+EX = "http://ex.org/"
+NS_RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+NS_RDFS = "http://www.w3.org/2000/01/rdf-schema#"
+NS_XSD = "http://www.w3.org/2001/XMLSchema#"
+TYPE = NS_RDF + "type"
+ORDERS_GRAPH = EX + "g/orders"
+
+
+def _iri(kind: str, key: str) -> str:
+    return f"'{EX}{kind}/' || CAST({key} AS STRING)"
+
+
+def _dec(x: str) -> str:
+    return f"CAST(CAST({x} AS DECIMAL(15,2)) AS STRING)"
+
+
+_CUST, _NAT, _REG = _iri("customer", "c_custkey"), _iri("nation", "n_nationkey"), _iri("region", "r_regionkey")
+_SUPP, _PART, _ORD = _iri("supplier", "s_suppkey"), _iri("part", "p_partkey"), _iri("order", "o_orderkey")
+_CLASS = f"'{EX}class/' || p_type || '-' || {_BRAND}"
+_PTYPE = f"'{EX}type/' || p_type"
+
+# (table, subject, predicate, object, kind, datatype, language, graph, distinct)
+FACTS = [
+    ("customer", _CUST, TYPE, f"'{EX}Customer'", "iri", None, None, None, False),
+    ("customer", _CUST, EX + "name", "c_name", "literal", None, None, None, False),
+    ("customer", _CUST, EX + "nation", _iri("nation", "c_nationkey"), "iri", None, None, None, False),
+    ("customer", _CUST, EX + "balance", _dec("c_acctbal"), "literal", NS_XSD + "decimal", None, None, False),
+    ("customer", _CUST, EX + "segment", "c_mktsegment", "literal", None, "en", None, False),
+    ("nation", _NAT, TYPE, f"'{EX}Nation'", "iri", None, None, None, False),
+    ("nation", _NAT, EX + "name", "n_name", "literal", None, None, None, False),
+    ("nation", _NAT, EX + "inRegion", _iri("region", "n_regionkey"), "iri", None, None, None, False),
+    ("region", _REG, TYPE, f"'{EX}Region'", "iri", None, None, None, False),
+    ("region", _REG, EX + "name", "r_name", "literal", None, "en", None, False),
+    ("supplier", _SUPP, TYPE, f"'{EX}Supplier'", "iri", None, None, None, False),
+    ("supplier", _SUPP, EX + "name", "s_name", "literal", None, None, None, False),
+    ("supplier", _SUPP, EX + "nation", _iri("nation", "s_nationkey"), "iri", None, None, None, False),
+    ("part", _PART, TYPE, _CLASS, "iri", None, None, None, False),
+    ("part", _PART, EX + "name", "p_name", "literal", None, "en", None, False),
+    ("part", _PART, EX + "price", _dec("p_retailprice"), "literal", NS_XSD + "decimal", None, None, False),
+    ("part", _PART, EX + "size", "CAST(p_size AS STRING)", "literal", NS_XSD + "integer", None, None, False),
+    ("part", _CLASS, NS_RDFS + "subClassOf", _PTYPE, "iri", None, None, None, True),
+    ("part", _PTYPE, NS_RDFS + "subClassOf", f"'{EX}Part'", "iri", None, None, None, True),
+    ("orders", _ORD, TYPE, f"'{EX}Order'", "iri", None, None, ORDERS_GRAPH, False),
+    ("orders", _ORD, EX + "placedBy", _iri("customer", "o_custkey"), "iri", None, None, ORDERS_GRAPH, False),
+    ("orders", _ORD, EX + "total", _dec("o_totalprice"), "literal", NS_XSD + "decimal", None, ORDERS_GRAPH, False),
+    ("orders", _ORD, EX + "status", "o_orderstatus", "literal", None, None, ORDERS_GRAPH, False),
+    ("lineitem", _iri("order", "l_orderkey"), EX + "contains", _iri("part", "l_partkey"), "iri", None, None, ORDERS_GRAPH, True),
+]
+# The schema the facts refer to: class and property hierarchy (with one cycle), domains, ranges.
+SCHEMA = [
+    ("Part", NS_RDFS + "subClassOf", "Product"), ("Product", NS_RDFS + "subClassOf", "Thing"),
+    ("Customer", NS_RDFS + "subClassOf", "Agent"), ("Agent", NS_RDFS + "subClassOf", "Customer"),
+    ("placedBy", NS_RDFS + "subPropertyOf", "involves"), ("involves", NS_RDFS + "subPropertyOf", "relatedTo"),
+    ("nation", NS_RDFS + "subPropertyOf", "locatedIn"), ("inRegion", NS_RDFS + "subPropertyOf", "locatedIn"),
+    ("locatedIn", NS_RDFS + "subPropertyOf", "relatedTo"),
+    ("placedBy", NS_RDFS + "domain", "Order"), ("placedBy", NS_RDFS + "range", "Agent"),
+    ("nation", NS_RDFS + "range", "Place"), ("inRegion", NS_RDFS + "domain", "Place"), ("inRegion", NS_RDFS + "range", "Region"),
+]
+
+
+def _text(x: str | None) -> str:
+    return "CAST(NULL AS STRING)" if x is None else f"'{x}'"
+
+
+def _fact_sql(f) -> str:
+    table, s, p, o, kind, dt, lang, g, distinct = f
+    return (
+        f"SELECT {'DISTINCT ' if distinct else ''}{s} AS s, '{p}' AS p, {o} AS o, '{kind}' AS o_kind, "
+        f"{_text(dt)} AS o_datatype, {_text(lang)} AS o_lang, {_text(g)} AS g FROM {table}"
+    )
+
+
+_SCHEMA_ROWS = ", ".join(f"('{EX}{s}', '{p}', '{EX}{o}')" for s, p, o in SCHEMA)
+CTES["graph"] = (
+    " UNION ALL ".join(_fact_sql(f) for f in FACTS)
+    + f" UNION ALL SELECT s, p, o, 'iri', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM (VALUES {_SCHEMA_ROWS}) v(s, p, o)"
+)
+
+
+def graph(t: Tables) -> DataFrame:
+    """Triples of the star schema as a union of projections.
+
+    The predicate is a constant in every branch, so a pattern with a bound
+    predicate keeps only the branches (and columns) it needs.
+    """
+    parts = []
+    for table, s, p, o, kind, dt, lang, g, distinct in FACTS:
+        one = getattr(t, table).select(
+            F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"), F.lit(kind).alias("o_kind"),
+            F.lit(dt).cast("string").alias("o_datatype"), F.lit(lang).cast("string").alias("o_lang"),
+            F.lit(g).cast("string").alias("g"),
+        )
+        parts.append(one.distinct() if distinct else one)
+    schema = t.spark.createDataFrame(
+        [(EX + s, p, EX + o, "iri", None, None, None) for s, p, o in SCHEMA],
+        "s string, p string, o string, o_kind string, o_datatype string, o_lang string, g string",
+    )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.unionByName(schema)
+
+
+# --- queries, query log, requests, tokens ----------------------------------------------------
+
+# One query per kind of part, and one per sentence-like item of the benchmark table.
+CTES["queries"] = """
+  SELECT 'p' || CAST(min(p_partkey) AS STRING) AS query_id, p_name || ' ' || lower(p_type) AS query FROM part GROUP BY p_name, p_type"""
+
+
+def queries_table(t: Tables) -> DataFrame:
+    return t.part.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("k")).select(
+        F.expr("'p' || CAST(k AS STRING)").alias("query_id"), F.expr("p_name || ' ' || lower(p_type)").alias("query")
+    )
+
+
+QUERY_TEXT = """CASE p_partkey % 10
+  WHEN 0 THEN 'SELECT ?s WHERE { ?s ?p \"' || p_name || '\" }'
+  WHEN 1 THEN '   ask { ?s a <http://ex.org/' || p_type || '> }'
+  WHEN 2 THEN 'DROP ALL' WHEN 3 THEN 'CLEAR GRAPH <http://ex.org/' || p_type || '>'
+  WHEN 4 THEN 'PREFIX ex: <http://ex.org/> SELECT * { ?s ?p ?o }'
+  WHEN 5 THEN 'SELECT ?s WHERE { ?s <http://ex.org/download> \"' || p_name || '\" }'
+  WHEN 6 THEN 'insert data { <http://ex.org/' || CAST(p_partkey AS STRING) || '> a <http://ex.org/T> }'
+  WHEN 7 THEN 'Delete where { ?s ?p \"' || p_brand || '\" }'
+  WHEN 8 THEN 'SELECT ' || repeat('é', p_size * 300) || ' WHERE { }'
+  ELSE 'describe <http://ex.org/' || CAST(p_partkey AS STRING) || '>' END"""
+CTES["query_log"] = f"SELECT p_partkey AS id, {QUERY_TEXT} AS text FROM part"
+
+
+def query_log(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("id"), F.expr(QUERY_TEXT).alias("text"))
+
+
+_E = "CAST(event_id AS STRING)"
+REQUEST_COLUMNS = {
+    "id": "event_id",
+    "ts": "ts",
+    "user_id": "user_id",
+    "client": "'u' || CAST(user_id AS STRING)",
+    "xff": f"CASE event_id % 3 WHEN 0 THEN ' 10.0.' || CAST(user_id % 256 AS STRING) || '.1 , 172.16.0.1' WHEN 1 THEN CAST(NULL AS STRING) ELSE '203.0.113.' || CAST(user_id % 256 AS STRING) END",
+    "real_ip": "CASE event_id % 2 WHEN 0 THEN '198.51.100.' || CAST(user_id % 256 AS STRING) ELSE CAST(NULL AS STRING) END",
+    "peer": "'192.0.2.' || CAST(user_id % 256 AS STRING)",
+    "url": f"CASE event_id % 6 WHEN 0 THEN 'http://a.example.com/p?page=' || {_E} || '&ref=x#top' WHEN 1 THEN 'https://b.example.com/cb?code=a%20b+' || event_type || '&code=second' WHEN 2 THEN 'httpx://c.example.com/?xcode=no&page=1' WHEN 3 THEN 'ftp://d.example.com/' || {_E} WHEN 4 THEN ' http://e.example.com/?page=%C3%A9' ELSE 'https://f.example.com/?page=#page=no' END",
+    "endpoint": "event_type",
+    "method": "CASE event_id % 2 WHEN 0 THEN 'GET' ELSE 'POST' END",
+    "status": "CASE WHEN event_type = 'error' THEN '500' WHEN event_id % 17 = 0 THEN '404' ELSE '200' END",
+    "duration": "value / 100.0",
+}
+CTES["requests"] = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in REQUEST_COLUMNS.items()) + " FROM events"
+
+
+def requests(t: Tables) -> DataFrame:
+    return t.events.select(*[F.expr(v).alias(k) for k, v in REQUEST_COLUMNS.items()])
+
+
+TOKEN_COLUMNS = {
+    "token": "'tok-' || CAST(c_custkey AS STRING)",
+    "sub": "c_name",
+    "role": "CASE WHEN c_nationkey % 7 = 3 THEN CAST(NULL AS STRING) WHEN c_acctbal > 5000 THEN 'admin' ELSE 'user' END",
+    "iat": "CAST(1700000000 AS BIGINT)",
+    "exp": "CAST(1700000000 + (c_custkey * 7919) % 100000 AS BIGINT)",
+}
+CTES["tokens"] = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in TOKEN_COLUMNS.items()) + " FROM customer"
+CTES["revoked"] = "SELECT DISTINCT 'tok-' || CAST(o_custkey AS STRING) AS token FROM orders WHERE o_orderpriority = '5-LOW' AND o_totalprice > 400000"
+
+
+def tokens(t: Tables) -> DataFrame:
+    return t.customer.select(*[F.expr(v).alias(k) for k, v in TOKEN_COLUMNS.items()])
+
+
+def revoked(t: Tables) -> DataFrame:
+    return (
+        t.orders.filter("o_orderpriority = '5-LOW' AND o_totalprice > 400000")
+        .select(F.expr("'tok-' || CAST(o_custkey AS STRING)").alias("token")).distinct()
+    )
