@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,22 +156,9 @@ def graph(t: Tables) -> DataFrame:
     The predicate is a constant in every branch, so a pattern with a bound
     predicate keeps only the branches (and columns) it needs.
     """
-    parts = []
-    for table, s, p, o, kind, dt, lang, g, distinct in FACTS:
-        one = getattr(t, table).select(
-            F.expr(s).alias("s"), F.lit(p).alias("p"), F.expr(o).alias("o"), F.lit(kind).alias("o_kind"),
-            F.lit(dt).cast("string").alias("o_datatype"), F.lit(lang).cast("string").alias("o_lang"),
-            F.lit(g).cast("string").alias("g"),
-        )
-        parts.append(one.distinct() if distinct else one)
-    schema = t.spark.createDataFrame(
-        [(EX + s, p, EX + o, "iri", None, None, None) for s, p, o in SCHEMA],
-        "s string, p string, o string, o_kind string, o_datatype string, o_lang string, g string",
-    )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.unionByName(schema)
+    tables = sorted({f[0] for f in FACTS})
+    text = re.sub(r"\bFROM (" + "|".join(tables) + r")\b", r"FROM {\1}", CTES["graph"])
+    return t.spark.sql(text, **{name: getattr(t, name) for name in tables})
 
 
 # --- queries, query log, requests, tokens ----------------------------------------------------
