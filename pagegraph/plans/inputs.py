@@ -233,3 +233,31 @@ def revoked(t: Tables) -> DataFrame:
         t.orders.filter("o_orderpriority = '5-LOW' AND o_totalprice > 400000")
         .select(F.expr("'tok-' || CAST(o_custkey AS STRING)").alias("token")).distinct()
     )
+
+
+# --- embeddings --------------------------------------------------------------------------------
+
+CTES["entity_emb"] = f"SELECT '{EX}e/' || CAST(vec_id AS STRING) AS uri, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings"
+CTES["relation_emb"] = f"""SELECT '{EX}r/' || CAST(label AS STRING) AS uri, list(m ORDER BY i) AS embedding FROM (
+  SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+  GROUP BY label, i) GROUP BY label"""
+CTES["known_triples"] = f"""SELECT '{EX}e/' || CAST(vec_id AS STRING) AS s, '{EX}r/' || CAST(label AS STRING) AS p,
+  '{EX}e/' || CAST(vec_id + 1 AS STRING) AS o FROM embeddings"""
+
+
+def entity_emb(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.expr(f"'{EX}e/' || CAST(vec_id AS STRING)").alias("uri"), "embedding")
+
+
+def relation_emb(t: Tables) -> DataFrame:
+    """Element-wise mean per label; partial sums meet per (label, dimension)."""
+    dims = t.embeddings.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    means = dims.groupBy("label", "i").agg(F.avg("x").alias("m"))
+    lists = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("v"))
+    return lists.select(F.expr(f"'{EX}r/' || CAST(label AS STRING)").alias("uri"), F.col("v.m").alias("embedding"))
+
+
+def known_triples(t: Tables) -> DataFrame:
+    return t.embeddings.select(
+        F.expr(f"'{EX}e/' || CAST(vec_id AS STRING)").alias("s"), F.expr(f"'{EX}r/' || CAST(label AS STRING)").alias("p"),
+        F.expr(f"'{EX}e/' || CAST(vec_id + 1 AS STRING)").alias("o"))
