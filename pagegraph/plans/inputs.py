@@ -261,3 +261,76 @@ def known_triples(t: Tables) -> DataFrame:
     return t.embeddings.select(
         F.expr(f"'{EX}e/' || CAST(vec_id AS STRING)").alias("s"), F.expr(f"'{EX}r/' || CAST(label AS STRING)").alias("p"),
         F.expr(f"'{EX}e/' || CAST(vec_id + 1 AS STRING)").alias("o"))
+
+
+# --- logs ----------------------------------------------------------------------------------------
+
+STEP_COLUMNS = {
+    "workflow_id": "'wf-' || CAST(l_orderkey AS STRING)",
+    "step": "l_linenumber",
+    "step_name": "'step ' || CAST(l_linenumber AS STRING) || ' part ' || CAST(l_partkey AS STRING)",
+    "success": "l_returnflag <> 'R'",
+    "error": "CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE CAST(NULL AS STRING) END",
+    "execution_time_ms": "CAST(l_quantity * 10 AS BIGINT)",
+    "timestamp": "l_shipdate",
+}
+CTES["steps"] = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in STEP_COLUMNS.items()) + " FROM lineitem"
+
+
+def steps(t: Tables) -> DataFrame:
+    return t.lineitem.select(*[F.expr(v).alias(k) for k, v in STEP_COLUMNS.items()])
+
+
+USAGE_COLUMNS = {
+    "model": "'model-' || role",
+    "prompt_tokens": "CASE WHEN turn % 5 = 3 THEN CAST(NULL AS BIGINT) ELSE CAST(length(text) AS BIGINT) END",
+    "completion_tokens": "CASE WHEN turn % 4 = 1 THEN CAST(NULL AS BIGINT) ELSE turn END",
+}
+CTES["usage"] = "SELECT " + ", ".join(f"{v} AS {k}" for k, v in USAGE_COLUMNS.items()) + " FROM conversations"
+
+
+def usage(t: Tables) -> DataFrame:
+    return t.conversations.select(*[F.expr(v).alias(k) for k, v in USAGE_COLUMNS.items()])
+
+
+MESSAGE_TEXT = """CASE WHEN conv_id % 5 = 4 THEN text ELSE CASE WHEN turn % 4 = 1 THEN '  THOUGHT: draft' || chr(10) ELSE '' END
+  || 'THOUGHT: step ' || CAST(turn AS STRING) || ' ' || chr(10) || 'ACTION: ' || CASE WHEN (conv_id + turn) % 4 = 1 THEN 'Finish' ELSE 'query_kg' END || chr(10)
+  || 'ACTION INPUT: ' || CASE conv_id % 3 WHEN 0 THEN '{"q": ' || CAST(turn AS STRING) || '}' WHEN 1 THEN 'plain answer' ELSE '"quoted answer"' END || chr(10) || text END"""
+CTES["transcripts"] = f"SELECT conv_id, turn, role, {MESSAGE_TEXT} AS text FROM conversations"
+
+
+def transcripts(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", "role", F.expr(MESSAGE_TEXT).alias("text"))
+
+
+TOOL_JSON = """CASE p_partkey % 6
+  WHEN 0 THEN '{"type":"function","function":{"name":"tool_' || CAST(p_partkey AS STRING) || '","description":"' || p_name || '","parameters":{"type":"object","size":' || CAST(p_size AS STRING) || '}}}'
+  WHEN 1 THEN '{"function":{"name":"no_description","parameters":{}}}' WHEN 2 THEN '{"function":{"name":7,"description":"d","parameters":{}}}'
+  WHEN 3 THEN '{"name":"bare"}' WHEN 4 THEN 'not json ' || p_name
+  ELSE '{"function":{"name":"' || p_brand || '","description":"","parameters":[1,2]}}' END"""
+CTES["tool_defs"] = f"SELECT p_partkey AS id, {TOOL_JSON} AS json FROM part"
+
+
+def tool_defs(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("id"), F.expr(TOOL_JSON).alias("json"))
+
+
+CHUNK_BYTES = 37
+# Two protocols: even conversations send typed events, odd ones choices; noise lines in between.
+_QUOTED = """replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't')"""
+WIRE = f"""CASE WHEN conv_id % 2 = 0
+  THEN 'event: x' || chr(10) || 'data: {{"type":"content_block_delta","delta":{{"text":"' || {_QUOTED} || '"}}}}' || chr(10) || chr(10)
+    || CASE WHEN turn % 5 = 4 THEN 'data: {{"type":"message_stop"}}' || chr(10) ELSE 'data: {{broken' || chr(10) END
+  ELSE 'data: {{"choices":[{{"delta":{{"content":"' || {_QUOTED} || '"}}}},{{"delta":{{}}}}]}}' || chr(10) || 'data: [DONE]' || chr(10)
+    || CASE WHEN turn % 5 = 4 THEN '[DONE]' || chr(10) ELSE ': ping' || chr(10) END END"""
+# one stream per conversation; a message is cut into chunks of 37 bytes, ordered by turn and offset
+CTES["stream_chunks"] = f"""SELECT conv_id AS stream_id, turn * 1000000 + i AS seq, b[i * {CHUNK_BYTES} + 1 : (i + 1) * {CHUNK_BYTES}] AS bytes
+  FROM (SELECT conv_id, turn, b, unnest(range(0, CAST(ceil(octet_length(b) / {CHUNK_BYTES}.0) AS BIGINT))) AS i FROM (SELECT conv_id, turn, encode({WIRE}) AS b FROM conversations))"""
+
+
+def stream_chunks(t: Tables) -> DataFrame:
+    w = t.conversations.select("conv_id", "turn", F.encode(F.expr(WIRE), "UTF-8").alias("b"))
+    n = F.ceil(F.octet_length("b") / CHUNK_BYTES).cast("int")
+    cut = w.select("conv_id", "turn", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return cut.select(F.col("conv_id").alias("stream_id"), (F.col("turn") * 1000000 + F.col("i")).alias("seq"),
+                      F.substring(F.col("b"), F.col("i") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)).alias("bytes"))

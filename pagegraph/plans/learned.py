@@ -25,7 +25,7 @@ def runs_sql(c: str) -> str:
     return f"regexp_extract_all({c}, {_RUN}, 0)"
 
 
-@query("regex_entities", f"""SELECT doc_id, pos - 1 AS pos, text, 'UNKNOWN' AS entity_type, 0.5 AS confidence FROM (
+@query("regex_entities", f"""SELECT doc_id, pos - 1 AS pos, text, 'UNKNOWN' AS entity_type, CAST(0.5 AS DOUBLE) AS confidence FROM (
   SELECT doc_id, unnest(r) AS text, generate_subscripts(r, 1) AS pos FROM (SELECT doc_id, {runs_sql('text')} AS r FROM documents))""")
 def regex_entities(t):
     return N.regex_entities(t.documents, "doc_id")
