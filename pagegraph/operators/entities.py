@@ -81,7 +81,7 @@ def decode_bio(tokens: DataFrame, docs: DataFrame, key: str) -> DataFrame:
         F.min("pos").alias("first_pos"), F.min_by("start", "pos").alias("start"), F.max("end").alias("end"),
         F.first("etype").alias("entity_type"), F.coalesce(F.avg(finite), F.lit(0.0)).alias("mean"),
     )
-    text = F.substring(F.encode("text", "UTF-8"), F.col("start") + 1, F.col("end") - F.col("start"))
+    text = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("end") - F.col("start"))
     cut = F.when(F.is_valid_utf8(text.cast("string")), trim_ws(text.cast("string")))
     return (
         spans.join(docs.select(key, "text"), key)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagegraph.functions.text import excerpt, normalize_whitespace
+from pagegraph.functions.text import excerpt, let, normalize_whitespace
 from pagegraph.operators import elements as E
 
 SENTENCE_END = r"[.!?\n]"
@@ -28,18 +28,18 @@ def tokenize_query(c: Column) -> Column:
 
 def match_score(snippet: Column, tokens: Column) -> Column:
     """Share of the tokens that occur in the snippet; null if none does."""
-    low = F.lower(snippet)
-    hits = F.size(F.filter(tokens, lambda t: F.contains(low, t)))
-    return F.when(hits > 0, hits / F.size(tokens))
+    hits = let(F.lower(snippet), lambda low: F.size(F.filter(tokens, lambda t: F.contains(low, t))))
+    return let(hits, lambda n: F.when(n > 0, n / F.size(tokens)))
 
 
 def sentences(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, pos, element, snippet``: non-empty sentences of a text."""
-    parts = docs.select(key, F.posexplode(F.split(F.col(text), SENTENCE_END)).alias("pos", "s"))
-    return (
-        parts.select(key, "pos", F.lit("text").alias("element"), normalize_whitespace(F.col("s")).alias("snippet"))
-        .filter("snippet <> ''")
+    parts = F.transform(
+        F.split(F.col(text), SENTENCE_END),
+        lambda s, i: F.struct(i.alias("pos"), normalize_whitespace(s).alias("snippet")),
     )
+    rows = docs.select(key, F.explode(F.filter(parts, lambda p: p["snippet"] != "")).alias("x"))
+    return rows.select(key, "x.pos", F.lit("text").alias("element"), "x.snippet")
 
 
 def passages(toks: DataFrame) -> DataFrame:
@@ -71,10 +71,10 @@ def match_all(passages_: DataFrame, key: str, queries: DataFrame) -> DataFrame:
         .select(F.lit(0).alias("all"), F.explode(_split(F.col("pack_tokens"), PACK)).alias("pack_tokens"))
     )
     # every passage meets every pack of tokens: packs are few and short
+    found = let(F.lower("snippet"), lambda low: F.filter("pack_tokens", lambda t: F.contains(low, t)))
     hits = (
         passages_.withColumn("all", F.lit(0)).join(packs, "all")
-        .select(key, "pos", "element", "snippet", F.explode(
-            F.filter("pack_tokens", lambda t: F.contains(F.lower(F.col("snippet")), t))).alias("token"))
+        .select(key, "pos", "element", "snippet", F.explode(found).alias("token"))
     )
     scored = (
         hits.join(qt, "token")
@@ -94,12 +94,16 @@ def _split(a: Column, n: int) -> Column:
 
 
 def match_one(passages_: DataFrame, key: str, query: str) -> DataFrame:
-    """The same for one query text: a projection, no join."""
+    """The same for one query text: no join.
+
+    The score comes out of a generator, so that it is computed once and not
+    again by the filter on it.
+    """
     tokens = tokenize_query(F.lit(query))
-    return (
-        passages_.withColumn("score", match_score(F.col("snippet"), tokens))
-        .filter("score is not null")
-        .select(key, "pos", "element", excerpt(F.col("snippet")).alias("excerpt"), "score")
+    scored = F.array(F.struct("snippet", match_score(F.col("snippet"), tokens).alias("score")))
+    hit = F.explode(F.filter(scored, lambda x: x["score"].isNotNull())).alias("x")
+    return passages_.select(key, "pos", "element", hit).select(
+        key, "pos", "element", excerpt(F.col("x.snippet")).alias("excerpt"), "x.score"
     )
 
 
