@@ -205,19 +205,29 @@ def microdata_summary(props: DataFrame) -> DataFrame:
     )
 
 
-def snapshot(pages: DataFrame, matches: DataFrame | None = None, clustered: bool = False) -> DataFrame:
-    """The full page record: core facts, microdata, preview, text length, query matches.
+def snapshot(pages: DataFrame, query: str | None = None, clustered: bool = False) -> DataFrame:
+    """The full page record: core facts, microdata, preview, text length, matches of ``query``.
 
-    ``matches``: ``page_id, rank, element, excerpt, score`` or None.
-    Everything is keyed by ``page_id`` on the single shuffle of the pages.
+    Everything is keyed by ``page_id`` on the single shuffle of the pages, and
+    the elements that microdata and matches read are found once and kept.
     """
+    from pagegraph.operators import search
     from pagegraph.operators.elements import by_page, elements, page_tokens
 
     if not clustered:
         pages = by_page(pages)
     core = page_core(pages)
     toks = page_tokens(pages, clustered=True)
-    micro = microdata_summary(microdata_properties(elements(toks), toks))
+    elems = elements(toks)
+    marked = F.exists("attrs", lambda a: a["name"].isin("itemscope", "itemprop"))
+    matches = None
+    if query is None:
+        elems = elems.filter(marked).persist()
+    else:
+        elems = elems.filter(marked | F.col("tag").isin(*search.PASSAGE_TAGS)).persist()
+        found = search.match_one(search.passages(toks, elems), "page_id", query)
+        matches = search.rank_matches(found, "page_id")
+    micro = microdata_summary(microdata_properties(elems, toks))
     micro = micro.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("item_pos", "item_type", F.col("n_filled").alias("properties")))).alias("microdata")
     )

@@ -28,6 +28,12 @@ ACTION_WORDS = {
 }
 HINT_TENTHS = {"id": 4, "name": 3, "label": 2, "placeholder": 1}
 THRESHOLD_TENTHS = 3
+FORM_TAGS = ("form", "input", "textarea", "select", "button", "label")
+
+
+def form_elements(elems: DataFrame) -> DataFrame:
+    """The elements form analysis reads: a small part of a page, kept as it is read several times."""
+    return elems.filter(F.col("tag").isin(*FORM_TAGS)).persist()
 
 
 def field_type(type_attr: Column) -> Column:

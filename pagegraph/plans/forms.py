@@ -13,7 +13,7 @@ HINTS = ["email", "user", "name", "message", "search", "pw", "zip"]
 
 def base(t):
     toks = E.page_tokens(site_pages(t))
-    return E.elements(toks), toks
+    return FM.form_elements(E.elements(toks)), toks
 
 
 def fields(t):

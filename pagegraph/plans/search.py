@@ -66,8 +66,8 @@ CTES["page_matches"] = f"""
   WHERE score > 0"""
 
 
-def page_matches(pages, clustered=False):
-    return S.match_one(S.passages(E.page_tokens(pages, clustered)), "page_id", QUERY)
+def page_matches(pages):
+    return S.match_one(S.passages(E.page_tokens(pages)), "page_id", QUERY)
 
 
 @query("match_elements", "SELECT page_id, pos, element, excerpt, score FROM page_matches")
@@ -100,9 +100,7 @@ def search_corpus(t):
 
 
 def snapshot(t):
-    pages = E.by_page(site_pages(t))
-    m = S.rank_matches(page_matches(pages, clustered=True), "page_id")
-    return X.snapshot(pages, m, clustered=True)
+    return X.snapshot(site_pages(t), QUERY)
 
 
 CTES["snap"] = f"""
