@@ -205,11 +205,14 @@ def microdata_summary(props: DataFrame) -> DataFrame:
     )
 
 
-def snapshot(pages: DataFrame, query: str | None = None, clustered: bool = False) -> DataFrame:
+def snapshot(
+    pages: DataFrame, query: str | None = None, clustered: bool = False, keep: bool = True
+) -> DataFrame:
     """The full page record: core facts, microdata, preview, text length, matches of ``query``.
 
     Everything is keyed by ``page_id`` on the single shuffle of the pages, and
-    the elements that microdata and matches read are found once and kept.
+    the elements that microdata and matches read are found once and kept
+    (persisted; with ``keep=False`` they are found again instead).
     """
     from pagegraph.operators import search
     from pagegraph.operators.elements import by_page, elements, page_tokens
@@ -221,10 +224,9 @@ def snapshot(pages: DataFrame, query: str | None = None, clustered: bool = False
     elems = elements(toks)
     marked = F.exists("attrs", lambda a: a["name"].isin("itemscope", "itemprop"))
     matches = None
-    if query is None:
-        elems = elems.filter(marked).persist()
-    else:
-        elems = elems.filter(marked | F.col("tag").isin(*search.PASSAGE_TAGS)).persist()
+    wanted = marked if query is None else marked | F.col("tag").isin(*search.PASSAGE_TAGS)
+    elems = elems.filter(wanted).persist() if keep else elems.filter(wanted)
+    if query is not None:
         found = search.match_one(search.passages(toks, elems), "page_id", query)
         matches = search.rank_matches(found, "page_id")
     micro = microdata_summary(microdata_properties(elems, toks))

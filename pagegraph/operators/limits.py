@@ -44,7 +44,9 @@ def rate_limit(
     width = span * SLICE_WINDOWS
     cdt, kdt = requests.schema[client].dataType.simpleString(), requests.schema[key].dataType.simpleString()
     r = requests.select(F.col(client).alias("client"), F.col(key).alias("key"), F.col(ts).alias("ts"), _micros(ts).alias("us"))
-    r = r.withColumn("slice", F.floor(F.col("us") / width))
+    # partitions by number, not by size: slices cost Python time, so merging small ones would idle cores
+    n_part = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = r.withColumn("slice", F.floor(F.col("us") / width)).repartition(n_part, "client", "slice")
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["us"].to_numpy())
@@ -81,7 +83,6 @@ def rate_limit(
                     anchor = int(leave[at])
             yield pd.DataFrame({"client": pdf["client"], "slice": pdf["slice"], "anchor_in": before})
 
-    n_part = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     anchors = (
         summary.repartition(n_part, "client").sortWithinPartitions("client", "slice")
         .mapInPandas(chain, f"client {cdt}, slice bigint, anchor_in bigint")

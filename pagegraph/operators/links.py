@@ -83,7 +83,9 @@ def top_k(requests: DataFrame, candidates: DataFrame, k: int, metric: str, known
                 out["score"].extend(s[best])
         return pd.DataFrame(out)
 
-    found = rows.groupBy("qb", "cb").applyInPandas(rank_block, "qid string, uri string, score double")
+    # one partition per few block pairs: blocks cost CPU, not bytes, so they must not be merged by size
+    n_part = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(n_part, "qb", "cb").groupBy("qb", "cb").applyInPandas(rank_block, "qid string, uri string, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "uri")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.functions import terms as T
-from pagegraph.operators.triples import insert_triples, triple
+from pagegraph.operators.triples import COLUMNS, triple
 from pagegraph.session import checkpoint_dir
 
 
@@ -51,10 +51,15 @@ def infer_types(triples: DataFrame) -> DataFrame:
 
 
 def infer_rules(triples: DataFrame) -> DataFrame:
-    """The graph after subclass, subproperty and type rules, each seeing the last."""
-    g = insert_triples(triples, infer_subclass(triples))
-    g = insert_triples(g, infer_subproperty(g))
-    return insert_triples(g, infer_types(g))
+    """The graph after subclass, subproperty and type rules, each seeing the last.
+
+    Takes a set and returns a set: every rule yields distinct triples that the
+    graph lacks, so plain unions suffice and the graph is never shuffled whole.
+    """
+    g = triples.select(*COLUMNS)
+    g = g.unionByName(infer_subclass(g))
+    g = g.unionByName(infer_subproperty(g))
+    return g.unionByName(infer_types(g))
 
 
 def infer_domain_range(triples: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pagegraph.plans import duck as D
 from pagegraph.plans import pages as PG
 from pagegraph.plans.inputs import queries_table, query_log, site_pages
 from pagegraph.plans.registry import CTES, query
+from pagegraph.sources import triples as ST
 
 QUERY = "The great widget, à la carte"
 
@@ -220,8 +221,9 @@ def microdata_property_triples(t):
 @query("titles_by_language", f"""SELECT '<' || s || '>' AS page, o AS title FROM (SELECT DISTINCT s, p, o, o_kind, o_datatype, o_lang FROM attempts) t
   WHERE p = {D.q(_e('dcterms:title'))} AND s IN (SELECT s FROM attempts WHERE p = {D.q(_e('dcterms:language'))} AND o = 'en')""")
 def titles_by_language(t):
-    """Titles of the web pages in English, from page snapshots as triples."""
-    tr = TR.snapshot_triples(X.snapshot(site_pages(t)))
+    """Titles of the web pages in English: snapshots are stored as triples, then queried."""
+    made = TR.snapshot_triples(X.snapshot(site_pages(t)))
+    tr = ST.read_triples(t.spark, ST.write_triples(made, ST.scratch_path(t.spark, "snapshots")))
     found = P.match(tr, [("?page", TM.RDF_TYPE, _e("schema:WebPage")), ("?page", _e("dcterms:language"), TM.lit("en")),
                          ("?page", _e("dcterms:title"), "?title")])
     return found.select("page", TM.str_of(F.col("title")).alias("title"))

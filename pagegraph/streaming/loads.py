@@ -45,7 +45,7 @@ def load_pages(pages: DataFrame, store: str, query: str | None = None) -> None:
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        new = snapshot_triples(snapshot(batch, query), query)
+        new = snapshot_triples(snapshot(batch, query, keep=False), query)
         spark = batch.sparkSession
         folder = f"{store}/batch={batch_id:010d}"
         if batch_id > 0:
