@@ -38,14 +38,18 @@ def infer_subproperty(triples: DataFrame) -> DataFrame:
     return _one_step(triples, T.SUBPROPERTY)
 
 
-def infer_types(triples: DataFrame) -> DataFrame:
+def infer_types(triples: DataFrame, added_classes: DataFrame | None = None) -> DataFrame:
     """New type triples of one hop up the class hierarchy.
 
-    Instances per class are reduced to (instance, class) before the join; the
-    class side is a schema, small next to the data, and AQE ships it.
+    ``added_classes``: subclass triples inferred before, if any.  Instances are
+    reduced to (instance, class) first; the class side is a schema, small next
+    to the data, and AQE ships it.
     """
     types = _iri_edges(triples, T.RDF_TYPE)
-    up = _iri_edges(triples, T.SUBCLASS).select(F.col("a").alias("b"), F.col("b").alias("c"))
+    up = _iri_edges(triples, T.SUBCLASS)
+    if added_classes is not None:
+        up = up.unionByName(added_classes.select(F.col("s").alias("a"), F.col("o").alias("b")))
+    up = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
     found = types.join(up, "b").select("a", F.col("c").alias("b")).distinct()
     return _as_triples(found.join(types, ["a", "b"], "left_anti"), T.RDF_TYPE)
 
@@ -55,11 +59,12 @@ def infer_rules(triples: DataFrame) -> DataFrame:
 
     Takes a set and returns a set: every rule yields distinct triples that the
     graph lacks, so plain unions suffice and the graph is never shuffled whole.
+    Of the earlier rules only the new subclass triples matter to a later one.
     """
-    g = triples.select(*COLUMNS)
-    g = g.unionByName(infer_subclass(g))
-    g = g.unionByName(infer_subproperty(g))
-    return g.unionByName(infer_types(g))
+    classes = infer_subclass(triples)
+    properties = infer_subproperty(triples)
+    types = infer_types(triples, classes)
+    return triples.select(*COLUMNS).unionByName(classes).unionByName(properties).unionByName(types)
 
 
 def infer_domain_range(triples: DataFrame) -> DataFrame:
