@@ -137,7 +137,9 @@ def _grouped(rows: DataFrame) -> DataFrame:
         F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("no_id"), "id", "rid")).alias("best"),
         F.sum("repeats").alias("group_size"), F.count("*").alias("group_rows"),
     ).select(*keys, F.col("best.rid").alias("keep_rid"), F.col("best.id").alias("keep_id"), "group_size", "group_rows")
-    return rows.join(best, keys)
+    # one more key than the aggregate's, so that the join deals both sides anew and a hot group can be split
+    spread = {"spread": F.col("f1") % 65521}
+    return rows.withColumns(spread).join(best.withColumns(spread), ["spread", *keys]).drop("spread")
 
 
 def _differing(grouped: DataFrame, texts: DataFrame, piece: int) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm import bpe, dac, exact, language, mixing, warc
+from pagegraph.llm import bpe, dac, exact, fingerprint, language, mixing, warc
 from pagegraph.llm.common import documents, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,8 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "tokens")
     dac.write(documents(spark, sf_dir), path, vocab_path())
     return dac.read(spark, path, with_ids=False)
+
+
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(documents(spark, sf_dir))
