@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm import bpe, exact, language, mixing
+from pagegraph.llm import bpe, exact, language, mixing, near
 from pagegraph.llm.common import saved
 from pagegraph.llm.queries import held_out, quality_weights, vocab_path
 
@@ -24,6 +24,11 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact.drop_exact_duplicates(docs)
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts."""
+    return near.drop_near_duplicates(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of sources takes them."""
     return mixing.mixed(docs, quality_weights(spark, sf_dir))
@@ -43,6 +48,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", readable_language),
     ("exact", distinct_texts),
+    ("near", distinct_documents),
     ("mixture", mixture),
     ("tokens", tokens),
 ]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm import bpe, dac, exact, fingerprint, language, mixing, warc
+from pagegraph.llm import bpe, dac, exact, fingerprint, language, mixing, near, warc
 from pagegraph.llm.common import documents, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,8 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(documents(spark, sf_dir)).drop("rid")
