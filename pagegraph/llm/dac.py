@@ -115,7 +115,7 @@ def _parts(path: str) -> Parts:
         def many(texts: list[str]) -> list:
             return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-        store["library", path] = Parts(many, special[0] if special else None, lambda x: many([x])[0], dtype=np.uint32)
+        store["library", path] = Parts(many, special[0] if special else None, lambda x: many([x])[0])
     return store["library", path]
 
 

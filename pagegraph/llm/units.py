@@ -3,48 +3,57 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 # Fixed value: the pattern that the public vocabulary's pre-tokenizer splits texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_SPACES = re.compile(r"\s\s|^ | $")
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def cut(text: str) -> list[str]:
-    """Parts that start at a lone space between two visible characters; every pre-token lies inside one part."""
+    """Parts such that every pre-token lies inside one: cut before a lone space, and around a lone line end, between visible characters."""
     if not text:
         return []
-    parts = _LONE.split(text) if _SPACES.search(text) else text.split(" ")
-    return [parts[0], *[" " + p for p in parts[1:]]]
+    if " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text:
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+    first, *rest = _LONE.split(text)
+    return [first, *[" " + p for p in rest]]
 
 
 class Parts:
-    """Ids of texts, put together from the kept ids of their parts. ``limit`` bounds the parts that are kept."""
+    """Ids of texts, put together from the kept ids of their parts. At most twice ``limit`` parts and those of one call are kept: when
+    the store is full it becomes the old one, from which parts that are met again come back."""
 
     def __init__(self, encode_many: Callable[[list[str]], list], special: str | None, encode_whole: Callable[[str], list],
-                 limit: int = 400_000, dtype=np.int32):
+                 limit: int = 300_000):
         self.encode_many, self.special, self.encode_whole = encode_many, special, encode_whole
-        self.limit, self.dtype, self.kept = limit, dtype, {}
+        self.limit, self.kept, self.old = limit, {}, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as packed integers."""
+        """The ids of each text as packed 32-bit integers."""
         cuts = [None if self.special and self.special in t else cut(t) for t in texts]
-        new = list({p for c in cuts if c for p in c if p not in self.kept})
-        if len(self.kept) + len(new) > self.limit:
-            self.kept.clear()
-            new = list({p for c in cuts if c for p in c})
-        kept = self.kept
+        if len(self.kept) > self.limit:
+            self.old, self.kept = self.kept, {}
+        kept, old = self.kept, self.old
+        new = []
+        for p in set(chain.from_iterable(c for c in cuts if c)).difference(kept):
+            ids = old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                kept[p] = ids
         for at in range(0, len(new), 4096):
             some = new[at:at + 4096]
             for p, ids in zip(some, self.encode_many(some)):
-                kept[p] = np.array(ids, dtype=self.dtype).tobytes()
+                kept[p] = array("i", ids).tobytes()
         get = kept.__getitem__
         return [
-            np.array(self.encode_whole(t), dtype=self.dtype).tobytes() if c is None else b"".join(map(get, c))
+            array("i", self.encode_whole(t)).tobytes() if c is None else b"".join(map(get, c))
             for t, c in zip(texts, cuts)
         ]
 
