@@ -262,8 +262,9 @@ RECORD = "page_id long, url string, record_type string, payload_bytes long, payl
 
 def read(packages: DataFrame) -> DataFrame:
     """The records of the packages, one row each, read by range; no package, no rows."""
-    places = index(packages)
-    spans = places.repartition("path", F.floor(F.col("at") / SPAN)).sortWithinPartitions("path", "at")
+    # index rows say little about the bytes behind them, so their number of partitions follows the packages' sizes
+    size = packages.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    spans = index(packages).repartition(size // SPAN + 1, "path", F.floor(F.col("at") / SPAN)).sortWithinPartitions("path", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
