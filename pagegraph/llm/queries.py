@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm import bpe, dac, exact, fingerprint, language, mixing, near, repeats, warc
+from pagegraph.llm import bpe, dac, exact, fingerprint, language, lines, mixing, near, repeats, warc
 from pagegraph.llm.common import documents, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,9 @@ def op8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.repeated_strings(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.repeated_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
