@@ -93,7 +93,7 @@ def attributes(tok: Column) -> Column:
         found,
         lambda a: F.struct(
             F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)).alias("name"),
-            decode_entities(let(F.regexp_replace(a, r"(?s)^[^=]*=?\s*", ""), unquote)).alias("value"),
+            decode_entities(let(F.regexp_replace(a, r"(?s)^[^=]*=?\s*", ""), unquote), attribute=True).alias("value"),
         ),
     )
 

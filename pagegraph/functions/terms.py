@@ -111,7 +111,23 @@ def number_of(term: Column) -> Column:
     return F.when(is_literal(term), str_of(term)).try_cast("double")
 
 
+# Local names of the numeric datatypes.
+NUMERIC = (
+    "integer", "decimal", "double", "float", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger",
+    "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte",
+)
+
+
+def numeric_value(term: Column) -> Column:
+    """Value of a literal of a numeric datatype, null for other terms."""
+    typed = term.rlike(r'(?s)^".*"\^\^<' + PREFIXES["xsd"].replace(".", r"\.") + "(?:" + "|".join(NUMERIC) + ")>$")
+    return F.when(typed, number_of(term))
+
+
 def sort_keys(term: Column) -> list[Column]:
-    """Order of mixed terms: unbound, blank, IRI, literal; then by value."""
-    kind = F.when(term.isNull(), 0).when(term.startswith("_:"), 1).when(is_iri(term), 2).otherwise(3)
-    return [kind, term]
+    """Order of mixed terms: unbound, blank, IRI, number, other literal; numbers by value, the rest by lexical form and language."""
+    number = numeric_value(term)
+    kind = (
+        F.when(term.isNull(), 0).when(term.startswith("_:"), 1).when(is_iri(term), 2).when(number.isNotNull(), 3).otherwise(4)
+    )
+    return [kind, number, F.when(term.startswith("_:"), term).otherwise(str_of(term)), F.when(kind == 4, lang_of(term)), term]

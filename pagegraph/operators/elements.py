@@ -64,8 +64,9 @@ def elements(toks: DataFrame) -> DataFrame:
     ev = toks.select(
         "page_id",
         F.size("toks").alias("n_tok"),
-        F.posexplode("toks").alias("p0", "tok"),
-    ).select(
+        # outer, or else the optimizer tokenises each page once more in a filter on the array's size
+        F.posexplode_outer("toks").alias("p0", "tok"),
+    ).filter("tok is not null").select(
         "page_id",
         "n_tok",
         (F.col("p0") + 1).alias("pos"),
@@ -153,14 +154,18 @@ def elements(toks: DataFrame) -> DataFrame:
 
 
 def with_text(elems: DataFrame, toks: DataFrame, glue: str, name: str = "text") -> DataFrame:
-    """Add the decoded text of each element; joins each page's text once, in place.
+    """Add the decoded text of each element.
 
-    Both sides are partitioned by ``page_id``, so the join moves nothing.
+    The elements of a page are gathered into one row that meets the page's texts once, and are exploded after their texts are
+    cut out, so no text array is copied per element.  Both sides are partitioned by ``page_id``: the join moves nothing.
     """
+    columns = [c for c in elems.columns if c != "page_id"]
     page = toks.select("page_id", M.texts(F.col("toks")).alias("page_texts"))
-    span = F.slice("page_texts", F.col("t_from") + 1, F.greatest(F.col("t_to") - F.col("t_from"), F.lit(0)))
-    return (
-        elems.join(page, "page_id")
-        .withColumn(name, decode_entities(F.array_join(span, glue)))
-        .drop("page_texts")
-    )
+    spans = elems.groupBy("page_id").agg(F.collect_list(F.struct(*columns)).alias("spans"))
+
+    def text(x: Column) -> Column:
+        words = F.slice("page_texts", x["t_from"] + 1, F.greatest(x["t_to"] - x["t_from"], F.lit(0)))
+        return F.struct(x.alias("x"), decode_entities(F.array_join(words, glue)).alias(name))
+
+    rows = spans.join(page, "page_id").select("page_id", F.explode_outer(F.transform("spans", text)).alias("row"))
+    return rows.select("page_id", "row.x.*", f"row.{name}")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +14,6 @@ NAME_RUN = rf"(?U)\b[A-Z][a-z]++\b(?:{WHITESPACE}++[A-Z][a-z]++\b)*+"
 PATTERN_CONFIDENCE = 0.5
 # Default label list of the classifier.
 LABELS = ("O", "B-MISC", "I-MISC", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC")
-MAX_TOKENS = 512
 
 
 def name_runs(text: Column) -> Column:
@@ -81,36 +77,16 @@ def decode_bio(tokens: DataFrame, docs: DataFrame, key: str) -> DataFrame:
         F.min("pos").alias("first_pos"), F.min_by("start", "pos").alias("start"), F.max("end").alias("end"),
         F.first("etype").alias("entity_type"), F.coalesce(F.avg(finite), F.lit(0.0)).alias("mean"),
     )
-    text = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("end") - F.col("start"))
-    cut = F.when(F.is_valid_utf8(text.cast("string")), trim_ws(text.cast("string")))
-    return (
-        spans.join(docs.select(key, "text"), key)
-        .select(key, "first_pos", cut.alias("text"), "entity_type",
-                F.least(F.greatest("mean", F.lit(0.0)), F.lit(1.0)).alias("confidence"))
-        .filter("text <> ''")
-    )
-
+    # spans meet their text as one row, so a text is not copied per span
+    listed = spans.groupBy(key).agg(F.collect_list(F.struct("first_pos", "start", "end", "entity_type", "mean")).alias("spans"))
 
-def token_classifier_job(
-    docs: DataFrame, key: str, load: Callable[[], Callable[[list[str]], list[list[tuple]]]], max_tokens: int = MAX_TOKENS
-) -> DataFrame:
-    """Run a supplied classifier over texts in Arrow batches.
+    def cut(x: Column) -> Column:
+        part = F.substring(F.col("text").cast("binary"), x["start"] + 1, x["end"] - x["start"]).cast("string")
+        return F.struct(x.alias("x"), F.when(F.is_valid_utf8(part), trim_ws(part)).alias("text"))
 
-    ``load()`` is called once per task and returns ``texts -> per text a list of
-    (start, end, logits, is_special)``; output feeds select_label and decode_bio.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
-        for pdf in batches:
-            rows = [
-                (k, pos, start, end, [float(v) for v in logits], bool(special))
-                for k, toks in zip(pdf[key], model(list(pdf["text"])))
-                for pos, (start, end, logits, special) in enumerate(toks[:max_tokens])
-            ]
-            yield pd.DataFrame(rows, columns=[key, "pos", "start", "end", "logits", "is_special"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInPandas(
-        run, f"{key} {kind}, pos int, start int, end int, logits array<double>, is_special boolean"
+    rows = listed.join(docs.select(key, "text"), key).select(key, F.explode_outer(F.transform("spans", cut)).alias("row"))
+    return (
+        rows.select(key, "row.x.first_pos", "row.text", "row.x.entity_type",
+                    F.least(F.greatest("row.x.mean", F.lit(0.0)), F.lit(1.0)).alias("confidence"))
+        .filter("text <> ''")
     )

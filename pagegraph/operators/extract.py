@@ -206,16 +206,17 @@ def microdata_summary(props: DataFrame) -> DataFrame:
 
 
 def snapshot(
-    pages: DataFrame, query: str | None = None, clustered: bool = False, keep: bool = True
+    pages: DataFrame, query: str | None = None, clustered: bool = False, k: int | None = None
 ) -> DataFrame:
-    """The full page record: core facts, microdata, preview, text length, matches of ``query``.
+    """The full page record: core facts, microdata, preview, text length, matches of ``query``, the best ``k`` or all.
 
-    Everything is keyed by ``page_id`` on the single shuffle of the pages, and
-    the elements that microdata and matches read are found once and kept
-    (persisted; with ``keep=False`` they are found again instead).
+    Everything is keyed by ``page_id`` on the single shuffle of the pages; the
+    elements that microdata and matches read are found once and written to
+    the shared folder.
     """
     from pagegraph.operators import search
     from pagegraph.operators.elements import by_page, elements, page_tokens
+    from pagegraph.session import written
 
     if not clustered:
         pages = by_page(pages)
@@ -225,10 +226,10 @@ def snapshot(
     marked = F.exists("attrs", lambda a: a["name"].isin("itemscope", "itemprop"))
     matches = None
     wanted = marked if query is None else marked | F.col("tag").isin(*search.PASSAGE_TAGS)
-    elems = elems.filter(wanted).persist() if keep else elems.filter(wanted)
+    elems = written(elems.filter(wanted), "elements")
     if query is not None:
         found = search.match_one(search.passages(toks, elems), "page_id", query)
-        matches = search.rank_matches(found, "page_id")
+        matches = search.rank_matches(found, "page_id", k=k)
     micro = microdata_summary(microdata_properties(elems, toks))
     micro = micro.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("item_pos", "item_type", F.col("n_filled").alias("properties")))).alias("microdata")

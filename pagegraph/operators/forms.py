@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagegraph.functions import markup as M
 from pagegraph.functions.text import trim_ws
 from pagegraph.operators.elements import with_text
+from pagegraph.session import written
 
 # Field types by input type, and purposes by words of the action.
 INPUT_TYPES = {
@@ -32,8 +33,8 @@ FORM_TAGS = ("form", "input", "textarea", "select", "button", "label")
 
 
 def form_elements(elems: DataFrame) -> DataFrame:
-    """The elements form analysis reads: a small part of a page, kept as it is read several times."""
-    return elems.filter(F.col("tag").isin(*FORM_TAGS)).persist()
+    """The elements form analysis reads: a small part of a page, written once as it is read several times."""
+    return written(elems.filter(F.col("tag").isin(*FORM_TAGS)), "form-elements")
 
 
 def field_type(type_attr: Column) -> Column:

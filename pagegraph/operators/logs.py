@@ -90,24 +90,26 @@ def agent_steps(messages: DataFrame) -> DataFrame:
     return messages.filter("role = 'assistant'").select("conv_id", "turn", agent_step(F.col("text")).alias("x")).select("conv_id", "turn", "x.*")
 
 
-def agent_outcome(messages: DataFrame, max_iterations: int = 10) -> DataFrame:
-    """``conv_id, success, result, iterations``: how each run ended.
+def agent_outcome(messages: DataFrame, max_iterations: int | None = None) -> DataFrame:
+    """``conv_id, success, result, iterations``: how each run ended, and after how many messages of the assistant.
 
-    Only the first ``max_iterations`` messages of a run can matter, so a long
-    run is cut before the shuffle by the ranked window.
+    With ``max_iterations``, a run whose first finish comes later, or never, has failed by that limit; the count is real all the same.
     """
     w = Window.partitionBy("conv_id").orderBy("turn")
-    first = messages.filter("role = 'assistant'").withColumn("i", F.row_number().over(w)).filter(F.col("i") <= max_iterations + 1)
+    first = messages.filter("role = 'assistant'").withColumn("i", F.row_number().over(w))
     s = first.select("conv_id", "i", agent_step(F.col("text")).alias("x")).select("conv_id", "i", "x.*")
     text = F.when(~F.col("input_json"), F.col("input")).when(F.col("input").startswith('"'), F.from_json(
         F.concat(F.lit("["), F.col("input"), F.lit("]")), "array<string>")[0])
-    done = (F.upper("action") == FINISH) & (F.col("i") <= max_iterations)
+    done = F.upper("action") == FINISH
+    over = F.lit(False) if max_iterations is None else F.col("n") >= max_iterations
+    if max_iterations is not None:
+        done = done & (F.col("i") <= max_iterations)
     g = s.groupBy("conv_id").agg(
         F.min(F.when(done, F.struct("i", F.coalesce(text, "thought").alias("result")))).alias("end"), F.max("i").alias("n"))
     return g.select(
         "conv_id", F.col("end").isNotNull().alias("success"),
-        F.when(F.col("end").isNotNull(), F.col("end.result")).when(F.col("n") >= max_iterations, "Maximum iterations reached").alias("result"),
-        F.coalesce("end.i", F.least("n", F.lit(max_iterations))).alias("iterations"),
+        F.when(F.col("end").isNotNull(), F.col("end.result")).when(over, "Maximum iterations reached").alias("result"),
+        F.coalesce("end.i", "n").alias("iterations"),
     )
 
 

@@ -215,6 +215,11 @@ def path_alternative(*edges: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y), edges)
 
 
+def path_optional(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b`` of zero or one step: the edges, and every one of ``nodes(node)`` with itself."""
+    return edges.select("a", "b").unionByName(nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))).distinct()
+
+
 def edges(triples: DataFrame, p: str) -> DataFrame:
     """``a, b`` of one predicate, as terms."""
     return scan(triples, ("?a", p, "?b"))

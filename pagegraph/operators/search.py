@@ -1,9 +1,9 @@
 """Query-focused passage ranking.
 
-Tokens match as substrings, so a token index cannot answer exactly; instead
-every distinct token of the query table is looked up once per passage, and
-only the hits are joined back to their queries.  Passages without a hit never
-leave their task.
+Tokens match as substrings, but never beyond a word: a token has no character
+that ends one.  So tokens are matched against the distinct words of all
+passages, by an equi-join on one character gram of each token and a check, and
+passages join the words that hold a token.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 
 from pagegraph.functions.text import excerpt, let, normalize_whitespace
 from pagegraph.operators import elements as E
+from pagegraph.session import written
 
 SENTENCE_END = r"[.!?\n]"
 PASSAGE_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li")
 MAX_MATCHES = 5
-PACK = 512  # distinct tokens looked up together
+NO_WORD = r"[^\p{IsAlphabetic}\p{N}]+"
+GRAM = 3
 
 
 def tokenize_query(c: Column) -> Column:
     """Lower-cased words of more than one byte, duplicates kept."""
-    words = F.transform(F.split(c, r"[^\p{L}\p{N}]+"), F.lower)
+    words = F.transform(F.split(c, NO_WORD), F.lower)
     return F.filter(words, lambda w: F.octet_length(w) > 1)
 
 
@@ -61,36 +63,44 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     )
 
 
+def _grams(word: Column, n: int) -> Column:
+    """Distinct substrings of ``n`` characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.char_length(word) - (n - 1), F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(word, i, F.lit(n))))
+
+
+def words_with_tokens(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``word, token`` for every distinct ``word`` that contains a ``token``.
+
+    A token is looked up by the gram of it that the fewest words have; grams that no token has drop out in the join.
+    """
+    sizes = range(1, GRAM + 1)
+    grams = words.select("word", F.explode_outer(F.flatten(F.array(*[_grams(F.col("word"), n) for n in sizes]))).alias("gram"))
+    size = F.least(F.char_length("token"), F.lit(GRAM))
+    own = F.when(size == 1, _grams(F.col("token"), 1)).when(size == 2, _grams(F.col("token"), 2)).otherwise(_grams(F.col("token"), GRAM))
+    asked = tokens.select("token", F.explode_outer(own).alias("gram"))
+    common = grams.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    best = asked.join(common, "gram").groupBy("token").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return grams.join(best, "gram").filter(F.contains("word", "token")).select("word", "token").distinct()
+
+
 def match_all(passages_: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     """``query_id, key, pos, element, excerpt, score`` of every matching pair."""
     qt = query_tokens(queries)
-    packs = (
-        qt.select("token").distinct()
-        .groupBy((F.pmod(F.xxhash64("token"), F.lit(2**40)) % F.lit(64)).alias("pack"))
-        .agg(F.collect_set("token").alias("pack_tokens"))
-        .select(F.lit(0).alias("all"), F.explode(_split(F.col("pack_tokens"), PACK)).alias("pack_tokens"))
+    rows = written(passages_.select(
+        key, "pos", "element", excerpt(F.col("snippet")).alias("excerpt"),
+        F.array_distinct(F.transform(F.split("snippet", NO_WORD), F.lower)).alias("words"),
+    ), "passages")
+    said = rows.select(key, "pos", "element", "excerpt", F.explode_outer("words").alias("word")).filter("word <> ''")
+    held = words_with_tokens(said.select("word").distinct(), qt.select("token").distinct())
+    hits = said.join(held, "word").join(qt, "token")
+    # a token may be in several words of a passage but counts once
+    found = hits.groupBy("query_id", key, "pos").agg(
+        F.first("element").alias("element"), F.first("excerpt").alias("excerpt"), F.first("n_tokens").alias("n_tokens"),
+        F.collect_set(F.struct("token", "times")).alias("tokens"),
     )
-    # every passage meets every pack of tokens: packs are few and short
-    found = let(F.lower("snippet"), lambda low: F.filter("pack_tokens", lambda t: F.contains(low, t)))
-    hits = (
-        passages_.withColumn("all", F.lit(0)).join(packs, "all")
-        .select(key, "pos", "element", "snippet", F.explode(found).alias("token"))
-    )
-    scored = (
-        hits.join(qt, "token")
-        .groupBy("query_id", key, "pos", "element", "snippet", "n_tokens")
-        .agg(F.sum("times").alias("n_hits"))
-    )
-    return scored.select(
-        "query_id", key, "pos", "element", excerpt(F.col("snippet")).alias("excerpt"),
-        (F.col("n_hits") / F.col("n_tokens")).alias("score"),
-    )
-
-
-def _split(a: Column, n: int) -> Column:
-    """An array cut into arrays of at most ``n``."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(n))
-    return F.transform(starts, lambda s: F.slice(a, s, F.lit(n)))
+    n_hits = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x["times"])
+    return found.select("query_id", key, "pos", "element", "excerpt", (n_hits / F.col("n_tokens")).alias("score"))
 
 
 def match_one(passages_: DataFrame, key: str, query: str) -> DataFrame:
@@ -107,7 +117,8 @@ def match_one(passages_: DataFrame, key: str, query: str) -> DataFrame:
     )
 
 
-def rank_matches(matches: DataFrame, *keys: str, k: int = MAX_MATCHES) -> DataFrame:
-    """Best ``k`` per key: score, then shorter excerpt, then document order."""
+def rank_matches(matches: DataFrame, *keys: str, k: int | None = MAX_MATCHES) -> DataFrame:
+    """Best ``k`` per key, or all: score, then shorter excerpt, then document order."""
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.octet_length("excerpt"), "pos")
-    return matches.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = matches.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)

@@ -110,11 +110,10 @@ def insert_triples(t):
     return TR.insert_triples(graph(t), _new_customers(t))
 
 
-@query("insert_data", f"""SELECT {COLS} FROM graph WHERE p = '{ex('segment')}' UNION SELECT s, '{ex('segment')}', 'NEW', 'literal', CAST(NULL AS STRING), 'en', g FROM graph WHERE p = '{ex('balance')}'""")
+@query("insert_data", f"""SELECT {COLS} FROM graph UNION SELECT s, '{ex('segment')}', 'NEW', 'literal', CAST(NULL AS STRING), 'en', g FROM graph WHERE p = '{ex('balance')}'""")
 def insert_data(t):
-    store = graph(t).filter(F.col("p") == ex("segment"))
     data = graph(t).filter(F.col("p") == ex("balance")).select(TR.triple(F.col("s"), ex("segment"), "NEW", "literal", None, "en").alias("x")).select("x.*")
-    return TR.insert_triples(store, data)
+    return TR.insert_triples(graph(t), data)
 
 
 # --- patterns ------------------------------------------------------------------------------------
@@ -177,7 +176,7 @@ def pattern_not_exists(t):
     return P.not_exists(P.scan(g, ("?customer", TYPE, ex("Customer"))), P.scan(g, ("?order", ex("placedBy"), "?customer")))
 
 
-@query("pattern_topk", f"SELECT st AS part, ot AS name FROM gt WHERE p = '{ex('name')}' ORDER BY ot DESC, st DESC LIMIT 25")
+@query("pattern_topk", f"SELECT st AS part, ot AS name FROM gt WHERE p = '{ex('name')}' ORDER BY o DESC, ot DESC, s DESC LIMIT 25")
 def pattern_topk(t):
     return P.order_by(P.scan(graph(t), ("?part", ex("name"), "?name")), "name", "part", descending=True).limit(25)
 
@@ -215,21 +214,22 @@ def insert_where(t):
     return P.insert_where(g, sol, [("?x", ex("region"), "?r")])
 
 
-@query("delete_where", f"""SELECT {COLS} FROM graph WHERE NOT (p = '{ex('nation')}' AND o IN (SELECT s FROM graph WHERE p = '{ex('inRegion')}' AND o = '{ex('region/1')}'))""")
+@query("delete_where", f"""WITH n AS (SELECT DISTINCT s AS nation FROM graph WHERE p = '{ex('inRegion')}' AND o = '{ex('region/1')}')
+  SELECT {COLS} FROM graph LEFT JOIN n ON p = '{ex('nation')}' AND o = nation WHERE nation IS NULL""")
 def delete_where(t):
     g = graph(t)
     sol = P.match(g, [("?x", ex("nation"), "?n"), ("?n", ex("inRegion"), ex("region/1"))])
     return P.delete_where(g, sol, [("?x", ex("nation"), "?n")])
 
 
-@query("list_entities", "SELECT entity FROM (SELECT s AS entity FROM graph UNION SELECT o FROM graph WHERE o_kind = 'iri') ORDER BY entity LIMIT 1000")
+@query("list_entities", "SELECT entity FROM (SELECT s AS entity FROM graph UNION SELECT o FROM graph WHERE o_kind = 'iri')")
 def list_entities(t):
-    return P.entities(graph(t)).orderBy("entity").limit(1000)
+    return P.entities(graph(t))
 
 
-@query("list_relations", "SELECT DISTINCT p AS relation FROM graph ORDER BY relation LIMIT 100")
+@query("list_relations", "SELECT DISTINCT p AS relation FROM graph")
 def list_relations(t):
-    return P.relations(graph(t)).orderBy("relation").limit(100)
+    return P.relations(graph(t))
 
 
 @query("candidate_pairs", f"""SELECT a.st AS customer, b.st AS nation FROM gt a, gt b WHERE a.p = '{TYPE}' AND a.o = '{ex('Customer')}' AND b.p = '{TYPE}' AND b.o = '{ex('Nation')}'
@@ -289,19 +289,25 @@ def pattern_bind_values(t):
 
 @query("property_path", f"""WITH RECURSIVE up AS (SELECT st AS a, ot AS b FROM gt WHERE p = '{NS_RDFS}subClassOf'),
   clo AS (SELECT a, b FROM up UNION SELECT clo.a, up.b FROM clo JOIN up ON up.a = clo.b),
-  star AS (SELECT a, b FROM clo UNION SELECT a, a FROM up UNION SELECT b, b FROM up)
+  star AS (SELECT a, b FROM clo UNION SELECT ot, ot FROM gt WHERE p = '{TYPE}')
   SELECT DISTINCT 'type/sub*' AS path, t.st AS a, star.b FROM gt t JOIN star ON star.a = t.ot WHERE t.p = '{TYPE}'
   UNION ALL SELECT DISTINCT 'placedBy/nation|^nation', x.st, y.ot FROM gt x JOIN gt y ON y.st = x.ot AND y.p = '{ex('nation')}' WHERE x.p = '{ex('placedBy')}'
-  UNION ALL SELECT DISTINCT 'placedBy/nation|^nation', ot, st FROM gt WHERE p = '{ex('nation')}'""")
+  UNION ALL SELECT DISTINCT 'placedBy/nation|^nation', ot, st FROM gt WHERE p = '{ex('nation')}'
+  UNION ALL SELECT 'placedBy/nation?', a, b FROM (SELECT st AS a, ot AS b FROM gt WHERE p = '{ex('placedBy')}'
+    UNION SELECT x.st, y.ot FROM gt x JOIN gt y ON y.st = x.ot AND y.p = '{ex('nation')}' WHERE x.p = '{ex('placedBy')}')""")
 def property_path(t):
     g = graph(t)
     up = P.edges(g, TM.SUBCLASS)
-    nodes = up.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    star = R.closure(up, reflexive_on=nodes)
-    p1 = P.path_sequence(P.edges(g, TYPE), star).distinct().withColumn("path", F.lit("type/sub*"))
+    types = P.edges(g, TYPE)
+    # a path of length zero starts wherever the step before ends, in the hierarchy or not
+    star = R.closure(up, reflexive_on=types.select(F.col("b").alias("node")))
+    p1 = P.path_sequence(types, star).distinct().withColumn("path", F.lit("type/sub*"))
     seq = P.path_sequence(P.edges(g, ex("placedBy")), P.edges(g, ex("nation"))).distinct()
     p2 = P.path_alternative(seq, P.path_inverse(P.edges(g, ex("nation")))).withColumn("path", F.lit("placedBy/nation|^nation"))
-    return p1.unionByName(p2)
+    placed, nation = P.edges(g, ex("placedBy")), P.edges(g, ex("nation"))
+    maybe = P.path_optional(nation, placed.select(F.col("b").alias("node")))
+    p3 = P.path_sequence(placed, maybe).distinct().withColumn("path", F.lit("placedBy/nation?"))
+    return p1.unionByName(p2).unionByName(p3)
 
 
 @query("subselect_offset", f"""SELECT a.customer, b.ot AS name FROM (SELECT ot AS customer, count(*) AS n FROM gt WHERE p = '{ex('placedBy')}' GROUP BY ot

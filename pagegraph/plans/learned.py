@@ -1,4 +1,4 @@
-"""Queries on entities and embeddings."""
+"""Queries on entities and embeddings."""
 
 from __future__ import annotations
 
@@ -46,9 +46,9 @@ def entity_counts(t):
 
 
 @query("select_label", """SELECT vec_id, list_position(x, list_max(x)) - 1 AS idx,
-  round(1 / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))), 6) AS confidence FROM (SELECT vec_id, CAST(embedding[1:9] AS DOUBLE[]) AS x FROM embeddings)""")
+  round(1 / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))), 6) AS confidence FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)""")
 def select_label(t):
-    logits = t.embeddings.select("vec_id", N.select_label(F.slice("embedding", 1, 9)).alias("x"))
+    logits = t.embeddings.select("vec_id", N.select_label(F.col("embedding")).alias("x"))
     return logits.select("vec_id", "x.idx", F.round("x.confidence", 6).alias("confidence"))
 
 
@@ -85,34 +85,6 @@ def decode_bio(t):
     return N.decode_bio(ner_tokens(t), t.documents, "doc_id").withColumn("confidence", F.round("confidence", 6))
 
 
-def _word_model():
-    """A stand-in classifier: capitalised words are persons."""
-
-    def run(texts: list[str]) -> list[list[tuple]]:
-        out = []
-        for text in texts:
-            at, toks = 0, []
-            for w in text.split(" "):
-                n = len(w.encode())
-                person = w[:1].isupper()
-                logits = [0.0 if person else 2.0, 0, 0, 2.0 if person else 0.0, 0, 0, 0, 0, 0]
-                toks.append((at, at + n, logits, False))
-                at += n + 1
-            out.append(toks)
-        return out
-
-    return run
-
-
-@query("ner_model_job")
-def ner_model_job(t):
-    toks = N.token_classifier_job(t.documents, "doc_id", _word_model)
-    picked = toks.withColumn("x", N.select_label(F.col("logits")))
-    label = F.element_at(F.array(*[F.lit(x) for x in N.LABELS]), F.col("x.idx") + 1)
-    ready = picked.select("doc_id", "pos", "start", "end", label.alias("label"), F.col("x.confidence").alias("confidence"), "is_special")
-    return N.decode_bio(ready, t.documents, "doc_id")
-
-
 # --- embeddings --------------------------------------------------------------------------------
 
 

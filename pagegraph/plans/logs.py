@@ -117,18 +117,17 @@ def agent_steps(t):
     return L.agent_steps(I.transcripts(t))
 
 
-MAX_ITERATIONS = 2
 
 
 @query("agent_outcome", f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM agent_rows),
-  e AS (SELECT conv_id, min(i) AS i FROM n WHERE upper(action) = 'FINISH' AND i <= {MAX_ITERATIONS} GROUP BY conv_id),
+  e AS (SELECT conv_id, min(i) AS i FROM n WHERE upper(action) = 'FINISH' GROUP BY conv_id),
   c AS (SELECT conv_id, max(i) AS n FROM n GROUP BY conv_id)
   SELECT c.conv_id, e.i IS NOT NULL AS success, CASE WHEN e.i IS NOT NULL THEN coalesce(CASE WHEN NOT input_json THEN input
-      WHEN starts_with(input, '"') THEN json_extract_string(input, '$') END, thought) WHEN c.n >= {MAX_ITERATIONS} THEN 'Maximum iterations reached' END AS result,
-    coalesce(e.i, least(c.n, {MAX_ITERATIONS})) AS iterations
+      WHEN starts_with(input, '"') THEN json_extract_string(input, '$') END, thought) END AS result,
+    coalesce(e.i, c.n) AS iterations
   FROM c LEFT JOIN e USING (conv_id) LEFT JOIN n ON n.conv_id = e.conv_id AND n.i = e.i""")
 def agent_outcome(t):
-    return L.agent_outcome(I.transcripts(t), MAX_ITERATIONS)
+    return L.agent_outcome(I.transcripts(t))
 
 
 @query("chat_export_system", """SELECT conv_id, turn, CASE role WHEN 'tool' THEN 'user' ELSE role END AS role, content, system FROM

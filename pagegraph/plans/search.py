@@ -19,7 +19,7 @@ QUERY = "The great widget, à la carte"
 
 
 def tokenize_sql(c):
-    return (f"list_filter(list_transform(regexp_split_to_array({c}, '[^\\p{{L}}\\p{{N}}]+'), lambda w_: lower(w_)), "
+    return (f"list_filter(list_transform(regexp_split_to_array({c}, '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w_: lower(w_)), "
             "lambda w_: octet_length(encode(w_)) > 1)")
 
 
@@ -120,7 +120,8 @@ _JOINS = "\n".join([
     _per_page("og_pairs", "k", "'  og:' || k || ': ' || v", "og"),
     _per_page("tw_pairs", "k", "'  twitter:' || k || ': ' || v", "tw"),
     _per_page("micro_sum", "item_pos", "'- ' || item_type || ': ' || n_filled || ' properties'", "mi"),
-    _per_page("(SELECT * FROM page_matches WHERE rank <= 5)", "rank", f"'- [' || element || ' | ' || {_SC} || '] ' || excerpt", "qm"),
+    _per_page("page_matches", "rank", "excerpt", "qm"),
+    _per_page("(SELECT * FROM page_matches WHERE rank <= 5)", "rank", f"'- [' || element || ' | ' || {_SC} || '] ' || excerpt", "q5"),
 ])
 
 
@@ -141,7 +142,7 @@ def page_snapshot(t):
   'Open Graph tags: ' || n_og || chr(10) || t_og, 'Twitter Card tags: ' || n_tw || chr(10) || t_tw,
   'JSON-LD objects: ' || json_ld_count, 'Microdata items: ' || coalesce(n_mi, 0), t_mi,
   'Text content length: ' || text_length || ' chars', 'Final URL: ' || s.url,
-  'Query matches:' || chr(10) || t_qm) AS summary FROM snap s {_JOINS}""")
+  'Query matches:' || chr(10) || t_q5) AS summary FROM snap s {_JOINS}""")
 def page_summary(t):
     return snapshot(t).select("page_id", X.summary_text(F.lit(QUERY)).alias("summary"))
 
@@ -189,7 +190,7 @@ CTES["attempts"] = " UNION ALL ".join([
     _row(D.q(_e("schema:itemType")), "item_type") + " FROM micro_sum JOIN snap USING (page_id) WHERE item_type <> ''",
     _row(D.q(_e("schema:numberOfProperties")), "CAST(n_filled AS VARCHAR)", dt=_INT) + " FROM micro_sum JOIN snap USING (page_id)",
     _row(D.q(_e("schema:abstract")), "text_preview") + " FROM snap WHERE text_preview <> ''",
-    _row(D.q(_e("schema:mentions")), f"excerpt || ' (element=' || element || ', score=' || {_SC} || ')'") + " FROM page_matches JOIN snap USING (page_id) WHERE rank <= 5",
+    _row(D.q(_e("schema:mentions")), f"excerpt || ' (element=' || element || ', score=' || {_SC} || ')'") + " FROM page_matches JOIN snap USING (page_id)",
     _row(D.q(_e("schema:query")), D.q(QUERY)) + " FROM snap",
     _row(D.q(_e("rdf:type")), D.q(_e("schema:WebPage")), "'iri'") + " FROM snap",
 ])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pagegraph", cores: int | None = None) -> SparkSession:
@@ -28,15 +30,22 @@ def build_session(app: str = "pagegraph", cores: int | None = None) -> SparkSess
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a fresh local one only if the session names none."""
+    """The shared checkpoint folder; a fresh local one only where the session names none and driver and tasks are one process."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
     sc.setCheckpointDir(named)
     return named
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once to a new folder in the shared checkpoint folder, and read back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
