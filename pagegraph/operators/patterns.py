@@ -168,11 +168,16 @@ def describe(triples: DataFrame, *resources: str) -> DataFrame:
 
 def insert_where(triples: DataFrame, solutions: DataFrame, template: list[tuple]) -> DataFrame:
     """The graph after the update; solutions were taken from the state before it."""
-    return insert_triples(triples, construct(solutions, template))
+    return insert_triples(triples, construct(solutions, template), _predicates(template))
 
 
 def delete_where(triples: DataFrame, solutions: DataFrame, template: list[tuple]) -> DataFrame:
-    return delete_triples(triples, construct(solutions, template))
+    return delete_triples(triples, construct(solutions, template), _predicates(template))
+
+
+def _predicates(template: list[tuple]) -> list[str] | None:
+    """The predicates of a template, or None if one is a variable."""
+    return None if any(_var(p) for _, p, _ in template) else sorted({_term(p).value for _, p, _ in template})
 
 
 def entities(triples: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagegraph.functions import terms as T
 from pagegraph.operators.triples import COLUMNS, triple
-from pagegraph.session import checkpoint_dir
+from pagegraph.session import checkpoint_dir, removed, written
 
 
 def _iri_edges(triples: DataFrame, p: str) -> DataFrame:
@@ -104,6 +104,8 @@ def closure(edges: DataFrame, reflexive_on: DataFrame | None = None) -> DataFram
         known = step.select(F.col("m").alias("a"), F.col("c").alias("b")).unionByName(
             spark.read.schema("a STRING, b STRING").parquet(*rounds)
         )
+    known = written(known, "closure")
+    removed(spark, base)
     if reflexive_on is not None:
         loops = reflexive_on.select(F.col("node").alias("a"), F.col("node").alias("b"))
         known = known.unionByName(loops).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,12 @@ def make_terms(rows: DataFrame) -> DataFrame:
     IRIs must be absolute, language tags well formed; a literal carries a
     datatype or a language, not both.
     """
-    bad = (
+    return rows.withColumn("reason", term_fault())
+
+
+def term_fault() -> Column:
+    """What is wrong with a row's terms, null if nothing."""
+    return (
         F.when(~T.is_absolute_iri(F.col("s")), "subject")
         .when(~T.is_absolute_iri(F.col("p")), "predicate")
         .when((F.col("o_kind") == "iri") & ~T.is_absolute_iri(F.col("o")), "object")
@@ -36,7 +43,6 @@ def make_terms(rows: DataFrame) -> DataFrame:
         .when(F.col("o_lang").isNotNull() & ~F.col("o_lang").rlike(T.LANG_TAG), "language")
         .when(F.col("o_lang").isNotNull() & F.col("o_datatype").isNotNull(), "datatype and language")
     )
-    return rows.withColumn("reason", bad)
 
 
 def _one(cond: Column, t: Column) -> Column:
@@ -137,15 +143,24 @@ def rows_to_triples(rows: DataFrame, subject: Column, facts: list[Column]) -> Da
     )
 
 
-def insert_triples(store: DataFrame, new: DataFrame) -> DataFrame:
-    """Union with set semantics; inserting twice changes nothing."""
-    return store.select(*COLUMNS).unionByName(new.select(*COLUMNS)).dropDuplicates()
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in COLUMNS])
+
 
+def insert_triples(store: DataFrame, new: DataFrame, predicates: list[str] | None = None) -> DataFrame:
+    """The store, a set, and the new triples it lacks; inserting twice changes nothing.
 
-def delete_triples(store: DataFrame, gone: DataFrame) -> DataFrame:
-    """The store without the given triples (exact terms, null-safe)."""
-    cond = [store[c].eqNullSafe(gone[c]) for c in COLUMNS]
-    both = cond[0]
-    for x in cond[1:]:
-        both = both & x
-    return store.join(gone, both, "left_anti")
+    Only the new triples are deduplicated and compared, with the stored triples of the ``predicates`` they can have.
+    """
+    held = store.select(*COLUMNS)
+    near = held if predicates is None else held.filter(F.col("p").isin(*predicates))
+    fresh = new.select(*COLUMNS).dropDuplicates()
+    return held.unionByName(fresh.join(near, _same(fresh, near), "left_anti"))
+
+
+def delete_triples(store: DataFrame, gone: DataFrame, predicates: list[str] | None = None) -> DataFrame:
+    """The store without the given triples (exact terms, null-safe); triples of other ``predicates`` are left alone."""
+    if predicates is None:
+        return store.join(gone, _same(store, gone), "left_anti")
+    touched = store.filter(F.col("p").isin(*predicates))
+    return store.filter(~F.col("p").isin(*predicates)).unionByName(touched.join(gone, _same(touched, gone), "left_anti"))

@@ -107,13 +107,13 @@ def _new_customers(t):
 
 @query("insert_triples", f"SELECT {COLS} FROM graph UNION {_NEW}")
 def insert_triples(t):
-    return TR.insert_triples(graph(t), _new_customers(t))
+    return TR.insert_triples(graph(t), _new_customers(t), [TYPE])
 
 
 @query("insert_data", f"""SELECT {COLS} FROM graph UNION SELECT s, '{ex('segment')}', 'NEW', 'literal', CAST(NULL AS STRING), 'en', g FROM graph WHERE p = '{ex('balance')}'""")
 def insert_data(t):
     data = graph(t).filter(F.col("p") == ex("balance")).select(TR.triple(F.col("s"), ex("segment"), "NEW", "literal", None, "en").alias("x")).select("x.*")
-    return TR.insert_triples(graph(t), data)
+    return TR.insert_triples(graph(t), data, [ex("segment")])
 
 
 # --- patterns ------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pagegraph.operators.extract import snapshot
 from pagegraph.operators.limits import LIMIT, WINDOW_SECONDS
 from pagegraph.operators.triples import COLUMNS, TRIPLE_SCHEMA, snapshot_triples
+from pagegraph.session import written
 from pagegraph.sources.pages import PAGE_SCHEMA
 
+BUCKETS = 256
+
 
 def page_stream(spark: SparkSession, folder: str, files: str = "*.parquet", per_trigger: int = 100) -> DataFrame:
     """Pages of the parquet files of a folder, as they arrive."""
@@ -34,7 +38,7 @@ def run_to_table(stream: DataFrame, path: str) -> DataFrame:
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(TRIPLE_SCHEMA).parquet(f"{store}/batch=*").select(*COLUMNS)
+    return spark.read.schema(TRIPLE_SCHEMA + ", batch INT, bucket INT").option("basePath", store).parquet(store).select(*COLUMNS)
 
 
 def load_pages(pages: DataFrame, store: str, query: str | None = None) -> None:
@@ -42,20 +46,22 @@ def load_pages(pages: DataFrame, store: str, query: str | None = None) -> None:
 
     A batch writes its own folder and overwrites it on a retry, and compares
     with the folders before it only, so a repeated batch gives the same store.
+    Folders are cut into buckets of subjects; a batch reads the buckets that it
+    has subjects of.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        new = snapshot_triples(snapshot(batch, query, keep=False), query)
+        bucket = F.pmod(F.xxhash64("s"), F.lit(BUCKETS)).cast("int")
+        new = written(snapshot_triples(snapshot(batch, query), query).withColumn("bucket", bucket), "load")
         spark = batch.sparkSession
         folder = f"{store}/batch={batch_id:010d}"
         if batch_id > 0:
-            old = spark.read.schema(TRIPLE_SCHEMA + ", batch INT").option("basePath", store).parquet(store).filter(F.col("batch") < batch_id)
-            same = [new[c].eqNullSafe(old[c]) for c in COLUMNS]
-            cond = same[0]
-            for x in same[1:]:
-                cond = cond & x
-            new = new.join(old, cond, "left_anti")
-        new.write.mode("overwrite").parquet(folder)
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+            old = spark.read.schema(TRIPLE_SCHEMA + ", batch INT, bucket INT").option("basePath", store).parquet(store)
+            old = old.filter((F.col("batch") < batch_id) & F.col("bucket").isin(*touched))
+            same = reduce(lambda x, y: x & y, [new[c].eqNullSafe(old[c]) for c in ("bucket", *COLUMNS)])
+            new = new.join(old, same, "left_anti")
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
     q = (
         pages.writeStream.foreachBatch(add).option("checkpointLocation", f"{store}-state")

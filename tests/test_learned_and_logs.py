@@ -1,5 +1,6 @@
 """Entities, link prediction, limits, logs, streams."""
 
+import os
 import random
 import tempfile
 from datetime import datetime, timedelta
@@ -110,11 +111,46 @@ def test_limit_stream_agrees_with_batch(spark):
     df = spark.createDataFrame(rows, schema)
     df.filter("id < 30").coalesce(1).write.mode("append").parquet(folder)
     df.filter("id >= 30").coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 10).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = ST.run_to_table(ST.limit_stream(stream), tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     assert {r.id: r.accepted for r in out.collect()} == brute_limit(rows, 60, 10)
 
 
+def test_pages_load_over_batches_and_again(spark):
+    """Two micro-batches with a page in common, then the second once more: a set all the time."""
+    folder, store = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/store"
+    html = "<html lang='en'><head><title>T{}</title></head><body><p>x</p></body></html>"
+    pages = [(i, f"http://x.org/{i}", html.format(i)) for i in range(4)]
+    write = lambda rows: spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.mode("append").parquet(folder)
+    write(pages[:2])
+    write(pages[1:])
+    ST.load_pages(ST.page_stream(spark, folder, per_trigger=1), store)
+    first = [tuple(r) for r in ST.read_store(spark, store).collect()]
+    assert len(first) == len(set(first)) and {r[2] for r in first if r[1].endswith("title")} == {"T0", "T1", "T2", "T3"}
+    write(pages[2:])
+    ST.load_pages(ST.page_stream(spark, folder, per_trigger=1), store)
+    assert sorted(map(str, ST.read_store(spark, store).collect())) == sorted(map(str, ST.read_store(spark, store).distinct().collect()))
+    assert ST.read_store(spark, store).count() == len(first)
+
+
+def test_red_metrics_on_a_stream_with_a_late_row(spark):
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = "endpoint string, status string, duration double, ts timestamp"
+    ten = T0 + timedelta(minutes=10)
+    batches = [[("/a", "200", 1.0, T0), ("/a", "500", 2.0, T0 + timedelta(seconds=30))], [("/a", "200", 1.0, ten)], [("/b", "404", 1.0, ten)],
+               [("/a", "200", 9.0, T0 + timedelta(seconds=5))], [("/a", "200", 1.0, T0 + timedelta(minutes=30))]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        for name in os.listdir(folder):
+            if name.endswith(".parquet") and os.path.getmtime(f"{folder}/{name}") > 1_000_000_000:
+                os.utime(f"{folder}/{name}", (i + 1, i + 1))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = ST.run_to_table(LM.red_metrics(stream, watermark="2 minutes"), tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    got = {(r.minute - T0, r.endpoint): (r.requests, r.errors, r.total_duration) for r in out.collect()}
+    # the row of minute 0 that came after minute 10 is too late; minute 30 is still open
+    assert got == {(timedelta(0), "/a"): (2, 1, 3.0), (timedelta(minutes=10), "/a"): (1, 0, 1.0), (timedelta(minutes=10), "/b"): (1, 1, 1.0)}
+
+
 def test_exact_quantile(spark):
     xs = [float(i % 37) / 7 for i in range(500)] + [3.0] * 300
     df = spark.createDataFrame([("g", x) for x in xs], "g string, x double")

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagegraph.functions import markup as M
@@ -9,6 +10,7 @@ from pagegraph.functions.text import decode_entities, normalize_whitespace
 from pagegraph.operators import elements as E
 from pagegraph.operators import extract as X
 from pagegraph.operators import forms as FM
+from pagegraph.operators import search as SR
 from pagegraph.operators import validate as V
 
 PAGE = """<!DOCTYPE html><html lang=" en "><head><title>Test Page</title><!-- <title>no</title> -->
@@ -103,3 +105,44 @@ def test_json_ld_strict_fails_the_page(spark):
     block = "<script type='application/ld+json'>{}</script>".format
     p = pages(spark, block(json.dumps({"a": 1})) + block("{"), block("null"))
     assert [r.ok for r in X.json_ld_strict(p).orderBy("page_id").collect()] == [False, True]
+
+
+def test_html5_references(spark):
+    """Expectations written by hand, by the rules of the HTML standard."""
+    cases = {
+        "&check; &NotEqualTilde; &apos;": "✓ ≂̸ '", "&amp x &copy y": "& x © y", "&#00000065;&#x00041;&#65 &#x42z": "AAA Bz", "&#150;&#x80;": "–€",
+        "&#0;&#xD800;&#9999999999;": "\ufffd\ufffd\ufffd", "&notit; &notin;": "¬it; ∉", "&amp;lt;": "&lt;", "AT&T & &; &unknown; &#; &#x;": "AT&T & &; &unknown; &#; &#x;",
+        "&ampamp": "&amp",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "x string")
+    got = {r.x: r.y for r in df.select("x", decode_entities(F.col("x")).alias("y")).collect()}
+    assert got == cases
+    attrs = spark.createDataFrame([("?a=1&copy=2&amp;b&lt",)], "x string").select(decode_entities(F.col("x"), attribute=True).alias("y")).first().y
+    assert attrs == "?a=1&copy=2&b<"
+
+
+def test_words_keep_combining_vowel_signs(spark):
+    df = spark.createDataFrame([("हिन्दी शब्द, ab-c à x",)], "q string")
+    words = df.select(SR.tokenize_query(F.col("q")).alias("w")).first().w
+    assert words[0].startswith("हि") and "ab" in words and "à" in words and "x" not in words
+
+
+def test_pages_are_tokenised_once(spark):
+    pages = spark.createDataFrame([(1, "http://x.org", "<p>a</p>")], "page_id bigint, url string, html string")
+    plan = E.elements(E.page_tokens(pages))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(html") == 1
+
+
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_corpus_search_plans_no_product(spark, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        rows = spark.createDataFrame([(1, 0, "p", "The widgets, à la carte"), (2, 0, "p", "nothing"), (3, 1, "li", "midget wid get")], "page_id int, pos int, element string, snippet string")
+        qs = spark.createDataFrame([(7, "the widget à"), (8, "get get it")], "query_id int, query string")
+        found = SR.match_all(rows, "page_id", qs)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert {(r.query_id, r.page_id): round(r.score, 4) for r in found.collect()} == {(7, 1): 1.0, (8, 1): 0.6667, (8, 3): 0.6667}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
