@@ -5,11 +5,11 @@ the place in it whose q-gram has the smallest hash, and equal strings have it at
 
 1. anchors are put into buckets by their q-gram; a bucket of one is done;
 2. a bucket is refined by what lies at the offsets around: the identifier of all bytes that strings of this anchor can cover (the first
-   anchor of such a class stands for the others, whose strings are all repeats), and the identifiers of the bytes before and after,
-   of which one must recur for a string to recur;
+   anchor of such a class stands for the others, whose strings are all repeats), and the identifiers of what all strings of one quarter
+   of the starts have in common, which must recur for one of them to recur;
 3. what is left is refined to single strings: an identifier per start, made of those of its parts; all but the first are repeats.
 
-Identifiers are hashes of content, so that tasks agree on them without a common table. A string is known by 128 bits.
+Identifiers are hashes of content, so that tasks agree on them without a common table. A string is known by 96 bits.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pagegraph.llm.units import slices
 from pagegraph.llm.words import BASE, BASE_INVERSE, mixed
 
 LENGTH = 100
-GRAM = 24
+GRAM = 16
 PIECE = 1 << 19  # bytes of a text that are looked at together; pieces overlap by a string
 RUN = 1 << 20  # anchors of a bucket that are refined in memory; a larger bucket goes on unrefined
 
@@ -88,7 +88,16 @@ def pieces(size: int) -> Iterator[tuple[int, int]]:
         yield a, min(a + PIECE + LENGTH - 1, size)
 
 
-HALF = (LENGTH - GRAM) // 2  # a string has this many bytes before its anchor, or as many after the anchor's q-gram and more
+QUARTER = -(-(LENGTH - GRAM + 1) // 4)  # strings are told apart by how far before the anchor they start, in four groups
+
+
+def packed(at: np.ndarray, before: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Place of an anchor, bytes from the first start to it, further starts, and a bit that is 0, in one number."""
+    return at << 17 | before << 9 | more << 1
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 17, place >> 9 & 0xFF, place >> 1 & 0xFF
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,12 +106,12 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(flat.buffers()[2] or b"", dtype=np.uint8), ends
 
 
-ANCHOR = "g long, c long, rl long, ord long, at long, span int, again boolean"
+ANCHOR = "g long, c long, sides long, ord long, place long"
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """Anchors of all texts of ``docs`` (ord, text): bucket g, class c, sides rl, ord, place, span of starts, and whether a task has
-    already seen an earlier member of the class (which is then known to be repeated, wherever the first one is)."""
+    """Anchors of all texts of ``docs`` (ord, text): bucket g, class c, identifiers of the four groups (sides), ord and packed
+    place, whose last bit says that the task has seen an earlier member of the class: it is repeated, wherever the first one is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, _ = tools()
@@ -110,14 +119,13 @@ def anchors(docs: DataFrame) -> DataFrame:
         count = 0
 
         def combine() -> pa.RecordBatch:
-            g, c, rl, ords, at, span = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((at, ords, c, g))
-            again = np.zeros(len(g), dtype=bool)
+            g, c, sides, ords, place = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((place, ords, c, g))
             same = (g[order][1:] == g[order][:-1]) & (c[order][1:] == c[order][:-1])
-            again[order[1:]] = same
+            place[order[1:]] |= same
             return pa.RecordBatch.from_arrays(
-                [pa.array(x.view(np.int64)) for x in (g, c, rl)] + [pa.array(ords), pa.array(at), pa.array(span), pa.array(again)],
-                names=["g", "c", "rl", "ord", "at", "span", "again"],
+                [pa.array(x.view(np.int64)) for x in (g, c, sides)] + [pa.array(ords), pa.array(place)],
+                names=["g", "c", "sides", "ord", "place"],
             )
 
         for batch in batches:
@@ -130,10 +138,11 @@ def anchors(docs: DataFrame) -> DataFrame:
                     g = mixed(grams.hashes(sums, at, at + GRAM))
                     before, after = (at - first).astype(U), (last - at + LENGTH).astype(U)
                     c = mixed(grams.hashes(sums, first, last + LENGTH) + (before << U(32)) + after)
-                    right = mixed(grams.hashes(sums, at, np.minimum(at + LENGTH - HALF, b - a)))
-                    left = mixed(grams.hashes(sums, np.maximum(at - HALF, 0), at + GRAM))
-                    rl = (right & U(0xFFFFFFFF00000000)) | (left >> U(32))
-                    held.append([g, c, rl, np.full(len(at), ords[i]), at + a, ((at - first) << 8 | (last - first)).astype(np.int32)])
+                    sides = np.zeros(len(at), dtype=U)
+                    for k in range(4):
+                        lo, hi = np.maximum(at - QUARTER * k, 0), np.minimum(at + LENGTH - QUARTER * (k + 1) + 1, b - a)
+                        sides |= (mixed(grams.hashes(sums, lo, np.maximum(hi, lo))) >> U(48)) << U(16 * k)
+                    held.append([g, c, sides, np.full(len(at), ords[i]), packed(at + a, at - first, last - first)])
                     count += len(at)
                 if count > 500_000:
                     yield combine()
@@ -180,47 +189,45 @@ def _often(g: np.ndarray, side: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def refined(found: DataFrame) -> DataFrame:
-    """Anchors whose strings repeat or may: ord, at, span and kind (0: all strings repeat; bit 1, 2: those that the right or left
-    side does not exclude must be compared)."""
-    key = F.when(F.col("again"), F.xxhash64("ord", "at")).otherwise(F.col("g"))
-    rows = found.withColumn("g", key).repartition("g").sortWithinPartitions("g", "c", "ord", "at")
-    names = ["ord", "at", "span", "kind"]
+    """Anchors whose strings repeat or may: ord, place and kind (0: all strings repeat; bit k: those of group k must be compared)."""
+    again = F.col("place").bitwiseAND(F.lit(1)) == 1
+    key = F.when(again, F.xxhash64("ord", "place")).otherwise(F.col("g"))
+    rows = found.withColumn("g", key).repartition("g").sortWithinPartitions("g", "c", "ord", "place")
+    names = ["ord", "place", "kind"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[pa.RecordBatch] = []
 
         def fresh() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                again = batch.column(6)
+                again = pa.array(batch.column(4).to_numpy() & 1 == 1)
                 seen = batch.filter(again)
                 if seen.num_rows:
-                    kind = pa.array(np.zeros(seen.num_rows, dtype=np.int32))
-                    known.append(pa.RecordBatch.from_arrays([*seen.columns[3:6], kind], names=names))
-                yield batch.filter(pc.invert(again)).select(["g", "c", "rl", "ord", "at", "span"])
+                    known.append(pa.RecordBatch.from_arrays([*seen.columns[3:], pa.array(np.zeros(seen.num_rows, dtype=np.int32))], names=names))
+                yield batch.filter(pc.invert(again))
 
         last = (None, None)
-        for (g, c, rl, ords, at, span), goes_on, going in _whole_runs(fresh()):
+        for (g, c, sides, ords, place), goes_on, going in _whole_runs(fresh()):
             first = np.ones(len(g), dtype=bool)
             first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
             first[0] = (g[0], c[0]) != last
             last = (g[-1], c[-1])
-            if goes_on or going:
-                right = left = first
-            else:
-                right, left = _often(g, rl >> 32, first), _often(g, rl & 0xFFFFFFFF, first)
-            kind = np.where(first, right * 1 + left * 2, 0).astype(np.int32)
+            kind = np.zeros(len(g), dtype=np.int32)
+            for k in range(4):
+                open_ = first if goes_on or going else _often(g, sides >> 16 * k & 0xFFFF, first)
+                kind |= open_.astype(np.int32) << k
             keep = ~first | (kind > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ords, at, span, kind)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ords, place, kind)], names=names)
             while known:
                 yield known.pop()
         yield from known
 
-    return rows.mapInArrow(run, "ord long, at long, span int, kind int")
+    return rows.mapInArrow(run, "ord long, place long, kind int")
 
 
 def strings(open_anchors: DataFrame, docs: DataFrame) -> DataFrame:
-    """Identifiers of the single strings that must be compared: h1, h2, ord, start."""
-    wanted = open_anchors.groupBy("ord").agg(F.collect_list(F.struct("at", "span", "kind")).alias("open"))
+    """Identifiers of the single strings that must be compared: h1 and h2 (96 bits together), ord, start."""
+    wanted = open_anchors.groupBy("ord").agg(F.collect_list(F.struct("place", "kind")).alias("open"))
     joined = docs.join(wanted, "ord").select("ord", "text", "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,26 +236,26 @@ def strings(open_anchors: DataFrame, docs: DataFrame) -> DataFrame:
             data, ends = _texts(batch.column(1))
             lists = batch.column(2)
             bounds = lists.offsets.to_numpy()
-            fields = [lists.values.field(k).to_numpy() for k in range(3)]
+            fields = [lists.values.field(k).to_numpy() for k in range(2)]
             ords = batch.column(0).to_numpy()
             for i in range(len(ords)):
-                at, span, kind = (f[bounds[i]:bounds[i + 1]].astype(np.int64) for f in fields)
-                first, n = at - (span >> 8), (span & 0xFF) + 1
-                start = np.repeat(first, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                before = np.repeat(at, n) - start
-                side = np.repeat(kind, n)
-                start = np.sort(start[np.where(before <= HALF, side & 1, side & 2) > 0])
+                place, kind = (f[bounds[i]:bounds[i + 1]].astype(np.int64) for f in fields)
+                at, ahead, more = unpacked(place)
+                n = more + 1
+                start = np.repeat(at - ahead, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                group = (np.repeat(at, n) - start) // QUARTER
+                start = np.sort(start[np.repeat(kind, n) >> group & 1 == 1])
                 text = data[ends[i]:ends[i + 1]]
                 for a, b in pieces(len(text)):
                     mine = start[(start >= a) & (start < min(a + PIECE, b))] - a
                     if len(mine):
-                        h = [mixed(t.hashes(t.sums(text[a:b]), mine, mine + LENGTH)).view(np.int64) for t in tool]
+                        h1, h2 = (mixed(t.hashes(t.sums(text[a:b]), mine, mine + LENGTH)) for t in tool)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(mine), ords[i])), pa.array(mine + a)],
+                            [pa.array(h1.view(np.int64)), pa.array((h2 >> U(32)).astype(np.uint32).view(np.int32)), pa.array(np.full(len(mine), ords[i])), pa.array(mine + a)],
                             names=["h1", "h2", "ord", "start"],
                         )
 
-    return joined.mapInArrow(run, "h1 long, h2 long, ord long, start long")
+    return joined.mapInArrow(run, "h1 long, h2 int, ord long, start long")
 
 
 def later(rows: DataFrame) -> DataFrame:
@@ -294,10 +301,9 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     texts, ids = numbered(docs, id_col, text_col)
     found = saved(refined(anchors(texts)), "repeats-anchors")
-    first = F.col("at") - F.shiftright("span", 8)
-    whole = found.filter("kind = 0").select(
-        "ord", first.alias("a"), (first + F.col("span").bitwiseAND(F.lit(0xFF)) + LENGTH).alias("b"),
-    )
+    first = F.shiftright("place", 17) - F.shiftright("place", 9).bitwiseAND(F.lit(0xFF))
+    more = F.shiftright("place", 1).bitwiseAND(F.lit(0xFF))
+    whole = found.filter("kind = 0").select("ord", first.alias("a"), (first + more + LENGTH).alias("b"))
     single = later(strings(found.filter("kind > 0"), texts))
     spans = whole.unionByName(single).groupBy("ord").agg(F.collect_list(F.struct("a", "b")).alias("found"))
     joined = texts.join(spans, "ord", "left").select("ord", "text", "found")
