@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegraph.functions import scoring as SC
+from pagegraph.operators.patterns import pair_up
+from pagegraph.session import written
 
-BLOCK = 512
+BLOCK = 4096
+PAIR_BLOCK = 256  # nodes of a block, where all pairs of nodes are scored
 DIGITS = 9  # scores are compared after rounding, so that ties break by name everywhere
 
 
@@ -63,13 +66,25 @@ def top_k(requests: DataFrame, candidates: DataFrame, k: int, metric: str, known
             for a, b in pdf.loc[pdf.kind == "x", ["id", "other"]].itertuples(index=False):
                 if b in where:
                     skip.setdefault(a, []).append(where[b])
-            for qid, q in zip(qs["id"], qs["v"]):
+            q_all = np.stack(qs["v"].to_numpy())
+            step = max(1, 4_000_000 // len(c))
+            norms = np.einsum("ij,ij->i", c, c)
+            for at, (qid, q) in enumerate(zip(qs["id"], qs["v"])):
+                if at % step == 0:  # one product for many requests
+                    near = q_all[at:at + step] @ c.T
+                s = near[at % step]
                 if metric == "dot":
-                    s = c @ q
+                    s = np.round(s, DIGITS)
                 else:
-                    d = c - q
-                    s = -np.sqrt(np.einsum("ij,ij->i", d, d))
-                s = np.round(s, DIGITS)
+                    # the product tells who can be among the best; their distances are taken exactly
+                    rough = np.sqrt(np.maximum(norms - 2 * s + q @ q, 0))
+                    if qid in skip:
+                        rough[skip[qid]] = np.inf
+                    limit = np.partition(rough, k - 1)[k - 1] if len(rough) > k else np.inf
+                    some = np.flatnonzero(rough <= limit + 1e-5)
+                    d = c[some] - q
+                    s = np.full(len(c), -np.inf)
+                    s[some] = np.round(-np.sqrt(np.einsum("ij,ij->i", d, d)), DIGITS)
                 if qid in skip:
                     s[skip[qid]] = -np.inf
                 if len(s) > k:
@@ -187,30 +202,91 @@ def score_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame,
     return j.select("s", "p", "o", SC.score(model, F.col("hv"), F.col("rv"), F.col("tv")).alias("score"))
 
 
+def relations_of_pairs(nodes: DataFrame, relations: DataFrame, known: DataFrame, k: int, model: str, threshold: float) -> DataFrame:
+    """``h, t, r, score, rank`` for all pairs ``h < t`` of ``nodes(uri, embedding)``, where the confidence reaches ``threshold``.
+
+    Nodes are hashed into blocks and every pair of blocks is one bounded group that scores its pairs with numpy, so no row is made
+    for a pair that has nothing to say. Known triples of a pair go to its group and are left out before the best ``k``.
+    """
+    n = max(1, math.ceil(nodes.count() / PAIR_BLOCK))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.struct(
+        F.least(F.col("b"), j).alias("i"), F.greatest(F.col("b"), j).alias("j")))
+    own = nodes.select("uri", F.col("embedding").cast("array<double>").alias("v"), _bucket(F.col("uri"), n).alias("b"))
+    none = F.lit(None).cast("string")
+    placed = own.select(F.explode(cells).alias("cell"), F.lit("n").alias("kind"), "uri", none.alias("x"), none.alias("y"), "b", "v")
+    every = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(n) for j in range(i, n)]
+    rels = relations.select(F.explode(F.array(*every)).alias("cell"), F.lit("r").alias("kind"), "uri", none.alias("x"), none.alias("y"),
+                            F.lit(0).alias("b"), F.col("embedding").cast("array<double>").alias("v"))
+    a, b = _bucket(F.col("s"), n), _bucket(F.col("o"), n)
+    skips = known.select(F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).alias("cell"), F.lit("x").alias("kind"), F.col("p").alias("uri"),
+                         F.col("s").alias("x"), F.col("o").alias("y"), F.lit(0).alias("b"), F.lit(None).cast("array<double>").alias("v"))
+    rows = placed.unionByName(rels).unionByName(skips).select("cell.i", "cell.j", "kind", "uri", "x", "y", "b", "v")
+    closer = {"transe": lambda h, t: t - h}.get(model, lambda h, t: t * h)
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        ns, rs = pdf[pdf.kind == "n"], pdf[pdf.kind == "r"].sort_values("uri", kind="stable")
+        out: dict[str, list] = {"h": [], "t": [], "r": [], "score": [], "rank": []}
+        if len(ns) and len(rs):
+            names, blocks, v = ns["uri"].to_numpy(), ns["b"].to_numpy(), np.stack(ns["v"].to_numpy())
+            if model == "complex":
+                v = v.copy()
+                v[:, v.shape[1] // 2 * 2:] = 0
+            rel, r_names = np.stack(rs["v"].to_numpy()), rs["uri"].to_numpy()
+            r_at = {u: x for x, u in enumerate(r_names)}
+            skip: dict[str, list] = {}
+            for s_, p_, o_ in pdf.loc[pdf.kind == "x", ["x", "uri", "y"]].itertuples(index=False):
+                if p_ in r_at:
+                    skip.setdefault(s_, []).append((o_, r_at[p_]))
+            for at, h in enumerate(names):
+                later = np.flatnonzero((names > h) & ((blocks != blocks[at]) if i != j else True))
+                if not len(later):
+                    continue
+                q = closer(v[at], v[later])
+                if model == "transe":
+                    sc = -np.sqrt(np.square(q[:, None, :] - rel[None]).sum(axis=2))
+                else:
+                    sc = q @ rel.T
+                sc = np.round(sc, DIGITS)
+                place = {u: x for x, u in enumerate(names[later])} if h in skip else {}
+                for o_, r_ in skip.get(h, ()):
+                    if o_ in place:
+                        sc[place[o_], r_] = -np.inf
+                order = np.argsort(-sc, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(sc, order, axis=1)
+                sign = 1 if model == "transe" else -1
+                with np.errstate(over="ignore"):
+                    good = np.isfinite(best) & (1 / (1 + np.exp(sign * np.where(np.isfinite(best), best, 0))) >= threshold)
+                x, y = np.nonzero(good)
+                out["h"] += [h] * len(x)
+                out["t"] += names[later][x].tolist()
+                out["r"] += r_names[order[x, y]].tolist()
+                out["score"] += best[x, y].tolist()
+                out["rank"] += (y + 1).tolist()
+        return pd.DataFrame(out).astype({"score": float, "rank": "int32"})
+
+    return rows.repartition("i", "j").groupBy("i", "j").applyInPandas(score, "h string, t string, r string, score double, rank int")
+
+
 def complete_graph(
     known: DataFrame, entities: DataFrame, relations: DataFrame, model: str = "transe",
-    threshold: float = 0.8, k: int = 5, sample: int | None = 50, cap: int | None = 500,
+    threshold: float = 0.8, k: int = 5, sample: int | None = None, cap: int | None = None,
 ) -> DataFrame:
     """New triples ``s, p, o, stage, confidence``: tails, then heads, then relations.
 
-    ``known``: ``s, p, o`` with IRI objects.  Each stage sees the inserts of the
-    earlier ones.  ``sample`` and ``cap`` are the defining limits of this
-    operator; pass None for a full run.
+    ``known``: ``s, p, o`` with IRI objects.  Each stage is written once and sees the inserts of the earlier ones.  All nodes of
+    the graph are asked for and everything found is returned; ``sample`` (first nodes) and ``cap`` (first results) limit that.
     """
     nodes = known.select(F.explode(F.array("s", "o")).alias("uri")).distinct().join(entities.select("uri"), "uri")
     if sample is not None:
         nodes = nodes.orderBy("uri").limit(sample)
     rels = known.select(F.col("p").alias("uri")).distinct().join(relations.select("uri"), "uri")
-    per_entity = nodes.select(F.col("uri").alias("e"), F.lit(0).alias("one")).join(
-        rels.select(F.col("uri").alias("r"), F.lit(0).alias("one")), "one").drop("one")
-
-    def good(df: DataFrame) -> DataFrame:
-        conf = SC.confidence(model, F.col("score"))
-        return df.withColumn("confidence", conf).filter((F.col("confidence") >= threshold) & (F.col("s") != F.col("o")))
+    per_entity = pair_up(nodes.select(F.col("uri").alias("e")), rels.select(F.col("uri").alias("r")))
 
     def stage(df: DataFrame, n: int, keys: tuple[str, str]) -> DataFrame:
-        return good(df).select("s", "p", "o", F.lit(n).alias("stage"), F.col(keys[0]).alias("k1"), F.col(keys[1]).alias("k2"),
-                               "rank", F.lit(0).alias("turn"), "confidence")
+        good = df.withColumn("confidence", SC.confidence(model, F.col("score"))).filter((F.col("confidence") >= threshold) & (F.col("s") != F.col("o")))
+        return written(good.select("s", "p", "o", F.lit(n).alias("stage"), F.col(keys[0]).alias("k1"), F.col(keys[1]).alias("k2"),
+                                   "rank", F.lit(0).alias("turn"), "confidence"), f"stage-{n}")
 
     tails = predict_tail(per_entity.select(F.col("e").alias("h"), "r"), entities, relations, k, model, known)
     s1 = stage(tails.select(F.col("h").alias("s"), F.col("r").alias("p"), F.col("t").alias("o"), "score", "rank"), 1, ("s", "p"))
@@ -218,15 +294,13 @@ def complete_graph(
     heads = predict_head(per_entity.select(F.col("e").alias("t"), "r"), entities, relations, k, model, known2)
     s2 = stage(heads.select(F.col("h").alias("s"), F.col("r").alias("p"), F.col("t").alias("o"), "score", "rank"), 2, ("o", "p"))
     known3 = known2.unionByName(s2.select("s", "p", "o"))
-    b = nodes.select(F.col("uri").alias("t"), F.lit(0).alias("one"))
-    pairs = nodes.select(F.col("uri").alias("h"), F.lit(0).alias("one")).join(b, "one").filter("h < t").drop("one")
-    found = predict_relation(pairs, entities, relations, k, model, known3)
+    found = relations_of_pairs(nodes.join(entities, "uri"), relations, known3, k, model, threshold)
     both = found.select(F.explode(F.array(
         F.struct(F.col("h").alias("s"), F.col("r").alias("p"), F.col("t").alias("o"), F.col("h").alias("k1"), F.col("t").alias("k2"), F.lit(0).alias("turn")),
         F.struct(F.col("t").alias("s"), F.col("r").alias("p"), F.col("h").alias("o"), F.col("h").alias("k1"), F.col("t").alias("k2"), F.lit(1).alias("turn")),
     )).alias("x"), "score", "rank").select("x.*", "score", "rank")
-    s3 = good(both).join(known3, ["s", "p", "o"], "left_anti").select(
-        "s", "p", "o", F.lit(3).alias("stage"), "k1", "k2", "rank", "turn", "confidence")
+    s3 = both.join(known3, ["s", "p", "o"], "left_anti").select(
+        "s", "p", "o", F.lit(3).alias("stage"), "k1", "k2", "rank", "turn", SC.confidence(model, F.col("score")).alias("confidence"))
     out = s1.unionByName(s2).unionByName(s3)
     if cap is not None:
         out = out.orderBy("stage", "k1", "k2", "rank", "turn").limit(cap)
