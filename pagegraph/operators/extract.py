@@ -27,6 +27,7 @@ AD_PATTERNS = (
 IMAGE_PATTERNS = (
     "*.jpg", "*.jpeg", "*.png", "*.gif", "*.webp", "*.bmp", "*.svg", "*.ico",
 )
+# Fixed value: matches that the report lists.
 SUMMARY_MATCHES = 5
 
 
@@ -253,6 +254,7 @@ def snapshot(
 
 def summary_text(query: Column) -> Column:
     """The fixed-layout report of a snapshot row (``query`` is the query text)."""
+    # The labels and line forms of the report.
 
     def line(label: str, c: Column) -> Column:
         return F.when(c.isNotNull(), F.concat(F.lit(f"{label}: "), c))

@@ -27,6 +27,7 @@ ACTION_WORDS = {
     "Login": ("login", "signin"), "Registration": ("register", "signup"), "Search": ("search",),
     "Contact": ("contact",), "Payment": ("payment", "checkout"),
 }
+# Weights of hints, in tenths, and the least similarity.
 HINT_TENTHS = {"id": 4, "name": 3, "label": 2, "placeholder": 1}
 THRESHOLD_TENTHS = 3
 FORM_TAGS = ("form", "input", "textarea", "select", "button", "label")
@@ -88,6 +89,7 @@ def confidence(id_: Column, name: Column, label: Column, placeholder: Column) ->
     def share(c: Column, n: int) -> Column:
         return F.when(c.isNotNull(), n).otherwise(0)
 
+    # Shares of the known properties, in hundredths.
     total = F.lit(50) + share(id_, 20) + share(name, 15) + share(label, 10) + share(placeholder, 5)
     return F.least(total, F.lit(100)) / 100
 
@@ -139,6 +141,7 @@ def purposes(form_rows: DataFrame, field_rows: DataFrame) -> DataFrame:
         for w in words:
             hit = hit | F.contains(low, F.lit(w))
         out = out.when(hit, purpose)
+    # Which fields, and how many, tell a form's purpose.
     pw, em, tx, n = (F.col(c) for c in ("pw", "em", "tx", "n"))
     out = (
         out.when((pw > 0) & ((em > 0) | (tx == 1)) & (n <= 3), "Login")

@@ -52,11 +52,14 @@ def _one(cond: Column, t: Column) -> Column:
 _STRUCT = ",".join(f"{c}:string" for c in COLUMNS)
 
 
-def snapshot_attempts(snap: DataFrame, query: str | None = None) -> DataFrame:
+def snapshot_attempts(snap: DataFrame, query: str | None = None, only: set[str] | None = None) -> DataFrame:
     """Every triple the mapping emits per page, duplicates included.
 
     One explode of arrays built from the snapshot row: no shuffle.  A
     canonical URL that is no IRI gives no version triple (it is a reject).
+    ``only`` names the predicates that are wanted, by their prefixed names
+    (``og:`` and ``twitter:`` stand for all of theirs); nothing else is built,
+    and columns that only other predicates need may be missing.
     """
     c = F.col
     s = c("url")
@@ -78,32 +81,35 @@ def snapshot_attempts(snap: DataFrame, query: str | None = None) -> DataFrame:
     def integer(p: str, v: Column) -> Column:
         return triple(s, e(p), v.cast("string"), "literal", e("xsd:integer"))
 
-    parts = [
-        _one(c("title").isNotNull(), triple(s, e("dcterms:title"), c("title"), "literal", None, lang)),
-        _one(c("description").isNotNull(), triple(s, e("dcterms:description"), c("description"), "literal", None, lang)),
-        literals("schema:keywords", c("keywords")),
-        _one(c("language").isNotNull(), triple(s, e("dcterms:language"), c("language"), "literal")),
-        _one(c("canonical_url").isNotNull(), triple(s, e("dcterms:identifier"), c("canonical_url"), "literal")),
-        _one(T.is_absolute_iri(c("canonical_url")), triple(s, e("dcterms:isVersionOf"), c("canonical_url"))),
-        _one(c("final_url") != s, triple(s, e("dcterms:hasVersion"), c("final_url"), "literal")),
-        pairs("og", "open_graph"),
-        pairs("twitter", "twitter_card"),
-        _one(c("json_ld_count") > 0, integer("schema:numberOfItems", c("json_ld_count"))),
-        _one(F.size("microdata") > 0, integer("schema:numberOfItems", F.size("microdata"))),
-        literals("schema:itemType", F.filter(F.col("microdata.item_type"), lambda t: t != "")),
-        F.transform("microdata", lambda m: integer("schema:numberOfProperties", m["properties"])),
-        _one(c("text_preview") != "", triple(s, e("schema:abstract"), c("text_preview"), "literal")),
-        literals("schema:mentions", F.transform("query_matches", lambda m: F.concat(
+    made = {
+        "dcterms:title": lambda: _one(c("title").isNotNull(), triple(s, e("dcterms:title"), c("title"), "literal", None, lang)),
+        "dcterms:description": lambda: _one(
+            c("description").isNotNull(), triple(s, e("dcterms:description"), c("description"), "literal", None, lang)),
+        "schema:keywords": lambda: literals("schema:keywords", c("keywords")),
+        "dcterms:language": lambda: _one(c("language").isNotNull(), triple(s, e("dcterms:language"), c("language"), "literal")),
+        "dcterms:identifier": lambda: _one(c("canonical_url").isNotNull(), triple(s, e("dcterms:identifier"), c("canonical_url"), "literal")),
+        "dcterms:isVersionOf": lambda: _one(T.is_absolute_iri(c("canonical_url")), triple(s, e("dcterms:isVersionOf"), c("canonical_url"))),
+        "dcterms:hasVersion": lambda: _one(c("final_url") != s, triple(s, e("dcterms:hasVersion"), c("final_url"), "literal")),
+        "og:": lambda: pairs("og", "open_graph"),
+        "twitter:": lambda: pairs("twitter", "twitter_card"),
+        "schema:numberOfItems": lambda: F.concat(
+            _one(c("json_ld_count") > 0, integer("schema:numberOfItems", c("json_ld_count"))),
+            _one(F.size("microdata") > 0, integer("schema:numberOfItems", F.size("microdata")))),
+        "schema:itemType": lambda: literals("schema:itemType", F.filter(F.col("microdata.item_type"), lambda t: t != "")),
+        "schema:numberOfProperties": lambda: F.transform("microdata", lambda m: integer("schema:numberOfProperties", m["properties"])),
+        "schema:abstract": lambda: _one(c("text_preview") != "", triple(s, e("schema:abstract"), c("text_preview"), "literal")),
+        "schema:mentions": lambda: literals("schema:mentions", F.transform("query_matches", lambda m: F.concat(
             m["excerpt"], F.lit(" (element="), m["element"], F.lit(", score="), two_decimals(m["score"]), F.lit(")")))),
-        _one(F.lit(query is not None), triple(s, e("schema:query"), query, "literal")),
-        F.array(triple(s, e("rdf:type"), e("schema:WebPage"))),
-    ]
+        "schema:query": lambda: _one(F.lit(query is not None), triple(s, e("schema:query"), query, "literal")),
+        "rdf:type": lambda: F.array(triple(s, e("rdf:type"), e("schema:WebPage"))),
+    }
+    parts = [make() for name, make in made.items() if only is None or name in only]
     return snap.select("page_id", F.explode(F.concat(*parts)).alias("t")).select("page_id", "t.*")
 
 
-def snapshot_triples(snap: DataFrame, query: str | None = None) -> DataFrame:
-    """The set of triples of all snapshots."""
-    return snapshot_attempts(snap, query).select(*COLUMNS).dropDuplicates()
+def snapshot_triples(snap: DataFrame, query: str | None = None, only: set[str] | None = None) -> DataFrame:
+    """The set of triples of all snapshots, or those of some predicates."""
+    return snapshot_attempts(snap, query, only).select(*COLUMNS).dropDuplicates()
 
 
 def insert_counts(attempts: DataFrame) -> DataFrame:

@@ -223,7 +223,8 @@ def microdata_property_triples(t):
   WHERE p = {D.q(_e('dcterms:title'))} AND s IN (SELECT s FROM attempts WHERE p = {D.q(_e('dcterms:language'))} AND o = 'en')""")
 def titles_by_language(t):
     """Titles of the web pages in English: snapshots are stored as triples, then queried."""
-    made = TR.snapshot_triples(X.snapshot(site_pages(t)))
+    facts = X.page_core(site_pages(t), "title", "language")
+    made = TR.snapshot_triples(facts, only={"dcterms:title", "dcterms:language", "rdf:type"})
     tr = ST.read_triples(t.spark, ST.write_triples(made, ST.scratch_path(t.spark, "snapshots")))
     found = P.match(tr, [("?page", TM.RDF_TYPE, _e("schema:WebPage")), ("?page", _e("dcterms:language"), TM.lit("en")),
                          ("?page", _e("dcterms:title"), "?title")])

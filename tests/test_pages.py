@@ -11,6 +11,7 @@ from pagegraph.operators import elements as E
 from pagegraph.operators import extract as X
 from pagegraph.operators import forms as FM
 from pagegraph.operators import search as SR
+from pagegraph.operators import triples as TR
 from pagegraph.operators import validate as V
 
 PAGE = """<!DOCTYPE html><html lang=" en "><head><title>Test Page</title><!-- <title>no</title> -->
@@ -146,3 +147,22 @@ def test_corpus_search_plans_no_product(spark, limit):
         assert {(r.query_id, r.page_id): round(r.score, 4) for r in found.collect()} == {(7, 1): 1.0, (8, 1): 0.6667, (8, 3): 0.6667}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_snapshot_triple_counts(spark):
+    """Triples of a hand-made page, counted by hand."""
+    html = """<html lang="en"><head><title>Shop</title><meta name="description" content="all about it"><meta name="keywords" content="a, b">
+      <link rel="canonical" href="http://x.org/c"><meta property="og:title" content="T"><meta property="og:image" content="http://x.org/i.png">
+      <meta name="twitter:card" content="summary"><script type="application/ld+json">{"@type": "Thing"}</script></head>
+      <body><main><p>words</p></main></body></html>"""
+    snap = X.snapshot(pages(spark, html), None)
+    got = {}
+    for r in TR.snapshot_triples(snap).collect():
+        got.setdefault(r.p.rsplit("/", 1)[-1].rsplit("#", 1)[-1], []).append((r.o, r.o_kind, r.o_lang))
+    # title, description, 2 keywords, language, identifier, version, 2 og, 1 twitter, items, abstract, type; no query
+    assert {k: len(v) for k, v in got.items()} == {
+        "title": 2, "description": 1, "keywords": 2, "language": 1, "identifier": 1, "isVersionOf": 1, "image": 1, "card": 1,
+        "numberOfItems": 1, "abstract": 1, "type": 1}
+    assert ("Shop", "literal", "en") in got["title"] and got["image"] == [("http://x.org/i.png", "iri", None)]
+    few = TR.snapshot_triples(X.page_core(pages(spark, html), "title", "language"), only={"dcterms:title", "dcterms:language"})
+    assert sorted(r.o for r in few.collect()) == ["Shop", "en"]
