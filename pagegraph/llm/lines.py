@@ -28,7 +28,7 @@ from pagegraph.llm.words import Words, mixed
 THRESHOLD = 0.8
 CELLS = 1 << 16  # counters of each of the two rows of the frequency table, which is broadcast: 1 MB whatever the input
 MOST_BITS = 1024
-PAIRWISE = 24  # lines of a group up to which all its pairs are filtered at once
+PAIRWISE = 256  # lines of a group up to which all its pairs of similar length are filtered at once
 SHARED = 2_000_000  # words of a block in the exact comparison
 
 U = np.uint64
@@ -123,9 +123,9 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
 
 def bits_for(n: int) -> int:
-    """Bits of the parity bitmap of a set of n words: enough to tell unrelated sets from similar ones."""
+    """Bits of the parity bitmap of a set of n words: enough that unrelated sets differ in more than similar ones may."""
     bits = 64
-    while bits < n / 2 and bits < MOST_BITS:
+    while bits < n and bits < MOST_BITS:
         bits *= 2
     return bits
 
@@ -157,7 +157,7 @@ def prefixes(docs: DataFrame, table, threshold: float) -> DataFrame:
                 parity = np.zeros(len(n), dtype=U)
                 np.bitwise_xor.at(parity, owner, U(1) << ((h >> U(20)) & U(63)))
                 bits: list = [None] * len(n)
-                for k in fresh[n[fresh] > 128]:
+                for k in fresh[n[fresh] > 64]:
                     bits[k] = bitmap(h[cuts[k]:cuts[k + 1]], bits_for(int(n[k])))
                 length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
                 keep = np.zeros(len(n), dtype=bool)
@@ -182,46 +182,66 @@ def may_be_similar(n, i, low, m, j, low2, threshold: float) -> np.ndarray:
     return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (by_place >= need) & (by_bits >= need)
 
 
-def folded(x: bytes, size: int) -> np.ndarray:
-    out = np.frombuffer(x, dtype=np.uint8)
-    while len(out) > size:
-        out = out[:len(out) // 2] ^ out[len(out) // 2:]
-    return out
-
-
-def bits_allow(x: bytes | None, y: bytes | None, n: int, m: int, threshold: float) -> bool:
-    """The same bound by the longer bitmaps, if both sets have one; of two sizes the larger is folded."""
-    if not x or not y:
-        return True
-    size = min(len(x), len(y))
-    differing = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
-    return (n + m - differing) / 2 >= threshold / (1 + threshold) * (n + m) - 1e-9
-
-
-def _pairs_near(word, n, i, low, bits, threshold):
-    """Pairs of rows in groups of at most ``PAIRWISE`` rows that pass the filters; rows are sorted by word."""
+class Bitmaps:
+    """The longer bitmaps of many rows. Of two sizes the larger is folded; sizes of similar sets are at most one step apart."""
+
+    def __init__(self, bits: list):
+        self.size = np.array([len(x) if x else 0 for x in bits], dtype=np.int64)
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.size[self.size > 0]):
+            for less in (size, size // 2):
+                if less >= 8 and less not in self.of:
+                    self.of[int(less)] = self._matrix(bits, int(less))
+
+    def _matrix(self, bits: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+        place = np.full(len(self.size), -1, dtype=np.int64)
+        same, twice = np.flatnonzero(self.size == size), np.flatnonzero(self.size == 2 * size)
+        place[same], place[twice] = np.arange(len(same)), len(same) + np.arange(len(twice))
+        own = np.frombuffer(b"".join(bits[k] for k in same), dtype=np.uint64).reshape(len(same), size // 8)
+        large = np.frombuffer(b"".join(bits[k] for k in twice), dtype=np.uint64).reshape(len(twice), 2, size // 8)
+        return place, np.concatenate([own, large[:, 0] ^ large[:, 1]]) if len(twice) else own
+
+    def allow(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+        """Pairs of rows whose overlap can reach what the threshold asks, by the bitmaps that both have."""
+        out = np.ones(len(a), dtype=bool)
+        least = np.minimum(self.size[a], self.size[b])
+        for size in np.unique(least[least > 0]):
+            rows = np.flatnonzero(least == size)
+            place, matrix = self.of[int(size)]
+            for at in range(0, len(rows), 100_000):
+                some = rows[at:at + 100_000]
+                x, y = place[a[some]], place[b[some]]
+                known = (x >= 0) & (y >= 0)
+                some, x, y = some[known], x[known], y[known]
+                differing = np.bitwise_count(matrix[x] ^ matrix[y]).sum(axis=1, dtype=np.int64)
+                both = n[a[some]] + n[b[some]]
+                out[some] = (both - differing) / 2 >= threshold / (1 + threshold) * both - 1e-9
+        return out
+
+
+def _pairs_near(word, n, i, low, bits: Bitmaps, rows, threshold):
+    """Pairs of ``rows``, sorted by word and n, of one word and of similar n, that pass the filters."""
     out_a, out_b = [], []
-    for d in range(1, PAIRWISE):
-        a = np.flatnonzero(word[d:] == word[:-d])
-        if not len(a):
+    word, m = word[rows], n[rows]
+    active, d = np.arange(len(rows)), 1
+    while True:
+        active = active[active + d < len(rows)]
+        active = active[(word[active] == word[active + d]) & (m[active] >= threshold * m[active + d] - 1e-9)]
+        if not len(active):
             break
-        b = a + d
+        a, b = rows[active], rows[active + d]
         ok = may_be_similar(n[a], i[a], low[a], n[b], i[b], low[b], threshold)
         a, b = a[ok], b[ok]
-        long = (n[a] > 128) & (n[b] > 128)
-        if long.any():
-            fine = np.ones(len(a), dtype=bool)
-            for k in np.flatnonzero(long):
-                fine[k] = bits_allow(bits[a[k]], bits[b[k]], int(n[a[k]]), int(n[b[k]]), threshold)
-            a, b = a[fine], b[fine]
-        out_a.append(a)
-        out_b.append(b)
+        ok = bits.allow(a, b, n, threshold)
+        out_a.append(a[ok])
+        out_b.append(b[ok])
+        d += 1
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _spanning_near(n, i, low, bits, threshold):
+def _spanning_near(n, i, low, bits: Bitmaps, rows, threshold):
     """Spanning forest of the rows of one large group that pass the filters; a row reached is not compared with those reached before."""
-    left, out = np.argsort(n, kind="stable"), []
+    left, out = rows, []
     while len(left) > 1:
         root, left = left[0], left[1:]
         queue = [root]
@@ -230,16 +250,14 @@ def _spanning_near(n, i, low, bits, threshold):
             # the rest is in order of size, so similar sizes are a range
             lo, hi = np.searchsorted(n[left], [threshold * n[x] - 1e-9, n[x] / threshold + 1e-9])
             some = left[lo:hi]
-            ok = may_be_similar(n[x], i[x], low[x], n[some], i[some], low[some], threshold)
-            if n[x] > 128 and bits[x]:
-                for k in np.flatnonzero(ok):
-                    ok[k] = bits_allow(bits[x], bits[some[k]], int(n[x]), int(n[some[k]]), threshold)
-            hit = some[ok]
-            if len(hit):
-                out += [(root, y) for y in hit.tolist()]
-                queue += hit.tolist()
-                left = np.delete(left, lo + np.flatnonzero(ok))
-    return out
+            at = np.flatnonzero(may_be_similar(n[x], i[x], low[x], n[some], i[some], low[some], threshold))
+            at = at[bits.allow(np.full(len(at), x), some[at], n, threshold)]
+            if len(at):
+                hit = some[at].tolist()
+                out += [(root, y) for y in hit]
+                queue += hit
+                left = np.delete(left, lo + at)
+    return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
 def candidate_edges(rows: DataFrame, threshold: float) -> DataFrame:
@@ -265,20 +283,23 @@ def candidate_edges(rows: DataFrame, threshold: float) -> DataFrame:
                 continue
             word, nid, n, i = (table.column(k).to_numpy().astype(np.int64) for k in range(4))
             low = table.column(4).to_numpy().view(U)
-            bits = table.column(5).to_pylist() if int(n.max()) > 128 else [None] * len(n)
             first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
             size = np.diff(np.append(first, len(word)))
-            large = np.repeat(size > PAIRWISE, size)
-            small = np.flatnonzero(~large & np.repeat(size > 1, size))
-            a, b = _pairs_near(word[small], n[small], i[small], low[small], [bits[k] for k in small] if int(n.max()) > 128 else bits, threshold)
-            found = [(nid[small][a], nid[small][b])]
+            many = np.repeat(size, size)
+            kept = np.flatnonzero(many > 1)  # most words are in one line only
+            bits = Bitmaps([None] * len(n))
+            if (n[kept] > 64).any():
+                listed = np.full(len(n), None, dtype=object)
+                listed[kept] = table.column(5).take(pa.array(kept)).to_pylist()
+                bits = Bitmaps(listed.tolist())
+            a, b = _pairs_near(word, n, i, low, bits, np.flatnonzero((many > 1) & (many <= PAIRWISE)), threshold)
+            found = [(nid[a], nid[b])]
             for f, m in zip(first[size > PAIRWISE], size[size > PAIRWISE]):
-                s = slice(f, f + m)
-                pairs = np.array(_spanning_near(n[s], i[s], low[s], bits[f:f + m], threshold), dtype=np.int64).reshape(-1, 2)
-                found.append((nid[s][pairs[:, 0]], nid[s][pairs[:, 1]]))
+                pairs = _spanning_near(n, i, low, bits, np.arange(f, f + m), threshold)
+                found.append((nid[pairs[:, 0]], nid[pairs[:, 1]]))
             yield edge_batch(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
 
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(run, "a long, b long")
+    return rows.repartition("word").sortWithinPartitions("word", "n").mapInArrow(run, "a long, b long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]):

@@ -59,8 +59,17 @@ def test_filters_lose_nothing():
             assert i <= len(a) - np.ceil(0.8 * len(a) - 1e-9) and j <= len(b) - np.ceil(0.8 * len(b) - 1e-9)
             args = [np.array([v]) for v in (len(a), i, low[0], len(b), j, low[1])]
             assert lines.may_be_similar(*args, 0.8).all()
-            maps = [lines.bitmap(s, lines.bits_for(len(s))) for s in (a, b)]
-            assert lines.bits_allow(*maps, len(a), len(b), 0.8)
+            maps = lines.Bitmaps([lines.bitmap(s, lines.bits_for(len(s))) for s in (a, b)])
+            assert maps.allow(np.array([0]), np.array([1]), np.array([len(a), len(b)]), 0.8).all()
+
+
+def test_bitmaps_tell_unrelated_sets_apart():
+    rng = np.random.default_rng(4)
+    for n in (70, 120, 200, 500, 1500):
+        sets = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for _ in range(100)]
+        maps = lines.Bitmaps([lines.bitmap(s, lines.bits_for(n)) for s in sets])
+        a, b = np.triu_indices(100, 1)
+        assert maps.allow(a, b, np.full(100, n), 0.8).mean() < 0.01
 
 
 def make(spark):
