@@ -26,9 +26,10 @@ from pagegraph.llm.units import slices
 from pagegraph.llm.words import Words, mixed
 
 THRESHOLD = 0.8
-CELLS = 1 << 16  # counters of each of the two rows of the frequency table, which is broadcast: 1 MB whatever the input
+CELLS = 1 << 21  # counters of the frequency table, which is broadcast: 8 MB whatever the input
 MOST_BITS = 1024
-PAIRWISE = 256  # lines of a group up to which all its pairs of similar length are filtered at once
+LARGE = 256  # lines of a group above which its lines are first compared with a few leaders
+LEADERS = 32
 SHARED = 2_000_000  # words of a block in the exact comparison
 
 U = np.uint64
@@ -54,33 +55,12 @@ def sizes_of(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
 
 
-def cells_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h & U(CELLS - 1)).astype(np.int64), (h >> U(48)).astype(np.int64) % CELLS
+def cells_of(h: np.ndarray) -> np.ndarray:
+    return (h >> U(11)).astype(np.int64) & (CELLS - 1)
 
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """How often words fall into each cell, over all texts of ``docs`` (text); two rows of ``CELLS`` counters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * CELLS, dtype=np.int64)
-        for batch in batches:
-            for a, b in slices(sizes_of(batch.column(0)), 1_000_000):
-                h, _, _ = line_words(batch.column(0), a, b)
-                one, two = cells_of(h)
-                total += np.bincount(one, minlength=2 * CELLS)
-                total += np.bincount(two + CELLS, minlength=2 * CELLS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = np.zeros(2 * CELLS, dtype=np.int64)
-    for row in counts.collect():  # at most 2 * CELLS rows
-        table[row["cell"]] = row["n"]
-    return table
-
-
-def line_sets(column: pa.Array, a: int, b: int, table: np.ndarray | None = None):
-    """Distinct words of each line of rows a to b, the rarest first: hashes, first place of each line, row and line number of each line."""
+def line_sets(column: pa.Array, a: int, b: int):
+    """Distinct words of each line of rows a to b: hashes in ascending order, bounds of the lines, row and line number of each line."""
     h, row, line = line_words(column, a, b)
     if not len(h):
         return h, np.zeros(1, dtype=np.int64), row, line
@@ -90,36 +70,57 @@ def line_sets(column: pa.Array, a: int, b: int, table: np.ndarray | None = None)
     keep = np.ones(len(h), dtype=bool)
     keep[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1])
     h, at = h[keep], at[keep]
-    if table is not None:
-        one, two = cells_of(h)
-        often = np.minimum(table[one], table[two + CELLS])
-        order = np.lexsort((h, often, at))
-        h, at = h[order], at[order]
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    cuts = np.append(first, len(h))
-    return h, cuts, (at[first] >> 40) + a, at[first] & ((1 << 40) - 1)
+    return h, np.append(first, len(h)), (at[first] >> 40) + a, at[first] & ((1 << 40) - 1)
 
 
-def set_name(items: np.ndarray) -> bytes:
-    return hashlib.blake2b(np.sort(items).tobytes(), digest_size=16).digest()
+def numbers_of(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A number of 48 bits for each set; equal sets have equal ones, and candidates may be found by them."""
+    return (mixed(np.add.reduceat(mixed(h + U(1)), cuts[:-1]) + np.diff(cuts).astype(U)) >> U(16)).view(np.int64)
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """Lines of ``docs`` (id, tie, text) that have words: no_id, id, tie, line and node (hash of the set)."""
+    """One pass over ``docs`` (id, tie, text). Lines that have words: id, tie, line, node (hash of the set) and nid (its number);
+    and how often words fall into each cell of the frequency table: cell and n, once per task and cell."""
     kind = docs.schema["id"].dataType.simpleString()
+    fields = f"id {kind}, tie long, line int, node binary, nid long, cell int, n int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int32)
+        id_type = None
         for batch in batches:
+            id_type = batch.column(0).type
             for a, b in slices(sizes_of(batch.column(2)), 1_000_000):
                 h, cuts, row, line = line_sets(batch.column(2), a, b)
+                if not len(h):
+                    continue
+                cell, times = np.unique(cells_of(h), return_counts=True)
+                total[cell] += times.astype(np.int32)
                 names = [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() for x, y in zip(cuts[:-1], cuts[1:])]
                 at = pa.array(row)
+                none = pa.nulls(len(names), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(names, pa.binary())],
-                    names=["id", "tie", "line", "node"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(names, pa.binary()),
+                     pa.array(numbers_of(h, cuts)), none, none], names=["id", "tie", "line", "node", "nid", "cell", "n"],
                 )
-
-    return docs.select("id", "tie", "text").mapInArrow(run, f"id {kind}, tie long, line int, node binary")
+        seen = np.flatnonzero(total)
+        if len(seen):
+            k = len(seen)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()),
+                 pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "tie", "line", "node", "nid", "cell", "n"],
+            )
+
+    return docs.select("id", "tie", "text").mapInArrow(run, fields)
+
+
+def frequencies(rows: DataFrame) -> np.ndarray:
+    """The frequency table from the counts of all tasks (cell, n): in how many lines words of a cell are, up to 2**20."""
+    counts = rows.filter("cell is not null").groupBy("cell").agg(F.least(F.sum("n"), F.lit(1 << 20)).cast("int").alias("n"))
+    table = np.zeros(CELLS, dtype=np.int32)
+    for batch in counts.toArrow().to_batches():  # at most CELLS rows
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return table
 
 
 def bits_for(n: int) -> int:
@@ -130,43 +131,55 @@ def bits_for(n: int) -> int:
     return bits
 
 
-def bitmap(h: np.ndarray, bits: int) -> bytes:
-    """Bit k is the parity of the number of words that hash to k."""
-    counts = np.bincount(((h >> U(20)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
+def bitmaps(h: np.ndarray, cuts: np.ndarray, which: np.ndarray) -> list:
+    """Parity bitmaps of the sets ``which``, None for the others: bit k is the parity of the number of words that hash to k."""
+    out: list = [None] * (len(cuts) - 1)
+    n = np.diff(cuts)
+    sizes = np.array([bits_for(int(k)) for k in n[which]], dtype=np.int64)
+    for bits in np.unique(sizes):
+        sets = which[sizes == bits]
+        owner = np.repeat(np.arange(len(sets)), n[sets])
+        at = np.repeat(cuts[:-1][sets] - (np.cumsum(n[sets]) - n[sets]), n[sets]) + np.arange(n[sets].sum())
+        place = owner * int(bits) + ((h[at] >> U(20)) & U(bits - 1)).astype(np.int64)
+        parity = (np.bincount(place, minlength=len(sets) * int(bits)) & 1).astype(np.uint8)
+        for k, row in zip(sets, np.packbits(parity.reshape(len(sets), int(bits)), axis=1, bitorder="little")):
+            out[k] = row.tobytes()
+    return out
 
 
 PREFIX = "word long, nid long, n int, i int, low long, bits binary"
 
 
 def prefixes(docs: DataFrame, table, threshold: float) -> DataFrame:
-    """Rows of prefix words: word, nid (number of the set), n (words of the set), i (position), low (first 64 bits) and bits (all, if more)."""
+    """Rows of prefix words: word (40 bits of its hash), nid (number of the set), n (words of the set), i (position), and a parity bitmap
+    of the set: ``low`` of 64 bits up to 64 words, ``bits`` above. Words that no other line has are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = table.value
         for batch in batches:
             for a, b in slices(sizes_of(batch.column(0)), 1_000_000):
-                h, cuts, _, _ = line_sets(batch.column(0), a, b, often)
+                h, cuts, _, _ = line_sets(batch.column(0), a, b)
                 if not len(h):
                     continue
-                n = np.diff(cuts)
-                names = [set_name(h[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
-                nid = np.frombuffer(b"".join(x[:8] for x in names), dtype=np.int64)
-                _, fresh = np.unique(nid, return_index=True)  # equal sets of a slice once
+                n, nid = np.diff(cuts), numbers_of(h, cuts)
                 owner = np.repeat(np.arange(len(n)), n)
-                parity = np.zeros(len(n), dtype=U)
-                np.bitwise_xor.at(parity, owner, U(1) << ((h >> U(20)) & U(63)))
-                bits: list = [None] * len(n)
-                for k in fresh[n[fresh] > 64]:
-                    bits[k] = bitmap(h[cuts[k]:cuts[k + 1]], bits_for(int(n[k])))
-                length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-                keep = np.zeros(len(n), dtype=bool)
-                keep[fresh] = True
-                length = np.where(keep, length, 0)
+                _, fresh = np.unique(nid, return_index=True)  # equal sets of a slice once
+                times = often[cells_of(h)]
+                # the rarest words of a line first; of equal ones the smaller hash, as the words come in that order
+                order = np.argsort(owner.astype(np.int64) << 24 | times, kind="stable")
+                length = np.zeros(len(n), dtype=np.int64)
+                length[fresh] = (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[fresh]
                 line = np.repeat(np.arange(len(n)), length)
                 i = np.arange(len(line)) - np.repeat(np.cumsum(length) - length, length)
+                at = order[cuts[:-1][line] + i]
+                shared = times[at] > 1
+                line, i, at = line[shared], i[shared], at[shared]
+                parity = np.zeros(len(n), dtype=U)
+                np.bitwise_xor.at(parity, owner, U(1) << ((h >> U(20)) & U(63)))
+                parity[n > 64] = 0
+                bits = bitmaps(h, cuts, fresh[n[fresh] > 64])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[cuts[:-1][line] + i].view(np.int64)), pa.array(nid[line]), pa.array(n[line].astype(np.int32)),
+                    [pa.array((h[at] >> U(24)).view(np.int64)), pa.array(nid[line]), pa.array(n[line].astype(np.int32)),
                      pa.array(i.astype(np.int32)), pa.array(parity[line].view(np.int64)), pa.array(bits, pa.binary()).take(pa.array(line))],
                     names=["word", "nid", "n", "i", "low", "bits"],
                 )
@@ -178,7 +191,8 @@ def may_be_similar(n, i, low, m, j, low2, threshold: float) -> np.ndarray:
     """Pairs (sizes n, m; positions i, j of a shared prefix word; parities) whose overlap can reach what the threshold asks."""
     need = threshold / (1 + threshold) * (n + m) - 1e-9
     by_place = np.minimum(i, j) + np.minimum(n - i, m - j)
-    by_bits = (n + m - np.bitwise_count(low ^ low2)) / 2
+    both_short = (n <= 64) & (m <= 64)  # longer sets have a longer bitmap instead
+    by_bits = (n + m - np.where(both_short, np.bitwise_count(low ^ low2), 0)) / 2
     return (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9) & (by_place >= need) & (by_bits >= need)
 
 
@@ -219,8 +233,8 @@ class Bitmaps:
         return out
 
 
-def _pairs_near(word, n, i, low, bits: Bitmaps, rows, threshold):
-    """Pairs of ``rows``, sorted by word and n, of one word and of similar n, that pass the filters."""
+def _pairs_near(word, n, i, low, bits: Bitmaps, rows, label, threshold):
+    """Pairs of ``rows``, sorted by word and n, of one word, of similar n and of different labels, that pass the filters."""
     out_a, out_b = [], []
     word, m = word[rows], n[rows]
     active, d = np.arange(len(rows)), 1
@@ -230,6 +244,8 @@ def _pairs_near(word, n, i, low, bits: Bitmaps, rows, threshold):
         if not len(active):
             break
         a, b = rows[active], rows[active + d]
+        ok = label[a] != label[b]
+        a, b = a[ok], b[ok]
         ok = may_be_similar(n[a], i[a], low[a], n[b], i[b], low[b], threshold)
         a, b = a[ok], b[ok]
         ok = bits.allow(a, b, n, threshold)
@@ -239,25 +255,21 @@ def _pairs_near(word, n, i, low, bits: Bitmaps, rows, threshold):
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _spanning_near(n, i, low, bits: Bitmaps, rows, threshold):
-    """Spanning forest of the rows of one large group that pass the filters; a row reached is not compared with those reached before."""
-    left, out = rows, []
-    while len(left) > 1:
-        root, left = left[0], left[1:]
-        queue = [root]
-        while queue and len(left):
-            x = queue.pop()
-            # the rest is in order of size, so similar sizes are a range
-            lo, hi = np.searchsorted(n[left], [threshold * n[x] - 1e-9, n[x] / threshold + 1e-9])
-            some = left[lo:hi]
-            at = np.flatnonzero(may_be_similar(n[x], i[x], low[x], n[some], i[some], low[some], threshold))
-            at = at[bits.allow(np.full(len(at), x), some[at], n, threshold)]
-            if len(at):
-                hit = some[at].tolist()
-                out += [(root, y) for y in hit]
-                queue += hit
-                left = np.delete(left, lo + at)
-    return np.array(out, dtype=np.int64).reshape(-1, 2)
+def _led(n, i, low, bits: Bitmaps, rows, label, threshold):
+    """Compares the rows of a large group, sorted by n, with some of them: edges to those that pass, which share a label from now on.
+
+    Rows of one label are connected by such edges, so their pairs need no further look; most rows of a crowd of copies end here.
+    """
+    out = []
+    for leader in rows[np.unique(np.linspace(0, len(rows) - 1, LEADERS).astype(np.int64))]:
+        lo, hi = np.searchsorted(n[rows], [threshold * n[leader] - 1e-9, n[leader] / threshold + 1e-9])
+        some = rows[lo:hi]
+        some = some[label[some] != label[leader]]
+        some = some[may_be_similar(n[leader], i[leader], low[leader], n[some], i[some], low[some], threshold)]
+        some = some[bits.allow(np.full(len(some), leader), some, n, threshold)]
+        label[some] = label[leader]
+        out.append(np.stack([np.full(len(some), leader), some], axis=1))
+    return np.concatenate(out)
 
 
 def candidate_edges(rows: DataFrame, threshold: float) -> DataFrame:
@@ -292,11 +304,12 @@ def candidate_edges(rows: DataFrame, threshold: float) -> DataFrame:
                 listed = np.full(len(n), None, dtype=object)
                 listed[kept] = table.column(5).take(pa.array(kept)).to_pylist()
                 bits = Bitmaps(listed.tolist())
-            a, b = _pairs_near(word, n, i, low, bits, np.flatnonzero((many > 1) & (many <= PAIRWISE)), threshold)
-            found = [(nid[a], nid[b])]
-            for f, m in zip(first[size > PAIRWISE], size[size > PAIRWISE]):
-                pairs = _spanning_near(n, i, low, bits, np.arange(f, f + m), threshold)
+            label, found = np.arange(len(n)), []
+            for f, m in zip(first[size > LARGE], size[size > LARGE]):
+                pairs = _led(n, i, low, bits, np.arange(f, f + m), label, threshold)
                 found.append((nid[pairs[:, 0]], nid[pairs[:, 1]]))
+            a, b = _pairs_near(word, n, i, low, bits, kept, label, threshold)
+            found.append((nid[a], nid[b]))
             yield edge_batch(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
 
     return rows.repartition("word").sortWithinPartitions("word", "n").mapInArrow(run, "a long, b long")
@@ -406,12 +419,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    table = spark.sparkContext.broadcast(frequencies(texts))
-    lines = saved(line_classes(texts), "lines")
+    both = saved(line_classes(texts), "lines")
+    table = spark.sparkContext.broadcast(frequencies(both))
+    lines = both.filter("node is not null").drop("cell", "n")
     spot = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie", "line")
-    firsts = lines.groupBy("node").agg(F.min(spot).alias("first"))
+    firsts = lines.groupBy("node").agg(F.min(spot).alias("first"), F.first("nid").alias("nid"))
     parts = components(candidate_edges(prefixes(texts, table, threshold), threshold), "lines-parts")
-    known = firsts.withColumn("nid", _number(F.col("node"))).join(parts, F.col("nid") == parts["node"]).select(firsts["node"], "first", "label")
+    known = firsts.join(parts, firsts["nid"] == parts["node"]).select(firsts["node"], "first", "label")
     known = saved(known, "lines-known")
     sizes = known.groupBy("label").agg(F.count("*").alias("members"))
     spread = {"spread": F.pmod("label", F.lit(65521))}
@@ -423,7 +437,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spread = {"spread": F.substring("node", 1, 2)}
     placed = lines.select("node", spot.alias("spot"))
     marked = (
-        placed.withColumns(spread).join(firsts.withColumns(spread), ["spread", "node"]).drop("spread")
+        placed.withColumns(spread).join(firsts.drop("nid").withColumns(spread), ["spread", "node"]).drop("spread")
         .join(late.withColumn("late", F.lit(True)), "node", "left")
     )
     gone = marked.filter(F.coalesce("late", F.lit(False)) | (F.col("spot") > F.col("first")))
@@ -435,15 +449,6 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _number(node: Column) -> Column:
-    """The first eight bytes of a name as a little-endian long."""
-    byte = [F.conv(F.hex(F.substring(node, k + 1, 1)), 16, 10).cast("long") for k in range(8)]
-    out = byte[0]
-    for k in range(1, 8):
-        out = out.bitwiseOR(F.shiftleft(byte[k], 8 * k))
-    return out
-
-
 def without_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that ``repeated_lines`` names taken out of the text, columns as they were."""
     text = F.col(f"`{text_col}`")

@@ -59,7 +59,7 @@ def test_filters_lose_nothing():
             assert i <= len(a) - np.ceil(0.8 * len(a) - 1e-9) and j <= len(b) - np.ceil(0.8 * len(b) - 1e-9)
             args = [np.array([v]) for v in (len(a), i, low[0], len(b), j, low[1])]
             assert lines.may_be_similar(*args, 0.8).all()
-            maps = lines.Bitmaps([lines.bitmap(s, lines.bits_for(len(s))) for s in (a, b)])
+            maps = lines.Bitmaps(lines.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), np.arange(2)))
             assert maps.allow(np.array([0]), np.array([1]), np.array([len(a), len(b)]), 0.8).all()
 
 
@@ -67,7 +67,7 @@ def test_bitmaps_tell_unrelated_sets_apart():
     rng = np.random.default_rng(4)
     for n in (70, 120, 200, 500, 1500):
         sets = [rng.integers(0, 1 << 62, n, dtype=np.uint64) for _ in range(100)]
-        maps = lines.Bitmaps([lines.bitmap(s, lines.bits_for(n)) for s in sets])
+        maps = lines.Bitmaps(lines.bitmaps(np.concatenate(sets), np.arange(101) * n, np.arange(100)))
         a, b = np.triu_indices(100, 1)
         assert maps.allow(a, b, np.full(100, n), 0.8).mean() < 0.01
 
@@ -93,7 +93,7 @@ def test_similar_lines(spark, monkeypatch):
     rows, df = make(spark)
     assert found(lines.repeated_lines(df)) == brute(rows)
     # large groups and blocks change nothing
-    monkeypatch.setattr(lines, "PAIRWISE", 3)
+    monkeypatch.setattr(lines, "LARGE", 3)
     assert found(lines.repeated_lines(df.repartition(3), shared=200)) == brute(rows)
 
 
