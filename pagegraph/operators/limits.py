@@ -4,9 +4,10 @@ A client's window opens at its first request and the next one opens at the
 first request *more than* the window length later; a request is accepted while
 its window holds fewer than the limit.  Anchors form a chain, which looks
 sequential per client.  It is cut into time slices: a slice is summarised as
-"entered with this first anchor, left with that anchor and this many requests",
-slices of a client are chained over those short summaries, and then replayed
-in parallel.  Only the requests of the first window length of a slice can be
+"entered with this first anchor, left with that anchor and this many requests
+since", slices of a client are chained over those short summaries, and then
+replayed in parallel, each with the anchor and the count that it is entered
+with; no window of a client has to come together.  Only the requests of the first window length of a slice can be
 its first anchor, so summaries stay small however busy a client is.
 """
 
@@ -52,11 +53,10 @@ def rate_limit(
         t = np.sort(pdf["us"].to_numpy())
         n = len(t)
         nxt = _next_anchor(t, span)
-        # last anchor reached from each request, from the back (chains only go forward)
-        last = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            if nxt[i] < n:
-                last[i] = last[nxt[i]]
+        # last anchor reached from each request: steps are doubled until none leads further
+        last = np.where(nxt < n, nxt, np.arange(n))
+        while (last[last] != last).any():
+            last = last[last]
         # a first anchor is the first request after some instant of the opening window
         start = int(pdf["slice"].iloc[0]) * width
         entries = np.unique(np.append(np.flatnonzero(t <= start + span), np.searchsorted(t, start + span, side="right")))
@@ -64,28 +64,32 @@ def rate_limit(
         entries = entries[np.unique(t[entries], return_index=True)[1]]
         return pd.DataFrame({
             "client": [pdf["client"].iloc[0]], "slice": [pdf["slice"].iloc[0]],
-            "entry": [t[entries].tolist()], "exit": [t[last[entries]].tolist()],
+            "entry": [t[entries].tolist()], "exit": [t[last[entries]].tolist()], "since": [(n - last[entries]).tolist()], "n": [n],
         })
 
     summary = r.select("client", "slice", "us").groupBy("client", "slice").applyInPandas(
-        summarise, f"client {cdt}, slice bigint, entry array<bigint>, exit array<bigint>")
-    # chain the slices in order, one client after the other; the state is the anchor in force
+        summarise, f"client {cdt}, slice bigint, entry array<bigint>, exit array<bigint>, since array<bigint>, n bigint")
+
+    # chain the slices in order, one client after the other; the state is the anchor in force and the requests since
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, anchor = None, 0
+        current, anchor, used = None, 0, 0
         for pdf in batches:
-            before = []
-            for who, entry, leave in zip(pdf["client"], pdf["entry"], pdf["exit"]):
+            before, count = [], []
+            for who, entry, leave, since, n in zip(pdf["client"], pdf["entry"], pdf["exit"], pdf["since"], pdf["n"]):
                 if current is None or who != current:
-                    current, anchor = who, NEVER
+                    current, anchor, used = who, NEVER, 0
                 before.append(anchor)
+                count.append(used)
                 at = int(np.searchsorted(entry, anchor + span, side="right"))
                 if at < len(entry):
-                    anchor = int(leave[at])
-            yield pd.DataFrame({"client": pdf["client"], "slice": pdf["slice"], "anchor_in": before})
+                    anchor, used = int(leave[at]), int(since[at])
+                else:
+                    used += int(n)
+            yield pd.DataFrame({"client": pdf["client"], "slice": pdf["slice"], "anchor_in": before, "used_in": count})
 
     anchors = (
         summary.repartition(n_part, "client").sortWithinPartitions("client", "slice")
-        .mapInPandas(chain, f"client {cdt}, slice bigint, anchor_in bigint")
+        .mapInPandas(chain, f"client {cdt}, slice bigint, anchor_in bigint, used_in bigint")
     )
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,17 +97,16 @@ def rate_limit(
         t = pdf["us"].to_numpy()
         nxt = _next_anchor(t, span)
         first = int(np.searchsorted(t, int(pdf["anchor_in"].iloc[0]) + span, side="right"))
-        anchor = np.full(len(t), int(pdf["anchor_in"].iloc[0]))
+        place = np.arange(len(t))
+        nth = place + int(pdf["used_in"].iloc[0])  # of its window, from 0
         i = first
         while i < len(t):
-            anchor[i:nxt[i]] = t[i]
+            nth[i:nxt[i]] = place[:nxt[i] - i]
             i = int(nxt[i])
-        return pd.DataFrame({"client": pdf["client"], "key": pdf["key"], "us": t, "anchor": anchor})
+        return pd.DataFrame({"client": pdf["client"], "key": pdf["key"], "us": t, "accepted": nth < limit})
 
-    marked = r.select("client", "slice", "key", "us").join(anchors, ["client", "slice"]).groupBy("client", "slice").applyInPandas(
-        replay, f"client {cdt}, key {kdt}, us bigint, anchor bigint")
-    w = Window.partitionBy("client", "anchor").orderBy("us", "key")
-    out = marked.withColumn("accepted", F.row_number().over(w) <= limit)
+    out = r.select("client", "slice", "key", "us").join(anchors, ["client", "slice"]).groupBy("client", "slice").applyInPandas(
+        replay, f"client {cdt}, key {kdt}, us bigint, accepted boolean")
     stamp = F.timestamp_micros("us") if requests.schema[ts].dataType.typeName() == "timestamp" else (
         F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("us") / 1_000_000).cast("decimal(18,6)")))
     return out.select(F.col("client").alias(client), F.col("key").alias(key), stamp.alias(ts), "accepted")
