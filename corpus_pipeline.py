@@ -37,8 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     rows = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    coded = bpe.encode(rows.withColumn("text_sha256", F.sha2("text", 256)), vocab_path())
-    out = bpe.decode(coded, vocab_path())
+    out = bpe.encode(rows.withColumn("text_sha256", F.sha2("text", 256)), vocab_path(), decoded_col="decoded")
     return out.select(
         "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
         (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),

@@ -128,30 +128,49 @@ def _parts(path: str) -> Parts:
     return store["bpe-parts", path]
 
 
-def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def _encoded(parts: Parts, texts: pa.Array) -> pa.ListArray:
+    ids = parts.ids([t or "" for t in texts.to_pylist()])
+    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+
+
+def _decoded(strings: pa.Array, ids: pa.ListArray) -> pa.Array:
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.ListArray.from_arrays(pa.array(ends), strings.take(ids.flatten()))
+    text = pc.binary_join(words, pa.scalar(b"", pa.binary()))
+    try:
+        return text.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in text.to_pylist()], pa.string())
+
+
+def _text_sizes(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+
+
+def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the token ids of the whole text in place of the text. A null or empty text has no ids.
 
-    Rows are independent: ties, repeats and other columns (of any name but ``ids_col``) pass through unchanged.
+    With ``decoded_col``, the text that the ids decode to is added in the same pass (see :func:`decode`), so that a round trip needs one
+    Python process per task. Rows are independent: ties, repeats and other columns (of any name but these) pass through unchanged.
     """
-    others = [f for f in docs.schema if f.name not in (text_col, ids_col)]
+    made = [ids_col] + ([decoded_col] if decoded_col else [])
+    others = [f for f in docs.schema if f.name not in (text_col, *made)]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = _parts(vocab_path)
+        parts, strings = _parts(vocab_path), vocabulary(vocab_path).strings
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-            for a, b in slices(sizes):
-                ids = parts.ids([t or "" for t in texts.slice(a, b - a).to_pylist()])
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))
+            for a, b in slices(_text_sizes(texts), 2_000_000, 1024):
+                ids = _encoded(parts, texts.slice(a, b - a))
                 rest = [batch.column(batch.schema.get_field_index(f.name)).slice(a, b - a) for f in others]
-                yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.ListArray.from_arrays(pa.array(ends), values)], names=[f.name for f in others] + [ids_col]
-                )
+                out = [*rest, ids, *([_decoded(strings, ids)] if decoded_col else [])]
+                yield pa.RecordBatch.from_arrays(out, names=[f.name for f in others] + made)
 
     picked = docs.select(*[f"`{f.name}`" for f in others], F.col(f"`{text_col}`").cast("string").alias(text_col))
-    return picked.mapInArrow(run, f"{kinds}`{ids_col}` array<int>")
+    return picked.mapInArrow(run, f"{kinds}`{ids_col}` array<int>" + (f", `{decoded_col}` string" if decoded_col else ""))
 
 
 def decode(rows: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -163,17 +182,9 @@ def decode(rows: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
             sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-            for a, b in slices(sizes, 4_000_000):
-                some = ids.slice(a, b - a)
-                ends = np.concatenate([[0], np.cumsum(sizes[a:b])]).astype(np.int32)
-                words = pa.ListArray.from_arrays(pa.array(ends), strings.take(some.flatten()))
-                text = pc.binary_join(words, pa.scalar(b"", pa.binary()))
-                try:
-                    text = text.cast(pa.string())
-                except pa.ArrowInvalid:
-                    text = pa.array([x.decode("utf-8", "replace") for x in text.to_pylist()], pa.string())
+            for a, b in slices(sizes, 1_000_000):
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(a, b - a) for c in batch.columns], text], names=[*batch.schema.names, text_col]
+                    [*[c.slice(a, b - a) for c in batch.columns], _decoded(strings, ids.slice(a, b - a))], names=[*batch.schema.names, text_col]
                 )
 
     return rows.mapInArrow(run, f"{kinds}, `{text_col}` string")

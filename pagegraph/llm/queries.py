@@ -43,7 +43,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, vocab_path()), vocab_path())
+    coded = bpe.encode(docs, vocab_path(), decoded_col="decoded")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
