@@ -5,6 +5,8 @@ first few of each (the prefix). Rows of prefix words are grouped by word, and pa
 word's positions and of a parity bitmap of the sets, which bound their overlap from above. Pairs that pass connect lines, and connected lines are
 compared exactly. A line that is similar to an earlier one is removed.
 
+The rows of a word that many sets have in their prefix are cut into blocks, and every pair of blocks is a task of its own, so no word is capped.
+
 Lines with equal sets are one class, known by its first line, so copies cost one row each.
 """
 
@@ -26,10 +28,11 @@ from pagegraph.llm.units import slices
 from pagegraph.llm.words import Words, mixed
 
 THRESHOLD = 0.8
-CELLS = 1 << 21  # counters of the frequency table, which is broadcast: 8 MB whatever the input
+CELLS = 1 << 21  # counters of the frequency table, which is broadcast: 16 MB whatever the input
 MOST_BITS = 1024
 LARGE = 256  # lines of a group above which its lines are first compared with a few leaders
 LEADERS = 32
+MEETING = 4096  # sets of a prefix word that one task compares with as many others
 SHARED = 2_000_000  # words of a block in the exact comparison
 
 U = np.uint64
@@ -83,10 +86,10 @@ def line_classes(docs: DataFrame) -> DataFrame:
     """One pass over ``docs`` (id, tie, text). Lines that have words: id, tie, line, node (hash of the set) and nid (its number);
     and how often words fall into each cell of the frequency table: cell and n, once per task and cell."""
     kind = docs.schema["id"].dataType.simpleString()
-    fields = f"id {kind}, tie long, line int, node binary, nid long, cell int, n int"
+    fields = f"id {kind}, tie long, line int, node binary, nid long, cell int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int32)
+        total = np.zeros(CELLS, dtype=np.int64)
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
@@ -95,13 +98,13 @@ def line_classes(docs: DataFrame) -> DataFrame:
                 if not len(h):
                     continue
                 cell, times = np.unique(cells_of(h), return_counts=True)
-                total[cell] += times.astype(np.int32)
+                total[cell] += times
                 names = [hashlib.blake2b(h[x:y].tobytes(), digest_size=16).digest() for x, y in zip(cuts[:-1], cuts[1:])]
                 at = pa.array(row)
-                none = pa.nulls(len(names), pa.int32())
+                none, no_count = pa.nulls(len(names), pa.int32()), pa.nulls(len(names), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(names, pa.binary()),
-                     pa.array(numbers_of(h, cuts)), none, none], names=["id", "tie", "line", "node", "nid", "cell", "n"],
+                     pa.array(numbers_of(h, cuts)), none, no_count], names=["id", "tie", "line", "node", "nid", "cell", "n"],
                 )
         seen = np.flatnonzero(total)
         if len(seen):
@@ -115,9 +118,9 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
 
 def frequencies(rows: DataFrame) -> np.ndarray:
-    """The frequency table from the counts of all tasks (cell, n): in how many lines words of a cell are, up to 2**20."""
-    counts = rows.filter("cell is not null").groupBy("cell").agg(F.least(F.sum("n"), F.lit(1 << 20)).cast("int").alias("n"))
-    table = np.zeros(CELLS, dtype=np.int32)
+    """The frequency table from the counts of all tasks (cell, n): in how many lines words of a cell are."""
+    counts = rows.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = np.zeros(CELLS, dtype=np.int64)
     for batch in counts.toArrow().to_batches():  # at most CELLS rows
         table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return table
@@ -147,12 +150,18 @@ def bitmaps(h: np.ndarray, cuts: np.ndarray, which: np.ndarray) -> list:
     return out
 
 
-PREFIX = "word long, nid long, n int, i int, low long, bits binary"
+PREFIX = "word long, nid long, n int, i int, low long, bits binary, often boolean"
+
+
+def rarest_first(h: np.ndarray, times: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Order of words by line, the rarest of a line first; of equal ones the smaller hash."""
+    return np.lexsort((h, times, owner))
 
 
-def prefixes(docs: DataFrame, table, threshold: float) -> DataFrame:
-    """Rows of prefix words: word (40 bits of its hash), nid (number of the set), n (words of the set), i (position), and a parity bitmap
-    of the set: ``low`` of 64 bits up to 64 words, ``bits`` above. Words that no other line has are left out."""
+def prefixes(docs: DataFrame, table, threshold: float, meeting: int = MEETING) -> DataFrame:
+    """Rows of prefix words: word (40 bits of its hash), nid (number of the set), n (words of the set), i (position), a parity bitmap
+    of the set: ``low`` of 64 bits up to 64 words, ``bits`` above; and whether the word is in more than ``meeting`` lines.
+    Words that no other line has are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = table.value
@@ -165,8 +174,7 @@ def prefixes(docs: DataFrame, table, threshold: float) -> DataFrame:
                 owner = np.repeat(np.arange(len(n)), n)
                 _, fresh = np.unique(nid, return_index=True)  # equal sets of a slice once
                 times = often[cells_of(h)]
-                # the rarest words of a line first; of equal ones the smaller hash, as the words come in that order
-                order = np.argsort(owner.astype(np.int64) << 24 | times, kind="stable")
+                order = rarest_first(h, times, owner)
                 length = np.zeros(len(n), dtype=np.int64)
                 length[fresh] = (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[fresh]
                 line = np.repeat(np.arange(len(n)), length)
@@ -180,8 +188,9 @@ def prefixes(docs: DataFrame, table, threshold: float) -> DataFrame:
                 bits = bitmaps(h, cuts, fresh[n[fresh] > 64])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((h[at] >> U(24)).view(np.int64)), pa.array(nid[line]), pa.array(n[line].astype(np.int32)),
-                     pa.array(i.astype(np.int32)), pa.array(parity[line].view(np.int64)), pa.array(bits, pa.binary()).take(pa.array(line))],
-                    names=["word", "nid", "n", "i", "low", "bits"],
+                     pa.array(i.astype(np.int32)), pa.array(parity[line].view(np.int64)), pa.array(bits, pa.binary()).take(pa.array(line)),
+                     pa.array(times[at] > meeting)],
+                    names=["word", "nid", "n", "i", "low", "bits", "often"],
                 )
 
     return docs.select("text").mapInArrow(run, PREFIX)
@@ -233,8 +242,9 @@ class Bitmaps:
         return out
 
 
-def _pairs_near(word, n, i, low, bits: Bitmaps, rows, label, threshold):
-    """Pairs of ``rows``, sorted by word and n, of one word, of similar n and of different labels, that pass the filters."""
+def _pairs_near(word, n, i, low, bits: Bitmaps, rows, label, side, threshold):
+    """Pairs of ``rows``, sorted by word and n, of one word, of similar n and of different labels and sides, that pass the filters;
+    side 0 also meets itself."""
     out_a, out_b = [], []
     word, m = word[rows], n[rows]
     active, d = np.arange(len(rows)), 1
@@ -244,7 +254,7 @@ def _pairs_near(word, n, i, low, bits: Bitmaps, rows, label, threshold):
         if not len(active):
             break
         a, b = rows[active], rows[active + d]
-        ok = label[a] != label[b]
+        ok = (label[a] != label[b]) & ((side[a] != side[b]) | (side[a] == 0))
         a, b = a[ok], b[ok]
         ok = may_be_similar(n[a], i[a], low[a], n[b], i[b], low[b], threshold)
         a, b = a[ok], b[ok]
@@ -272,7 +282,24 @@ def _led(n, i, low, bits: Bitmaps, rows, label, threshold):
     return np.concatenate(out)
 
 
-def candidate_edges(rows: DataFrame, threshold: float) -> DataFrame:
+def dealt(rows: DataFrame, meeting: int = MEETING) -> DataFrame:
+    """The rows of ``prefixes`` by groups ``g`` whose rows meet, of at most about twice ``meeting`` sets.
+
+    A word in at most ``meeting`` lines is a group. Of the others each set counts once; a word that still has more rows is cut into blocks, and
+    every pair of blocks is a group. In a pair of two blocks ``side`` is 1 or 2, elsewhere it is 0.
+    """
+    few = rows.filter("not often").select(F.xxhash64("word", F.lit(0), F.lit(0)).alias("g"), "nid", "n", "i", "low", "bits", F.lit(0).alias("side"))
+    many = saved(rows.filter("often").drop("often").dropDuplicates(["word", "nid"]), "lines-often")
+    large = many.groupBy("word").agg(F.count("*").alias("sets")).filter(F.col("sets") > meeting)
+    placed = many.join(large, "word", "left")
+    n_blocks = F.coalesce(F.ceil(F.col("sets") / meeting), F.lit(1)).cast("int")
+    block = F.pmod(F.xxhash64("nid"), n_blocks).cast("int")
+    placed = placed.withColumn("block", block).withColumn("pair", F.explode(block_pairs(block, n_blocks)))
+    side = F.when(F.col("pair.i") == F.col("pair.j"), 0).when(F.col("block") == F.col("pair.i"), 1).otherwise(2)
+    return few.union(placed.select(F.xxhash64("word", "pair.i", "pair.j").alias("g"), "nid", "n", "i", "low", "bits", side.alias("side")))
+
+
+def candidate_edges(rows: DataFrame, threshold: float, meeting: int = MEETING) -> DataFrame:
     """Edges (a, b) between numbers of sets that pass the filters for some prefix word."""
     names = ["a", "b"]
 
@@ -286,17 +313,21 @@ def candidate_edges(rows: DataFrame, threshold: float) -> DataFrame:
             if batch is not None:
                 table = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
                 table = table.combine_chunks()
-                word = table.column(0).to_numpy()
-                cut = int(np.searchsorted(word, word[-1]))
+                group = table.column(0).to_numpy()
+                cut = int(np.searchsorted(group, group[-1]))
                 table, tail = table.slice(0, cut), table.slice(cut)
             else:
                 table, tail = tail, None
             if table is None or table.num_rows < 2:
                 continue
-            word, nid, n, i = (table.column(k).to_numpy().astype(np.int64) for k in range(4))
+            group, nid = table.column(0).to_numpy(), table.column(1).to_numpy()
+            fresh = np.ones(len(nid), dtype=bool)  # a set once, however many slices brought it
+            fresh[1:] = (group[1:] != group[:-1]) | (nid[1:] != nid[:-1])
+            table = table.filter(pa.array(fresh)).combine_chunks()
+            group, nid, n, i, _, _, side = (table.column(k).to_numpy().astype(np.int64) if k not in (4, 5) else None for k in range(7))
             low = table.column(4).to_numpy().view(U)
-            first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
-            size = np.diff(np.append(first, len(word)))
+            first = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
+            size = np.diff(np.append(first, len(group)))
             many = np.repeat(size, size)
             kept = np.flatnonzero(many > 1)  # most words are in one line only
             bits = Bitmaps([None] * len(n))
@@ -308,11 +339,11 @@ def candidate_edges(rows: DataFrame, threshold: float) -> DataFrame:
             for f, m in zip(first[size > LARGE], size[size > LARGE]):
                 pairs = _led(n, i, low, bits, np.arange(f, f + m), label, threshold)
                 found.append((nid[pairs[:, 0]], nid[pairs[:, 1]]))
-            a, b = _pairs_near(word, n, i, low, bits, kept, label, threshold)
+            a, b = _pairs_near(group, n, i, low, bits, kept, label, side, threshold)
             found.append((nid[a], nid[b]))
             yield edge_batch(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
 
-    return rows.repartition("word").sortWithinPartitions("word", "n").mapInArrow(run, "a long, b long")
+    return dealt(rows, meeting).repartition("g").sortWithinPartitions("g", "n", "nid").mapInArrow(run, "a long, b long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]):
@@ -408,7 +439,7 @@ def later_sets(wanted: DataFrame, texts: DataFrame, threshold: float) -> DataFra
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-                   shared: int = SHARED) -> DataFrame:
+                   shared: int = SHARED, meeting: int = MEETING) -> DataFrame:
     """Lines of every text that are to go: id, n_lines, removed (numbers of lines from 0, ascending) and tie.
 
     Lines end at line feeds. A line goes if an earlier one, in a text of smaller id or before in the same text, has a Jaccard similarity of
@@ -424,7 +455,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = both.filter("node is not null").drop("cell", "n")
     spot = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie", "line")
     firsts = lines.groupBy("node").agg(F.min(spot).alias("first"), F.first("nid").alias("nid"))
-    parts = components(candidate_edges(prefixes(texts, table, threshold), threshold), "lines-parts")
+    rows = saved(prefixes(texts, table, threshold, meeting), "lines-prefixes")
+    parts = components(candidate_edges(rows, threshold, meeting), "lines-parts")
     known = firsts.join(parts, firsts["nid"] == parts["node"]).select(firsts["node"], "first", "label")
     known = saved(known, "lines-known")
     sizes = known.groupBy("label").agg(F.count("*").alias("members"))

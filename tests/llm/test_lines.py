@@ -112,3 +112,33 @@ def test_odd_rows(spark, odd, none):
     assert lines.repeated_lines(none).count() == 0
     out = lines.without_lines(odd, lines.repeated_lines(odd))
     assert out.columns == odd.columns and out.count() == odd.count()
+
+
+def test_counts_of_frequent_words_stay_apart(spark):
+    rows = spark.createDataFrame([(1, (1 << 20) + 5), (2, 1 << 21), (2, 1 << 33), (3, 7), (None, None)], "cell int, n long")
+    table = lines.frequencies(rows)
+    assert [int(table[k]) for k in range(4)] == [0, (1 << 20) + 5, (1 << 21) + (1 << 33), 7]
+    # the order of rarity needs all of it, whatever the hash says
+    h = np.array([1, 2, 3, 4], dtype=np.uint64)
+    assert lines.rarest_first(h, table[[2, 1, 1, 3]], np.array([0, 0, 1, 1])).tolist() == [1, 0, 3, 2]
+
+
+def test_frequent_word_is_dealt_into_blocks(spark):
+    # 400 sets share a word, one of them comes 300 times
+    rows = [(7, 1000 + i, 4, 0, 0, None, True) for i in range(400)] + [(7, 1000, 4, 0, 0, None, True)] * 300
+    rows += [(8, 1000 + i, 4, 0, 0, None, False) for i in range(3)]
+    got = lines.dealt(spark.createDataFrame(rows, lines.PREFIX), meeting=50).collect()
+    groups = defaultdict(list)
+    for r in got:
+        groups[r["g"]].append((r["nid"], r["side"]))
+    assert max(map(len, groups.values())) <= 2 * 50 * 1.6
+    met = Counter()
+    for g in groups.values():
+        met.update((a, b) for a, s in g for b, t in g if a < b and (s != t or s == 0))
+    twice = {(1000, 1001), (1000, 1002), (1001, 1002)}
+    assert met == Counter({(a, b): 1 + ((a, b) in twice) for a in range(1000, 1400) for b in range(a + 1, 1400)})
+
+
+def test_blocks_of_words_change_nothing(spark):
+    rows, df = make(spark)
+    assert found(lines.repeated_lines(df, meeting=5)) == brute(rows)
