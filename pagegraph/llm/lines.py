@@ -83,10 +83,10 @@ def numbers_of(h: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
-    """One pass over ``docs`` (id, tie, text). Lines that have words: id, tie, line, node (hash of the set) and nid (its number);
+    """One pass over ``docs`` (id, tie, text). Lines that have words: id, tie, line, node (hash of the set), nid (its number) and words;
     and how often words fall into each cell of the frequency table: cell and n, once per task and cell."""
     kind = docs.schema["id"].dataType.simpleString()
-    fields = f"id {kind}, tie long, line int, node binary, nid long, cell int, n long"
+    fields = f"id {kind}, tie long, line int, node binary, nid long, words int, cell int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, dtype=np.int64)
@@ -104,14 +104,16 @@ def line_classes(docs: DataFrame) -> DataFrame:
                 none, no_count = pa.nulls(len(names), pa.int32()), pa.nulls(len(names), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(names, pa.binary()),
-                     pa.array(numbers_of(h, cuts)), none, no_count], names=["id", "tie", "line", "node", "nid", "cell", "n"],
+                     pa.array(numbers_of(h, cuts)), pa.array(np.diff(cuts).astype(np.int32)), none, no_count],
+                    names=["id", "tie", "line", "node", "nid", "words", "cell", "n"],
                 )
         seen = np.flatnonzero(total)
         if len(seen):
             k = len(seen)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()),
-                 pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "tie", "line", "node", "nid", "cell", "n"],
+                 pa.nulls(k, pa.int32()), pa.array(seen.astype(np.int32)), pa.array(total[seen])],
+                names=["id", "tie", "line", "node", "nid", "words", "cell", "n"],
             )
 
     return docs.select("id", "tie", "text").mapInArrow(run, fields)
@@ -386,6 +388,11 @@ def earlier_links(sets: list[np.ndarray], order: np.ndarray, blocks: np.ndarray,
     return out
 
 
+def n_blocks(known: DataFrame, shared: int) -> DataFrame:
+    """Blocks of each connected part of ``known`` (label, words): label, blocks; a block has about ``shared`` words, however long its lines are."""
+    return known.groupBy("label").agg(F.greatest(F.ceil(F.sum("words") / shared), F.lit(1)).cast("int").alias("blocks"))
+
+
 def later_sets(wanted: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Of the classes ``wanted`` (id, tie, line, node, part, blocks), the nodes that are similar to a class whose first line is earlier."""
     per_text = wanted.groupBy("id", "tie").agg(F.collect_list(F.struct("line", "node", "part", "blocks")).alias("lines"))
@@ -454,22 +461,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = spark.sparkContext.broadcast(frequencies(both))
     lines = both.filter("node is not null").drop("cell", "n")
     spot = F.struct(F.col("id").isNull().alias("no_id"), "id", "tie", "line")
-    firsts = lines.groupBy("node").agg(F.min(spot).alias("first"), F.first("nid").alias("nid"))
+    firsts = lines.groupBy("node").agg(F.min(spot).alias("first"), F.first("nid").alias("nid"), F.first("words").alias("words"))
     rows = saved(prefixes(texts, table, threshold, meeting), "lines-prefixes")
     parts = components(candidate_edges(rows, threshold, meeting), "lines-parts")
-    known = firsts.join(parts, firsts["nid"] == parts["node"]).select(firsts["node"], "first", "label")
+    known = firsts.join(parts, firsts["nid"] == parts["node"]).select(firsts["node"], "first", "label", "words")
     known = saved(known, "lines-known")
-    sizes = known.groupBy("label").agg(F.count("*").alias("members"))
     spread = {"spread": F.pmod("label", F.lit(65521))}
-    blocks = F.greatest(F.ceil(F.col("members") * 64 / shared), F.lit(1)).cast("int")
-    wanted = known.withColumns(spread).join(sizes.withColumns(spread), ["spread", "label"]).select(
-        "first.id", "first.tie", "first.line", "node", F.col("label").alias("part"), blocks.alias("blocks"),
+    wanted = known.withColumns(spread).join(n_blocks(known, shared).withColumns(spread), ["spread", "label"]).select(
+        "first.id", "first.tie", "first.line", "node", F.col("label").alias("part"), "blocks",
     )
     late = saved(later_sets(wanted, texts, threshold), "lines-late")
     spread = {"spread": F.substring("node", 1, 2)}
     placed = lines.select("node", spot.alias("spot"))
     marked = (
-        placed.withColumns(spread).join(firsts.drop("nid").withColumns(spread), ["spread", "node"]).drop("spread")
+        placed.withColumns(spread).join(firsts.drop("nid", "words").withColumns(spread), ["spread", "node"]).drop("spread")
         .join(late.withColumn("late", F.lit(True)), "node", "left")
     )
     gone = marked.filter(F.coalesce("late", F.lit(False)) | (F.col("spot") > F.col("first")))

@@ -142,3 +142,20 @@ def test_frequent_word_is_dealt_into_blocks(spark):
 def test_blocks_of_words_change_nothing(spark):
     rows, df = make(spark)
     assert found(lines.repeated_lines(df, meeting=5)) == brute(rows)
+
+
+def test_blocks_go_by_the_words_of_lines(spark, monkeypatch):
+    # near copies of a line of 500 words: 30 sets of some 15,000 words together
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(500)]
+    rows = [(i, " ".join(words[:-1] + [f"x{rng.randrange(10**9)}"])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, later_sets = [], lines.later_sets
+
+    def spy(wanted, texts, threshold):
+        seen.extend(r["blocks"] for r in wanted.select("part", "blocks").distinct().collect())
+        return later_sets(wanted, texts, threshold)
+
+    monkeypatch.setattr(lines, "later_sets", spy)
+    assert found(lines.repeated_lines(df, shared=2000)) == brute(rows)
+    assert seen == [8]
