@@ -13,10 +13,11 @@ from pagegraph.llm.queries import held_out, quality_weights, vocab_path
 
 
 def readable_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without a text or a letter go."""
+    """Documents that can be read: those without a text or a letter go, whatever language is found and whether any was learned."""
     model = language.fit(docs.filter(~held_out(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     found = language.predict(docs, model, lang_out="__lang", score_out="__score")
-    return found.filter(F.col("__lang") != language.UNKNOWN).select(*docs.columns)
+    unreadable = (F.col("__lang") == language.UNKNOWN) & F.col("__score").eqNullSafe(F.lit(0.0))
+    return found.filter(~unreadable).select(*docs.columns)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,12 +173,13 @@ class Predictor:
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its probability, from the text alone.
 
-    ``und`` with score 0 if the text is null, has no letter, or nothing was learned. Rows are independent: repeats get equal
-    results, and other columns pass through, except that columns named like the results are replaced.
+    ``und`` with score 0 if the text is null or has no letter; ``und`` without a score (null) if it has, but nothing was learned.
+    Rows are independent: repeats get equal results, and other columns pass through, except that columns named like the results are replaced.
     """
     docs = docs.drop(lang_out, score_out)
+    readable = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return docs.withColumns({lang_out: F.lit(UNKNOWN), score_out: F.lit(0.0)})
+        return docs.withColumns({lang_out: F.lit(UNKNOWN), score_out: F.when(~readable, F.lit(0.0))})
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     spot = names.index(text_col)
@@ -203,7 +204,6 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
                 )
 
     found = docs.mapInArrow(run, f"{kinds}, `{lang_out}` string, `{score_out}` double")
-    readable = F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False))
     return found.withColumns({
         lang_out: F.when(readable, F.col(lang_out)).otherwise(UNKNOWN),
         score_out: F.when(readable, F.least(F.col(score_out), F.lit(1.0))).otherwise(0.0),

@@ -2,10 +2,11 @@ import re
 from collections import Counter, defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pagegraph.llm import mixing, queries
+from pagegraph.llm import language, mixing, queries
 from pagegraph.llm.common import saved
 from test_near import sets
 
@@ -88,3 +89,12 @@ def test_empty_input(spark, none):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
     assert docs.count() == 0
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(1, "some words", None, "a"), (2, "12 34", None, "a"), (3, None, None, "b"), (4, "été", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in corpus_pipeline.readable_language(spark, docs, DIR).collect()} == {1, 4}
+    # a label that is called like the unknown language does not reject its texts
+    named = docs.withColumn("lang", F.lit(language.UNKNOWN))
+    assert {r["doc_id"] for r in corpus_pipeline.readable_language(spark, named, DIR).collect()} == {1, 4}
