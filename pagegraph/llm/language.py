@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagegraph.llm.common import worker_store
 from pagegraph.llm.units import slices
@@ -25,7 +26,6 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 SAMPLE = 6000  # labelled windows that the network is trained on, shared equally by the languages
-LANGUAGES = 200  # at most so many languages are learned, the most frequent ones
 UNKNOWN = "und"
 
 # upper-case ASCII letters count as lower case
@@ -101,31 +101,30 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, batch: int = 6
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Trains on about ``sample`` windows of the labelled rows of ``docs``, as many for each language as there are.
+    """Trains on about ``sample`` windows of the labelled rows of ``docs``, as many for each language as there are, but one at least.
 
-    Rows are picked by a hash of their id, windows start at a hashed place of the text. Rows without label or text are left out;
-    None if none is left.
+    Rows are picked by a hash of id and text, so rows without an id or with one that others have are picked like others; rows that
+    repeat both are one. Windows start at a hashed place of the text. Rows without label or letter are left out; None if none is
+    left. At most ``sample`` windows are collected, or one for each language where there are more languages.
     """
     lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
-    known = docs.filter(lang.isNotNull()).select(F.col(f"`{id_col}`").cast("string").alias("id"), text.alias("text"), lang.alias("lang"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    row = (F.col(f"`{id_col}`").cast("string"), text)
+    start = F.pmod(F.xxhash64(*row, F.lit(2)), F.greatest(F.length(text) - WINDOW, F.lit(0)) + 1).cast("int") + 1
+    known = docs.filter(lang.isNotNull() & text.rlike(r"\p{L}")).select(
+        lang.alias("lang"), F.xxhash64(*row, F.lit(1)).alias("spot"), F.substring(text, start, F.lit(WINDOW + max(WIDTHS))).alias("part"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("spot").alias("n")).collect()  # one row per language
     if not counts:
         return None
+    each = max(1, sample // len(counts))
+    # rows with a small enough hash are some more than needed; of these the smallest hashes are taken
+    shares = [min(1.0, (2 * each + 50) / row["n"]) for row in counts]
+    bounds = docs.sparkSession.createDataFrame(pa.table({"lang": [row["lang"] for row in counts], "share": shares}))
     scale = 1 << 30
-    picked = F.lit(False)
-    each = sample / len(counts)
-    spot = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(scale))
-    for row in counts:
-        picked = picked | ((F.col("lang") == row["lang"]) & (spot < int(scale * min(1.0, each / row["count"]))))
-    start = F.pmod(F.xxhash64("id", F.lit(2)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1).cast("int") + 1
-    rows = (
-        known.filter(picked).filter(F.col("text").rlike(r"\p{L}"))
-        .select("id", "lang", F.substring(F.col("text"), start, F.lit(WINDOW + max(WIDTHS))).alias("part"))
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["id"] or "", r["lang"], r["part"]))
-    if not rows:
-        return None
+    few = known.join(bounds, "lang").filter(F.pmod("spot", F.lit(scale)) < F.col("share") * scale)
+    few = few.groupBy("lang", "spot").agg(F.min("part").alias("part"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
+    rows = few.withColumn("nth", nth).filter(F.col("nth") <= each).collect()
+    rows.sort(key=lambda r: (r["lang"], r["spot"]))
     return train([r["part"].encode() for r in rows], [r["lang"] for r in rows])
 
 

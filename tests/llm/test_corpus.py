@@ -157,3 +157,22 @@ def test_zip_directory(zip64):
 def test_page_ids_in_records():
     for n in (0, 1, -1, 2**63 - 1, -2**63, 123456789012345):
         assert warc.page_of(warc.record_id(n)) == n
+
+
+def test_language_learns_rows_without_own_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, labels: seen.append(Counter(labels)))
+    # a language of unique ids, of null ids, of one id, of one row that comes often, and of one row
+    rows = [(i, f"one {i} text", "a") for i in range(900)] + [(None, f"deux {i} textes", "b") for i in range(900)]
+    rows += [(-1, f"drei {i} Texte", "c") for i in range(900)] + [(None, "sama", "d")] * 900 + [(-2, "yksi", "e"), (-3, "12", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language.fit(docs, sample=100)
+    assert seen == [Counter(a=20, b=20, c=20, d=1, e=1)]
+
+
+def test_language_learns_rare_languages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, labels: seen.append(Counter(labels)))
+    rows = [(i, f"text {i}", f"l{i % 300}") for i in range(900)]
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
+    assert seen == [Counter({f"l{k}": 1 for k in range(300)})]
