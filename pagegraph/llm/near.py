@@ -1,10 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding, which stands in for an LSH forest.
 
-Texts are sets of word shingles; texts with equal sets form a class and are treated as one. A class has a MinHash signature, and
-every tree of the forest sorts the classes by a run of signature symbols of its own. Two classes meet in a tree if they share a prefix there; the
-prefix starts at full length and is shortened, symbol by symbol, until the forest would find pairs at the threshold with the target
-recall. Where classes meet, those whose signatures agree enough are linked by a spanning forest, never by all pairs; the
-connected classes of all trees are then compared exactly, each pair inside them once.
+Texts are sets of word shingles; texts with equal sets form a class and are treated as one. A class has a MinHash signature of several
+trees' labels. Two classes meet in a tree if their labels there share a prefix. Its length is the longest at which pairs at the threshold are found with the
+target recall; it depends on parameters only, so prefixes are compared by a hash, without tries. Where classes meet, those whose signatures agree enough are
+linked by a spanning forest, never by all pairs; the connected classes of all trees are then compared exactly, each pair inside them once.
 
 Groups that are too large for a task are cut into blocks, and every pair of blocks is a task of its own, so no group is capped.
 """
