@@ -29,6 +29,11 @@ def _blocks(n: int) -> int:
     return max(1, math.ceil(n / BLOCK))
 
 
+def _frame(out: dict[str, list], kinds: dict[str, object]) -> pd.DataFrame:
+    """Columns with stated types: a block without a result has none to infer them from."""
+    return pd.DataFrame({name: pd.Series(out[name], dtype=kind) for name, kind in kinds.items()})
+
+
 def _bucket(c: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
 
@@ -96,7 +101,7 @@ def top_k(requests: DataFrame, candidates: DataFrame, k: int, metric: str, known
                 out["qid"].extend([qid] * len(best))
                 out["uri"].extend(uris[best])
                 out["score"].extend(s[best])
-        return pd.DataFrame(out)
+        return _frame(out, {"qid": object, "uri": object, "score": "float64"})
 
     # one partition per few block pairs: blocks cost CPU, not bytes, so they must not be merged by size
     n_part = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -205,6 +210,8 @@ def score_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame,
 def relations_of_pairs(nodes: DataFrame, relations: DataFrame, known: DataFrame, k: int, model: str, threshold: float) -> DataFrame:
     """``h, t, r, score, rank`` for all pairs ``h < t`` of ``nodes(uri, embedding)``, where the confidence reaches ``threshold``.
 
+    The result has up to ``k`` rows for every pair of nodes: its size is that of the question, not of the graph.
+
     Nodes are hashed into blocks and every pair of blocks is one bounded group that scores its pairs with numpy, so no row is made
     for a pair that has nothing to say. Known triples of a pair go to its group and are left out before the best ``k``.
     """
@@ -214,9 +221,9 @@ def relations_of_pairs(nodes: DataFrame, relations: DataFrame, known: DataFrame,
     own = nodes.select("uri", F.col("embedding").cast("array<double>").alias("v"), _bucket(F.col("uri"), n).alias("b"))
     none = F.lit(None).cast("string")
     placed = own.select(F.explode(cells).alias("cell"), F.lit("n").alias("kind"), "uri", none.alias("x"), none.alias("y"), "b", "v")
-    every = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(n) for j in range(i, n)]
-    rels = relations.select(F.explode(F.array(*every)).alias("cell"), F.lit("r").alias("kind"), "uri", none.alias("x"), none.alias("y"),
-                            F.lit(0).alias("b"), F.col("embedding").cast("array<double>").alias("v"))
+    rows_of = relations.select("uri", F.col("embedding").cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    rels = rows_of.select("uri", "v", "i", F.explode(F.sequence(F.col("i"), F.lit(n - 1))).alias("j")).select(
+        F.struct("i", "j").alias("cell"), F.lit("r").alias("kind"), "uri", none.alias("x"), none.alias("y"), F.lit(0).alias("b"), "v")
     a, b = _bucket(F.col("s"), n), _bucket(F.col("o"), n)
     skips = known.select(F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j")).alias("cell"), F.lit("x").alias("kind"), F.col("p").alias("uri"),
                          F.col("s").alias("x"), F.col("o").alias("y"), F.lit(0).alias("b"), F.lit(None).cast("array<double>").alias("v"))
@@ -244,7 +251,10 @@ def relations_of_pairs(nodes: DataFrame, relations: DataFrame, known: DataFrame,
                     continue
                 q = closer(v[at], v[later])
                 if model == "transe":
-                    sc = -np.sqrt(np.square(q[:, None, :] - rel[None]).sum(axis=2))
+                    sc = np.empty((len(q), len(rel)))
+                    step = max(1, 4_000_000 // rel.size)
+                    for a in range(0, len(q), step):
+                        sc[a:a + step] = -np.sqrt(np.square(q[a:a + step, None, :] - rel[None]).sum(axis=2))
                 else:
                     sc = q @ rel.T
                 sc = np.round(sc, DIGITS)
@@ -263,7 +273,7 @@ def relations_of_pairs(nodes: DataFrame, relations: DataFrame, known: DataFrame,
                 out["r"] += r_names[order[x, y]].tolist()
                 out["score"] += best[x, y].tolist()
                 out["rank"] += (y + 1).tolist()
-        return pd.DataFrame(out).astype({"score": float, "rank": "int32"})
+        return _frame(out, {"h": object, "t": object, "r": object, "score": "float64", "rank": "int32"})
 
     return rows.repartition("i", "j").groupBy("i", "j").applyInPandas(score, "h string, t string, r string, score double, rank int")
 

@@ -60,6 +60,41 @@ def test_completion_invariants(spark):
     assert L.complete_graph(k, ent, rel, threshold=0.7, cap=7).count() == 7
 
 
+@pytest.mark.parametrize("model", ["transe", "distmult"])
+def test_predictions_without_a_result(spark, model):
+    schema, triple = "uri string, embedding array<double>", "s string, p string, o string"
+    ent = spark.createDataFrame([(f"e{i}", [float(i), 1.0]) for i in range(4)], schema)
+    rel = spark.createDataFrame([("r", [0.5, 0.5])], schema)
+    every = spark.createDataFrame([("e0", "r", f"e{i}") for i in range(4)], triple)
+    ask = spark.createDataFrame([("e0", "r")], "h string, r string")
+    # all candidates known; no request; one kind of request only
+    assert L.predict_tail(ask, ent, rel, 3, model, every).collect() == []
+    assert L.predict_tail(ask.limit(0), ent, rel, 3, model).collect() == []
+    tails = L.predict_batch(spark.createDataFrame([("tail", "e0", "r")], "kind string, a string, b string"), ent, rel, 2, model).collect()
+    assert [(r.kind, r["rank"]) for r in tails] == [("tail", 1), ("tail", 2)]
+    # no pair reaches the threshold; an empty graph
+    assert L.relations_of_pairs(ent, rel, every, 2, model, 1.1).collect() == []
+    assert L.complete_graph(every.limit(0), ent, rel, model).collect() == []
+
+
+def test_pairs_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(L, "PAIR_BLOCK", 7)
+    rng = np.random.default_rng(4)
+    ent = {f"e{i}": rng.integers(-2, 3, 3).astype(float) for i in range(40)}
+    rel = {f"r{i}": rng.integers(-2, 3, 3).astype(float) for i in range(4)}
+    frame = lambda d: spark.createDataFrame([(k, v.tolist()) for k, v in d.items()], "uri string, embedding array<double>")
+    known = {(f"e{i}", "r1", f"e{j}") for i in range(0, 40, 3) for j in range(1, 40, 4)}
+    got = {(r.h, r.t, r.r, r["rank"]) for r in L.relations_of_pairs(
+        frame(ent), frame(rel), spark.createDataFrame(sorted(known), "s string, p string, o string"), 2, "distmult", 0.5).collect()}
+    want = set()
+    for h in ent:
+        for t in ent:
+            if h < t:
+                best = sorted((-float(ent[h] * ent[t] @ rel[r]), r) for r in rel if (h, r, t) not in known)[:2]
+                want |= {(h, t, r, n + 1) for n, (s, r) in enumerate(best) if 1 / (1 + np.exp(s)) >= 0.5}
+    assert got == want
+
+
 def test_bio_golden(spark):
     text = "Alice works at Example Corp in London."
     toks = [(0, 5, "B-PER", .92), (6, 11, "O", .99), (15, 22, "B-ORG", .9), (23, 27, "I-ORG", .82), (28, 30, "O", .9), (31, 37, "S-LOC", .81)]
