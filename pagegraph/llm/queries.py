@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegraph.llm import bpe, dac, exact, fingerprint, language, lines, mixing, near, repeats, warc
+from pagegraph.llm import audit, bpe, dac, exact, fingerprint, language, lines, mixing, near, repeats, sharding, warc
 from pagegraph.llm.common import documents, new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,78 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.repeated_lines(documents(spark, sf_dir))
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
+
+
+@query
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return audit.audit(audit.document_failures(documents(spark, sf_dir), labels), "ABCDE")
+
+
+ORACLES["op12_audit"] = r"""
+WITH l AS (
+  SELECT doc_id AS l_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM documents LEFT JOIN l ON doc_id = l_id),
+m AS (
+  SELECT part, good, toxic,
+         CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM d),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+         list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) AS state
+  FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+r AS (
+  SELECT part, filter_order, step, bit,
+         CAST(sum(CASE WHEN mask & (coalesce(state, 0)::BIGINT | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN mask & coalesce(state, 0)::BIGINT = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN mask & coalesce(state, 0)::BIGINT <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN mask & coalesce(state, 0)::BIGINT = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN mask & coalesce(state, 0)::BIGINT = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, bit, state)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@query
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(documents(spark, sf_dir), 8)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# CRC-32 byte by byte from its polynomial; SQL has no function for it
+ORACLES["op13_shards"] = r"""
+WITH RECURSIVE k AS (
+  SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS n FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM k WHERE n < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS steps FROM k WHERE n = 8),
+u AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+         flatten(list_transform(string_split(coalesce(text, ''), ''), lambda ch: list_transform(
+           CASE WHEN ch = '' THEN [] ELSE string_split(hex(encode(ch)), '') END, lambda h: strpos('0123456789ABCDEF', h) - 1))) AS digits
+  FROM documents),
+c AS (
+  SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           range(len(digits) // 2), lambda i: (digits[2 * i + 1] * 16 + digits[2 * i + 2])::BIGINT)),
+           lambda a, b: xor(a >> 8, steps[xor(a & 255, b) + 1]))) AS text_crc32
+  FROM u, crc_table),
+p AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM c),
+s AS (SELECT *, CAST((2 * before + size) * 8 // (2 * total) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
