@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagegraph.llm.common import new_folder, saved
+from pagegraph.llm.common import new_folder, saved, shuffles_removed
 from pagegraph.session import removed
 
 SHARD = 1_000_000  # words of a shard; a piece of text that is longer is not cut
@@ -198,78 +198,85 @@ def _squeezed(seq: np.ndarray) -> np.ndarray:
     return seq[keep]
 
 
-def _phrases(shard: int, symbols: list[np.ndarray], counts: np.ndarray, lang: pa.Array, word: pa.Array) -> pa.Table:
-    """Rows (shard, lang, phrase, a, b, n); a and b are the first two symbols."""
-    text = pc.binary_join_element_wise(*[word.take(pa.array(s - 1)) for s in symbols], " ")
-    return pa.table({
-        "shard": pa.array(np.full(len(counts), shard)), "lang": lang.take(pa.array(symbols[0] - 1)), "phrase": text,
-        "a": pa.array(symbols[0].astype(np.int32)), "b": pa.array(symbols[1].astype(np.int32)), "n": pa.array(counts.astype(np.int64))})
+WORDS = "shard long, nth int, part int, k long, lang string, word string, f long"
+_PAIR = pa.schema([("shard", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_LONG = pa.schema([("ids", pa.list_(pa.int64())), ("n", pa.int64())])
 
 
-GIVEN = "shard long, lang string, phrase string, a int, b int, n long"
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the words of rows (shard, nth, lang, word, f) that lie together by word: part, and k in it; a word's first row names it."""
+    part, k, last = TaskContext.get().partitionId(), -1, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        lang, word = batch.column("lang"), batch.column("word")
+        fresh = np.ones(n, dtype=bool)
+        fresh[1:] = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(word[1:], word[:-1])).to_numpy(zero_copy_only=False)
+        fresh[0] = (lang[0].as_py(), word[0].as_py()) != last
+        last = (lang[-1].as_py(), word[-1].as_py())
+        ks = k + np.cumsum(fresh)
+        k = int(ks[-1])
+        named = lambda c: pc.if_else(pa.array(fresh), c, pa.scalar(None, c.type))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("shard"), batch.column("nth"), pa.array(np.full(n, part, dtype=np.int32)), pa.array(ks), named(lang), named(word), named(batch.column("f"))],
+            names=["shard", "nth", "part", "k", "lang", "word", "f"])
+
+
+def _table(rows: pa.Table, which: np.ndarray, *columns: str) -> list[np.ndarray]:
+    return [rows.column(c).to_numpy()[which].astype(np.int64) for c in columns]
 
 
 def _pairs(key: tuple, sequence: pa.Table, words: pa.Table) -> pa.Table:
-    """Pairs of frequent words in a shard. ``words``: nth (symbol), lang and word of the frequent ones."""
-    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+    """Pairs of frequent words in a shard. ``words``: nth (symbol) and g (number of the word in the corpus)."""
     if not sequence.num_rows or not words.num_rows:
-        return schema.empty_table()
+        return _PAIR.empty_table()
     seq = _sequence(sequence)
-    old = words.column("nth").to_numpy()
-    new = np.zeros(int(max(seq.max(), old.max())) + 1, dtype=np.int32)
-    new[old] = np.arange(1, len(old) + 1)
+    nth, g = words.column("nth").to_numpy(), words.column("g").to_numpy()
+    new = np.zeros(int(max(seq.max(), nth.max())) + 1, dtype=np.int32)
+    new[nth] = np.argsort(np.argsort(g)) + 1  # symbols in the order of the words' numbers
+    g = np.sort(g)
     index = Index(_squeezed(new[seq]), 2)
     one = index.words()
     two = index.extend(one)
-    lang, word = words.column("lang").combine_chunks(), words.column("word").combine_chunks()
-    out = _phrases(key[0].as_py(), [one["sym"][two["parent"]], two["sym"]], two["hi"] - two["lo"], lang, word)
-    # symbols as the shard numbers them
-    out = out.set_column(3, "a", pa.array(old[out.column("a").to_numpy() - 1].astype(np.int32)))
-    return out.set_column(4, "b", pa.array(old[out.column("b").to_numpy() - 1].astype(np.int32))).cast(schema)
+    n = two["hi"] - two["lo"]
+    return pa.table([np.full(len(n), key[0].as_py()), g[one["sym"][two["parent"]] - 1], g[two["sym"] - 1], n], schema=_PAIR)
 
 
 def _longer(depth: int):
-    def run(key: tuple, sequence: pa.Table, pairs: pa.Table) -> pa.Table:
-        """Phrases of three words and more in a shard, each pair inside being one of ``pairs`` (lang, phrase, a, b)."""
-        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())])
-        if not sequence.num_rows or not pairs.num_rows:
-            return schema.empty_table()
-        seq = _sequence(sequence).astype(np.int64)
-        a, b = pairs.column("a").to_numpy().astype(np.int64), pairs.column("b").to_numpy().astype(np.int64)
-        wide = int(max(seq.max(), a.max(), b.max())) + 1
-        known = np.sort(a * wide + b)
-
-        def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            code = x * wide + y
-            return known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
-
-        # a symbol outside of frequent pairs is a separator, and one is set between neighbours that are no frequent pair
+    def run(key: tuple, sequence: pa.Table, known: pa.Table) -> pa.Table:
+        """Phrases of three words and more in a shard, each pair inside being frequent. ``known``: rows of words (nth, a) and of pairs (a, b)."""
+        of_pair = pc.is_valid(known.column("b")).to_numpy()
+        if not sequence.num_rows or not of_pair.any():
+            return _LONG.empty_table()
+        a, b = _table(known, of_pair, "a", "b")
+        used = np.unique(np.concatenate([a, b]))  # words inside of frequent pairs; symbol i + 1 is used[i]
+        nth, g = _table(known, ~of_pair, "nth", "a")
+        seq = _sequence(sequence)
+        new = np.zeros(int(max(seq.max(), nth.max())) + 1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(used, g), len(used) - 1)
+        new[nth] = np.where(used[at] == g, at + 1, 0)
+        seq, wide = new[seq], len(used) + 1
+        pairs = np.sort((np.searchsorted(used, a) + 1) * wide + np.searchsorted(used, b) + 1)
+        code = seq[:-1] * wide + seq[1:]
         joined = np.zeros(len(seq) + 1, dtype=bool)
-        joined[1:-1] = paired(seq[:-1], seq[1:])
-        covered = np.where(joined[:-1] | joined[1:], seq, 0)
+        joined[1:-1] = pairs[np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)] == code
+        # a symbol in no frequent pair is a separator, and one is set between neighbours that are none
         parted = np.zeros(2 * len(seq) + 1, dtype=np.int64)
-        parted[1::2] = covered
+        parted[1::2] = np.where(joined[:-1] | joined[1:], seq, 0)
         parted[2:-1:2] = np.where(joined[1:-1], -1, 0)
-        used, seq = np.unique(_squeezed(parted[parted >= 0]), return_inverse=True)  # 0 stays 0
-        index = Index(seq.astype(np.int32), depth)
-        # the word of each symbol, from the pairs that it begins or ends
-        halves = pairs.column("phrase").combine_chunks()
-        halves = pc.split_pattern(halves, " ", max_splits=1)
-        first, second = pc.list_element(halves, 0), pc.list_element(halves, 1)
-        every, at = np.unique(np.concatenate([a, b]), return_index=True)
-        word = pa.chunked_array([first, second]).combine_chunks().take(pa.array(at[np.searchsorted(every, used[1:])]))
-        langs = pairs.column("lang").combine_chunks()
-        lang = pa.chunked_array([langs, langs]).combine_chunks().take(pa.array(at[np.searchsorted(every, used[1:])]))
+        index = Index(_squeezed(parted[parted >= 0]).astype(np.int32), depth)
         level = index.words()
         symbols, out = [level["sym"]], []
         for length in range(2, depth + 1):
             level = index.extend(level)
             symbols = [s[level["parent"]] for s in symbols] + [level["sym"]]
-            if length > 2 and len(level["sym"]):
-                text = pc.binary_join_element_wise(*[word.take(pa.array(s - 1)) for s in symbols], " ")
-                out.append(pa.table({"lang": lang.take(pa.array(symbols[0] - 1)), "phrase": text, "words": pa.array(np.full(len(text), length, dtype=np.int32)),
-                                     "n": pa.array((level["hi"] - level["lo"]).astype(np.int64))}, schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+            count = level["hi"] - level["lo"]
+            if length > 2 and len(count):
+                ids = used[np.stack(symbols, axis=1).ravel() - 1]
+                ends = np.arange(len(count) + 1, dtype=np.int32) * length
+                out.append(pa.table([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), count], schema=_LONG))
+        return pa.concat_tables(out) if out else _LONG.empty_table()
 
     return run
 
@@ -277,9 +284,9 @@ def _longer(depth: int):
 # --- counting and scoring ------------------------------------------------------------------------------
 
 
-def _frequent(rows: DataFrame, key: str, least: int) -> DataFrame:
-    """Rows of shards whose (lang, ``key``) is frequent over all of them, with the sum as ``f``; a key has one row for each shard at most."""
-    return rows.withColumn("f", F.sum("n").over(Window.partitionBy("lang", key))).filter(F.col("f") >= least)
+def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Rows of shards whose key is frequent over all of them, with the sum as ``f``; a key has one row for each shard at most."""
+    return rows.withColumn("f", F.sum("n").over(Window.partitionBy(*keys))).filter(F.col("f") >= least).drop("n")
 
 
 def phrase_counts(docs: DataFrame, words: int = 4, least: int = 30, lang_col: str = "lang", text_col: str = "text", shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -289,24 +296,35 @@ def phrase_counts(docs: DataFrame, words: int = 4, least: int = 30, lang_col: st
     folder = new_folder(spark, "phrases")
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
+        with shuffles_removed(spark):
+            df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     parts = kept(rows.mapInArrow(_sharded(shard), PARTS), "shards")
     sequences, shard_words = parts.filter("word is null").select("shard", "nth", "ids"), parts.filter("word is not null")
     totals = saved(shard_words.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
-    some = kept(_frequent(shard_words.select("shard", "nth", "lang", "word", "n"), "word", least), "words")
-    grouped = sequences.groupBy("shard")
-    pairs = grouped.cogroup(some.select("shard", "nth", "lang", "word").groupBy("shard")).applyInArrow(_pairs, GIVEN)
-    pairs = kept(_frequent(pairs, "phrase", least), "pairs")
-    longer = grouped.cogroup(pairs.select("shard", "lang", "phrase", "a", "b").groupBy("shard")).applyInArrow(
-        _longer(words), "lang string, phrase string, words int, n long")
-    longer = longer.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    found = some.groupBy("lang", F.col("word").alias("phrase")).agg(F.lit(1).alias("words"), F.max("f").alias("f"))
+    # words by number: the window leaves the rows of a word together, and parts are numbered on from one another
+    some = _frequent(shard_words.select("shard", "nth", "lang", "word", "n"), ["lang", "word"], least)
+    some = kept(some.mapInArrow(_numbered, WORDS), "words")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    offsets = some.groupBy("part").agg((F.max("k") + 1).alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    some = some.join(offsets, "part").withColumn("g", F.col("k") + F.col("ahead"))
+    names = some.filter("word is not null").select("g", "lang", "word", "f")
+    found = names.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")
     if words > 1:
-        found = found.unionByName(pairs.groupBy("lang", "phrase").agg(F.lit(2).alias("words"), F.max("f").alias("f")))
-    if words > 2:
-        found = found.unionByName(longer)
+        grouped, symbols = sequences.groupBy("shard"), some.select("shard", "nth", "g")
+        pairs = grouped.cogroup(symbols.groupBy("shard")).applyInArrow(_pairs, "shard long, a long, b long, n long")
+        pairs = kept(_frequent(pairs, ["a", "b"], least), "pairs")
+        by_id = pairs.groupBy("a", "b").agg(F.max("f").alias("f")).select(F.array("a", "b").alias("ids"), "f")
+        if words > 2:
+            known = symbols.select("shard", "nth", F.col("g").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(
+                pairs.select("shard", F.lit(None).cast("int").alias("nth"), "a", "b"))
+            longer = grouped.cogroup(known.groupBy("shard")).applyInArrow(_longer(words), "ids array<long>, n long")
+            by_id = by_id.unionByName(longer.groupBy("ids").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
+        by_id = kept(by_id, "found")
+        spelled = by_id.select("ids", "f", F.posexplode("ids").alias("at", "g")).join(names.select("g", "lang", "word"), "g")
+        spelled = spelled.groupBy("ids").agg(F.max("f").alias("f"), F.max("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w"))
+        found = found.unionByName(spelled.select("lang", F.array_join("w.word", " ").alias("phrase"), F.size("w").alias("words"), "f"))
     found = saved(found, "phrases-found")
     removed(spark, folder)
     return found, totals
