@@ -1,18 +1,23 @@
 """Anchored fixed-window rate limiting and alert rules.
 
-A client's window opens at its first request and the next one opens at the
-first request *more than* the window length later; a request is accepted while
-its window holds fewer than the limit.  Anchors form a chain, which looks
-sequential per client.  It is cut into time slices: a slice is summarised as
-"entered with this first anchor, left with that anchor and this many requests
-since", slices of a client are chained over those short summaries, and then
-replayed in parallel, each with the anchor and the count that it is entered
-with; no window of a client has to come together.  Only the requests of the first window length of a slice can be
-its first anchor, so summaries stay small however busy a client is.
+A client's window opens at its first request, its anchor, and the next one opens at the first request *more than* the window length
+later; a request is accepted while its window holds fewer than the limit. Anchors form a chain, which looks sequential per client, and a
+client may send more than a task can hold, so the chain is composed of maps over parts of its time line:
+
+* Only distinct times matter to the chain, so requests are counted by client and time first.
+* A client's time line is cut into cells, and a window length is a whole number of cells (lanes): one for most clients, 16 a second for
+  busy ones. From an anchor in a cell the next one lies in the same place of the cell one window later, or somewhat behind it; if that
+  cell has nothing more, it is the first time of the next cell that has any. So a path stays in one lane until it falls out of it, and
+  then it goes on at the first time of some cell.
+* Each lane is a task's own: it follows the paths from the first times of all its cells at once, and says for each at which cell it
+  falls out. That maps cells to cells, one row each, and the chain from a client's first cell is read off in order.
+* The cells on the chain are replayed, lane by lane again, which gives the anchors. Requests since the anchor are counted by running
+  totals of cells. Of the requests of one moment that only some are accepted of, the first by key are.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagegraph.session import written
+
 WINDOW_SECONDS = 60
 LIMIT = 10
-SLICE_WINDOWS = 32
-NEVER = -(2**62)
+BUSY = 1 << 20  # distinct times of a client above which its windows are cut into lanes
+CELL = 62_500  # microseconds of a busy client's cell; a whole second has 16
+SALTS = 64
 
 
 def _micros(ts: str):
@@ -31,85 +39,172 @@ def _micros(ts: str):
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
 
 
-def _next_anchor(ts: np.ndarray, span: int) -> np.ndarray:
-    """Per request, the position of the next anchor if it is one itself."""
-    return np.searchsorted(ts, ts + span, side="right")
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where rows with the same keys begin and end, of rows that lie in order."""
+    fresh = np.zeros(len(keys[0]), dtype=bool)
+    fresh[:1] = True
+    for k in keys:
+        fresh[1:] |= k[1:] != k[:-1]
+    return np.append(np.flatnonzero(fresh), len(fresh))
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of whole cells, and where the cells begin; rows are in the order of client, lane and time. A cell holds a window's times of a
+    client that is not busy, or a sixteenth of a second."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        at = _runs(pdf["c"].to_numpy(), pdf["cell"].to_numpy())
+        held = pdf.iloc[at[-2]:]
+        if len(at) > 2:
+            yield pdf.iloc[:at[-2]], at[:-1]
+    if held is not None:
+        yield held.reset_index(drop=True), np.array([0, len(held)])
+
+
+def _follow(span: int):
+    """For each cell (c, cell): ``onward``, the cell at or behind which the path from its first time goes on; ``real`` is false where
+    another path has met this one, and the cell named is where that one began."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_lane, came = None, 0
+        anchors: list[int] = []  # of the paths in the lane, ascending, with the cells that they began at: the latest begun comes first
+        began: list[int] = []
+        for pdf, at in _cells(batches):
+            us, (cs, cells, lanes, wides) = pdf["us"].tolist(), (pdf[x].to_numpy()[at[:-1]].tolist() for x in ("c", "cell", "lane", "lanes"))
+            out: list[tuple[int, int, int, bool]] = []
+            for a, b, c, cell, lane, wide in zip(at[:-1].tolist(), at[1:].tolist(), cs, cells, lanes, wides):
+                if (c, lane, wide) != at_lane:
+                    if at_lane is not None:
+                        out += [(at_lane[0], x, came + at_lane[2] + 1, True) for x in began]
+                    at_lane, anchors, began = (c, lane, wide), [], []
+                reached, starts = [us[a]], [cell]
+                i = a
+                for k, anchor in enumerate(anchors):
+                    i = bisect_right(us, anchor + span, i, b) if came + wide == cell else b
+                    if i == b:  # nor do the anchors behind it find anything here
+                        out += [(c, x, came + wide + 1, True) for x in began[k:]]
+                        break
+                    if us[i] == reached[-1]:
+                        out.append((c, began[k], starts[-1], False))
+                    else:
+                        reached.append(us[i])
+                        starts.append(began[k])
+                anchors, began, came = reached, starts, cell
+            yield _jumps(out)
+        if at_lane is not None:
+            yield _jumps([(at_lane[0], x, came + at_lane[2] + 1, True) for x in began])
+
+    return run
+
+
+def _jumps(rows: list[tuple[int, int, int, bool]]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["c", "cell", "onward", "real"])
+    return out.astype({"c": "int64", "cell": "int64", "onward": "int64", "real": bool})
+
+
+def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The cells whose first time is an anchor, of rows of :func:`_follow` in the order of client and cell."""
+    client, wanted = None, 0
+    for pdf in batches:
+        cs, cells, onward, real = (pdf[x].to_numpy() for x in ("c", "cell", "onward", "real"))
+        keep = np.zeros(len(cs), dtype=bool)
+        at = _runs(cs)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            if cs[a] != client:
+                client, wanted, began = int(cs[a]), cells[a], True
+            i = bisect_left(cells, wanted, a, b)
+            while i < b:
+                keep[i] = began
+                wanted, began = onward[i], real[i]
+                i = bisect_left(cells, wanted, i, b)
+        yield pdf.loc[keep, ["c", "cell"]]
+
+
+def _replay(span: int):
+    """Times with ``before``, the requests ahead in the cell, and ``anchored``, those ahead of the cell's last anchor up to here."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_lane, anchor, came = None, 0, None
+        for pdf, at in _cells(batches):
+            us, n = pdf["us"].tolist(), pdf["n"].to_numpy()
+            heads = (pdf[x].to_numpy()[at[:-1]].tolist() for x in ("c", "cell", "lane", "lanes", "begins"))
+            first = np.zeros(len(us), dtype=bool)
+            for a, b, c, cell, lane, wide, begins in zip(at[:-1].tolist(), at[1:].tolist(), *heads):
+                if (c, lane) != at_lane:
+                    at_lane, came = (c, lane), None
+                if begins:
+                    i = a
+                elif came is not None and came + wide == cell:
+                    i = bisect_right(us, anchor + span, a, b)
+                else:
+                    i = b
+                came = None
+                if i < b:  # a cell is no longer than a window: it has one anchor at most
+                    first[i], anchor, came = True, us[i], cell
+            sums = np.cumsum(n) - n
+            which = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            before = sums - sums[at[:-1]][which]
+            last = np.maximum.accumulate(np.where(first, np.arange(len(us)), -1))
+            inside = last >= at[:-1][which]
+            yield pd.DataFrame({"c": pdf["c"].to_numpy(), "cell": pdf["cell"].to_numpy(), "us": us, "n": n, "before": before,
+                                "anchored": pd.arrays.IntegerArray(before[np.maximum(last, 0)], ~inside)})
+
+    return run
+
+
+def _moments(times: DataFrame, span: int) -> DataFrame:
+    """c, us, n, used: of the distinct times of clients, how many requests of its window lie ahead of each."""
+    busy = times.groupBy("c").agg(F.when(F.count("*") > BUSY, span // CELL).otherwise(1).cast("long").alias("lanes"))
+    cells = times.join(busy, "c").withColumn("cell", F.expr(f"us div ({span} div lanes) - if(us % ({span} div lanes) < 0, 1, 0)"))
+    cells = written(cells.withColumn("lane", F.pmod("cell", "lanes")), "limit-cells")
+    # partitions by number, not by size: times are few bytes, but cost Python time
+    n_part = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_lane = cells.repartition(n_part, "c", "lane").sortWithinPartitions("c", "lane", "us")
+    jumps = by_lane.mapInPandas(_follow(span), "c long, cell long, onward long, real boolean")
+    on_chain = jumps.repartition(n_part, "c").sortWithinPartitions("c", "cell").mapInPandas(_chain, "c long, cell long")
+    begun = cells.join(on_chain.withColumn("begins", F.lit(True)), ["c", "cell"], "left").withColumn("begins", F.coalesce("begins", F.lit(False)))
+    seen = begun.repartition(n_part, "c", "lane").sortWithinPartitions("c", "lane", "us").mapInPandas(
+        _replay(span), "c long, cell long, us long, n long, before long, anchored long")
+    seen = written(seen, "limit-times")
+    # one row per cell from here
+    totals = seen.groupBy("c", "cell").agg(F.max(F.col("before") + F.col("n")).alias("all"), F.max("anchored").alias("last"))
+    ahead = Window.partitionBy("c").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("start", F.coalesce(F.sum("all").over(ahead), F.lit(0)))
+    totals = totals.withColumn("entered", F.last(F.col("start") + F.col("last"), ignorenulls=True).over(ahead)).select("c", "cell", "start", "entered")
+    return seen.join(totals, ["c", "cell"]).select(
+        "c", "us", "n", (F.col("start") + F.col("before") - F.coalesce(F.col("start") + F.col("anchored"), "entered")).alias("used"))
 
 
 def rate_limit(
     requests: DataFrame, client: str = "client", ts: str = "ts", key: str = "id",
     window_seconds: int = WINDOW_SECONDS, limit: int = LIMIT,
 ) -> DataFrame:
-    """``client, key, ts, accepted`` for every request."""
+    """``client, key, ts, accepted`` for every request.
+
+    Requests of one moment go by key. A null client is a client of its own; a request without a time has no decision.
+    """
     span = window_seconds * 1_000_000
-    width = span * SLICE_WINDOWS
-    cdt, kdt = requests.schema[client].dataType.simpleString(), requests.schema[key].dataType.simpleString()
     r = requests.select(F.col(client).alias("client"), F.col(key).alias("key"), F.col(ts).alias("ts"), _micros(ts).alias("us"))
-    # partitions by number, not by size: slices cost Python time, so merging small ones would idle cores
-    n_part = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = r.withColumn("slice", F.floor(F.col("us") / width)).repartition(n_part, "client", "slice")
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["us"].to_numpy())
-        n = len(t)
-        nxt = _next_anchor(t, span)
-        # last anchor reached from each request: steps are doubled until none leads further
-        last = np.where(nxt < n, nxt, np.arange(n))
-        while (last[last] != last).any():
-            last = last[last]
-        # a first anchor is the first request after some instant of the opening window
-        start = int(pdf["slice"].iloc[0]) * width
-        entries = np.unique(np.append(np.flatnonzero(t <= start + span), np.searchsorted(t, start + span, side="right")))
-        entries = entries[entries < n]
-        entries = entries[np.unique(t[entries], return_index=True)[1]]
-        return pd.DataFrame({
-            "client": [pdf["client"].iloc[0]], "slice": [pdf["slice"].iloc[0]],
-            "entry": [t[entries].tolist()], "exit": [t[last[entries]].tolist()], "since": [(n - last[entries]).tolist()], "n": [n],
-        })
-
-    summary = r.select("client", "slice", "us").groupBy("client", "slice").applyInPandas(
-        summarise, f"client {cdt}, slice bigint, entry array<bigint>, exit array<bigint>, since array<bigint>, n bigint")
-
-    # chain the slices in order, one client after the other; the state is the anchor in force and the requests since
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, anchor, used = None, 0, 0
-        for pdf in batches:
-            before, count = [], []
-            for who, entry, leave, since, n in zip(pdf["client"], pdf["entry"], pdf["exit"], pdf["since"], pdf["n"]):
-                if current is None or who != current:
-                    current, anchor, used = who, NEVER, 0
-                before.append(anchor)
-                count.append(used)
-                at = int(np.searchsorted(entry, anchor + span, side="right"))
-                if at < len(entry):
-                    anchor, used = int(leave[at]), int(since[at])
-                else:
-                    used += int(n)
-            yield pd.DataFrame({"client": pdf["client"], "slice": pdf["slice"], "anchor_in": before, "used_in": count})
-
-    anchors = (
-        summary.repartition(n_part, "client").sortWithinPartitions("client", "slice")
-        .mapInPandas(chain, f"client {cdt}, slice bigint, anchor_in bigint, used_in bigint")
-    )
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "key"], kind="stable")
-        t = pdf["us"].to_numpy()
-        nxt = _next_anchor(t, span)
-        first = int(np.searchsorted(t, int(pdf["anchor_in"].iloc[0]) + span, side="right"))
-        place = np.arange(len(t))
-        nth = place + int(pdf["used_in"].iloc[0])  # of its window, from 0
-        i = first
-        while i < len(t):
-            nth[i:nxt[i]] = place[:nxt[i] - i]
-            i = int(nxt[i])
-        return pd.DataFrame({"client": pdf["client"], "key": pdf["key"], "us": t, "accepted": nth < limit})
-
-    out = r.select("client", "slice", "key", "us").join(anchors, ["client", "slice"]).groupBy("client", "slice").applyInPandas(
-        replay, f"client {cdt}, key {kdt}, us bigint, accepted boolean")
-    stamp = F.timestamp_micros("us") if requests.schema[ts].dataType.typeName() == "timestamp" else (
-        F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("us") / 1_000_000).cast("decimal(18,6)")))
-    return out.select(F.col("client").alias(client), F.col("key").alias(key), stamp.alias(ts), "accepted")
+    clients = written(r.select("client").distinct().withColumn("c", F.monotonically_increasing_id()), "limit-clients")
+    same = lambda a, b: a["client"].eqNullSafe(b["client"])
+    counted = r.filter("us is not null").groupBy("client", "us").agg(F.count("*").alias("n"))
+    times = written(counted.join(clients, same(counted, clients)).select("c", "us", "n"), "limit-moments")
+    decided = _moments(times, span).join(clients, "c").select(
+        F.col("client").alias("of"), F.col("us").alias("at"), (F.lit(limit) - F.col("used")).alias("free"), F.col("n").alias("together"))
+    out = written(r.join(decided, r["client"].eqNullSafe(decided["of"]) & (r["us"] == decided["at"]), "left").drop("of", "at"), "limit-decided")
+    some = F.coalesce((F.col("free") > 0) & (F.col("free") < F.col("together")), F.lit(False))
+    whole = out.filter(~some).withColumn("accepted", F.col("free") > 0)
+    # of a moment that is cut, the first by key: salted first, since a moment may hold any number of requests
+    salted = Window.partitionBy("client", "us", F.pmod(F.xxhash64("key"), F.lit(SALTS))).orderBy("key")
+    near = out.filter(some).withColumn("nth", F.row_number().over(salted)).withColumn("near", F.col("nth") <= F.col("free"))
+    far = near.filter(~F.col("near")).withColumn("accepted", F.lit(False))
+    near = near.filter("near").withColumn("nth", F.row_number().over(Window.partitionBy("client", "us").orderBy("key")))
+    near = near.withColumn("accepted", F.col("nth") <= F.col("free"))
+    columns = [F.col("client").alias(client), F.col("key").alias(key), F.col("ts").alias(ts), "accepted"]
+    return whole.select(*columns).unionByName(far.select(*columns)).unionByName(near.select(*columns))
 
 
 def red_metrics(requests: DataFrame, every: str = "1 minute", watermark: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,9 +122,10 @@ def brute_limit(rows, span, limit):
     return out
 
 
-@pytest.mark.parametrize("gap", [0.5, 5, 400])
-def test_rate_limit_equals_sequential_rule(spark, gap):
-    """One client holds most of the requests and its traffic crosses many time slices."""
+@pytest.mark.parametrize("gap, busy", [(0.01, 100), (0.5, 100), (0.5, 10**6), (5, 100), (5, 10**6), (400, 100), (400, 10**6)])
+def test_rate_limit_equals_sequential_rule(spark, monkeypatch, gap, busy):
+    """One client holds most of the requests and its traffic crosses many windows, cells and lanes."""
+    monkeypatch.setattr(LM, "BUSY", busy)
     rnd = random.Random(gap)
     now, rows = T0, []
     for i in range(3000):
@@ -151,6 +153,38 @@ def test_limit_stream_agrees_with_batch(spark):
     assert {r.id: r.accepted for r in out.collect()} == brute_limit(rows, 60, 10)
 
 
+def test_rate_limit_within_moments(spark):
+    """Bursts at one moment, repeated rows, a null client, a request without a time, moments at the very end of a window."""
+    second = timedelta(seconds=1)
+    rows = [("a", i, T0) for i in range(7)] + [("a", 100 + i % 50, T0 + second) for i in range(300)] + [(None, i, T0 - second * (i % 2)) for i in range(20)]
+    rows += [("a", 500 + i, T0 + 60 * second) for i in range(4)] + [("a", 600 + i, T0 + 60 * second + timedelta(microseconds=1)) for i in range(12)]
+    df = spark.createDataFrame([*rows, ("a", 999, None)], "client string, id bigint, ts timestamp")
+    got = sorted((str(r.client), r.id, str(r.accepted)) for r in LM.rate_limit(df).collect())
+    want, anchor, used = [], {}, {}
+    for c, i, t in sorted(rows, key=lambda r: (str(r[0]), r[2], r[1])):
+        if c not in anchor or t - anchor[c] > 60 * second:
+            anchor[c], used[c] = t, 0
+        want.append((str(c), i, str(used[c] < 10)))
+        used[c] += 1
+    assert got == sorted([*want, ("a", 999, "None")])
+
+
+def test_rate_limit_spreads_one_client(spark, monkeypatch):
+    """A million requests of one client in three windows: no task of the lanes sees more than a small share, and the result is the rule's."""
+    monkeypatch.setattr(LM, "BUSY", 1000)
+    rng = np.random.default_rng(8)
+    us = np.sort(rng.integers(0, 150_000_000, 1_000_000))
+    df = spark.createDataFrame(pa.table({"id": np.arange(len(us)), "us": us})).select(F.lit("hot").alias("client"), "id", F.timestamp_micros("us").alias("ts"))
+    got = LM.rate_limit(df).filter("accepted").select("id").toArrow()["id"].to_numpy()
+    want, at = [], 0
+    while at < len(us):
+        want += range(at, at + 10)
+        at = int(np.searchsorted(us, us[at] + 60_000_000, side="right"))
+    assert sorted(got.tolist()) == want
+    lanes = df.select(F.pmod(F.floor(F.unix_micros("ts") / LM.CELL), F.lit(60_000_000 // LM.CELL)).alias("lane")).groupBy("lane").count()
+    assert lanes.agg(F.max("count")).first()[0] < 2000
+
+
 def test_pages_load_over_batches_and_again(spark):
     """Two micro-batches with a page in common, then the second once more: a set all the time."""
     folder, store = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/store"
