@@ -78,33 +78,36 @@ def infer_domain_range(triples: DataFrame) -> DataFrame:
     return _as_triples(by_s.unionByName(by_o).distinct().join(types, ["a", "b"], "left_anti"), T.RDF_TYPE)
 
 
+def _round(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def closure(edges: DataFrame, reflexive_on: DataFrame | None = None) -> DataFrame:
     """All pairs ``a, b`` joined by a path of one or more edges.
 
-    Semi-naive: only pairs found in the last round are extended, and each
-    round is written to the shared checkpoint folder, which cuts the lineage
-    and survives the loss of executors.  Cycles end it as nothing new appears.
+    Pairs are kept with their distance d, and every round doubles the distance covered: after it all pairs up to 2 n steps apart are known.
+    A shortest path of more than n and up to 2 n steps is one of exactly n and one of at most n, so a round joins only the pairs found
+    last that are exactly n apart with the known ones. That takes as many rounds as the logarithm of the longest distance, makes a pair
+    only by way of nodes n steps from its start, and ends on cycles, whose pairs have distances too. Each round is written to the shared
+    checkpoint folder, which cuts the lineage and survives the loss of executors.
     """
     spark = edges.sparkSession
     base = f"{checkpoint_dir(spark)}/closure-{uuid4().hex}"
-    step = edges.select(F.col("a").alias("m"), F.col("b").alias("c")).distinct()
-    step.write.parquet(f"{base}/step")
-    step = spark.read.parquet(f"{base}/step")
-    known = delta = step.select(F.col("m").alias("a"), F.col("c").alias("b"))
-    rounds = []
+    step = edges.select("a", "b").distinct().withColumn("d", F.lit(1).cast("long"))
+    known = last = _round(step, f"{base}/0")
+    paths, n = [f"{base}/0"], 1
     while True:
-        found = delta.join(step, delta.b == step.m).select("a", F.col("c").alias("b")).distinct()
-        new = found.join(known, ["a", "b"], "left_anti")
-        path = f"{base}/round-{len(rounds)}"
-        new.write.parquet(path)
-        delta = spark.read.schema("a STRING, b STRING").parquet(path)
-        if delta.isEmpty():
+        # the pairs exactly n apart are among those found last
+        far = last.filter(F.col("d") == n).select("a", F.col("b").alias("m"))
+        on = known.select(F.col("a").alias("m"), "b", "d")
+        found = far.join(on, "m").groupBy("a", "b").agg((F.min("d") + n).alias("d"))
+        last = _round(found.join(known.select("a", "b"), ["a", "b"], "left_anti"), f"{base}/{len(paths)}")
+        if last.isEmpty():
             break
-        rounds.append(path)
-        known = step.select(F.col("m").alias("a"), F.col("c").alias("b")).unionByName(
-            spark.read.schema("a STRING, b STRING").parquet(*rounds)
-        )
-    known = written(known, "closure")
+        paths.append(f"{base}/{len(paths)}")
+        known, n = spark.read.schema(last.schema).parquet(*paths), 2 * n
+    known = written(known.select("a", "b"), "closure")
     removed(spark, base)
     if reflexive_on is not None:
         loops = reflexive_on.select(F.col("node").alias("a"), F.col("node").alias("b"))
@@ -112,6 +115,35 @@ def closure(edges: DataFrame, reflexive_on: DataFrame | None = None) -> DataFram
     return known
 
 
+def reach(edges: DataFrame, starts: DataFrame, at_least: int = 1, backward: bool = False) -> DataFrame:
+    """Pairs ``a, b``: what the nodes ``a`` of ``starts(node)`` reach by ``at_least`` (0 or 1) or more edges, or what reaches them, ``backward``.
+
+    A path query with one end bound. Only what the starts lead to is walked: each round joins the nodes that a start has met last with the
+    edges, and leaves out those that it has met before; the closure of other nodes is never formed. Starts are taken as a set. There are
+    as many rounds as the longest distance from a start, each written to the shared checkpoint folder and read back.
+    """
+    spark = edges.sparkSession
+    base = f"{checkpoint_dir(spark)}/reach-{uuid4().hex}"
+    tail, head = ("b", "a") if backward else ("a", "b")
+    step = _round(edges.select(F.col(tail).alias("m"), F.col(head).alias("to")).distinct(), f"{base}/step")
+    origin = starts.select(F.col("node").alias("from")).filter("`from` is not null").distinct()
+    front = _round(origin.select("from", F.col("from").alias("to")), f"{base}/0")
+    # a start counts as met by no edge at first: a cycle may lead back to it
+    rounds, met = 0, front if at_least == 0 else front.limit(0)
+    paths = [f"{base}/0"] if at_least == 0 else []
+    while True:
+        rounds += 1
+        found = front.select("from", F.col("to").alias("m")).join(step, "m").select("from", "to").distinct()
+        front = _round(found.join(met, ["from", "to"], "left_anti"), f"{base}/{rounds}")
+        if front.isEmpty():
+            break
+        paths.append(f"{base}/{rounds}")
+        met = spark.read.schema(front.schema).parquet(*paths)
+    met = written(met.select(F.col("from").alias("a"), F.col("to").alias("b")), "reach")
+    removed(spark, base)
+    return met.select(F.col("b").alias("a"), F.col("a").alias("b")) if backward else met
+
+
 def transitive_closure(triples: DataFrame, p: str) -> DataFrame:
     """Full closure of one predicate as triples."""
     return _as_triples(closure(_iri_edges(triples, p)), p)

@@ -300,7 +300,7 @@ def property_path(t):
     up = P.edges(g, TM.SUBCLASS)
     types = P.edges(g, TYPE)
     # a path of length zero starts wherever the step before ends, in the hierarchy or not
-    star = R.closure(up, reflexive_on=types.select(F.col("b").alias("node")))
+    star = R.reach(up, types.select(F.col("b").alias("node")), at_least=0)
     p1 = P.path_sequence(types, star).distinct().withColumn("path", F.lit("type/sub*"))
     seq = P.path_sequence(P.edges(g, ex("placedBy")), P.edges(g, ex("nation"))).distinct()
     p2 = P.path_alternative(seq, P.path_inverse(P.edges(g, ex("nation")))).withColumn("path", F.lit("placedBy/nation|^nation"))
@@ -310,6 +310,17 @@ def property_path(t):
     return p1.unionByName(p2).unionByName(p3)
 
 
+@query("path_to_bound", f"""WITH RECURSIVE up AS (SELECT DISTINCT st AS a, ot AS b FROM gt WHERE p IN ('{NS_RDFS}subClassOf', '{TYPE}')),
+  down AS (SELECT b AS y, a AS x FROM up WHERE b IN ('<{ex('Part')}>', '<{ex('Nation')}>') UNION SELECT down.y, up.a FROM down JOIN up ON up.b = down.x)
+  SELECT x, y FROM down""")
+def path_to_bound(t):
+    """?x (type | subClassOf)+ ?y, with ?y bound to two classes."""
+    g = graph(t)
+    edges = P.path_alternative(P.edges(g, TM.SUBCLASS), P.edges(g, TYPE))
+    ends = t.spark.createDataFrame([(f"<{ex('Part')}>",), (f"<{ex('Nation')}>",)], "node string")
+    return R.reach(edges, ends, backward=True).select(F.col("a").alias("x"), F.col("b").alias("y"))
+
+
 @query("subselect_offset", f"""SELECT a.customer, b.ot AS name FROM (SELECT ot AS customer, count(*) AS n FROM gt WHERE p = '{ex('placedBy')}' GROUP BY ot
   ORDER BY n DESC, customer LIMIT 20 OFFSET 5) a JOIN gt b ON b.st = a.customer AND b.p = '{ex('name')}'""")
 def subselect_offset(t):

@@ -1,7 +1,9 @@
 """Terms, patterns, rules, store."""
 
+import random
 import tempfile
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -155,3 +157,45 @@ def test_sql_functions(spark):
       pg_score_complex(array(1D,2D,3D), array(1D,1D,1D), array(1D,2D,3D)) AS c, pg_expand_namespace('og:x') AS d, pg_page_rejection('<iframe>') AS e,
       pg_match_score('a red fox', array('red', 'cat')) AS f, pg_confidence('transe', -1.5D) AS g""").first()
     assert (abs(r.a), r.b, r.c, r.d, r.f) == (0.0, 14.0, 5.0, "http://ogp.me/ns#x", 0.5) and r.e and r.g > 0.5
+
+
+def _reached(edges):
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    met = set()
+    for start in out:
+        todo = [*out[start]]
+        while todo:
+            x = todo.pop()
+            if (start, x) not in met:
+                met.add((start, x))
+                todo += out.get(x, ())
+    return met
+
+
+CHAIN = [(f"n{i}", f"n{i + 1}") for i in range(70)]
+CYCLES = [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [("c3", "d0"), ("d0", "d1"), ("d1", "d0"), ("x", "c1"), ("self", "self"), ("x", "c1")]
+
+
+@pytest.mark.parametrize("shape", ["chain", "cycles", "random", "dense", "none"])
+def test_closure_and_walks_against_search(spark, monkeypatch, shape):
+    rnd = random.Random(shape)
+    edges = {
+        "chain": CHAIN, "cycles": CYCLES, "none": [], "dense": [(str(i), str(j)) for i in range(8) for j in range(8)],
+        "random": [(str(rnd.randrange(40)), str(rnd.randrange(40))) for _ in range(55)],
+    }[shape]
+    rounds = []
+    whole = R._round
+    monkeypatch.setattr(R, "_round", lambda df, path: rounds.append(path) or whole(df, path))
+    df = spark.createDataFrame(edges, "a string, b string")
+    want = _reached(edges)
+    assert sorted((r.a, r.b) for r in R.closure(df).collect()) == sorted(want)
+    if shape == "chain":
+        assert len(rounds) <= 9  # 70 steps: distances 1, 2, 4, ... 128, not one round each
+    starts = ["n60", "c1", "d1", "self", "1", "7", "nowhere", "1", None]
+    nodes = spark.createDataFrame([(x,) for x in starts], "node string")
+    assert sorted((r.a, r.b) for r in R.reach(df, nodes).collect()) == sorted((a, b) for a, b in want if a in starts)
+    assert sorted((r.a, r.b) for r in R.reach(df, nodes, backward=True).collect()) == sorted((a, b) for a, b in want if b in starts)
+    loops = {(x, x) for x in starts if x is not None}
+    assert {(r.a, r.b) for r in R.reach(df, nodes, at_least=0).collect()} == {(a, b) for a, b in want if a in starts} | loops
