@@ -1,6 +1,6 @@
 """Collocations from FM-indexes of shards.
 
-A shard is about a million words that one task has read. Its words are numbered, pieces of text are set apart by a separator, and an
+A shard is some million words that one task has read. Its words are numbered, pieces of text are set apart by a separator, and an
 index holds the Burrows-Wheeler transforms of the sequence and of its reverse. A phrase is an interval in each: a step to the right
 splits the interval of the reverse by the symbols in it, a step to the left that of the forward one, and the number of smaller symbols
 moves the other interval along. All intervals of a level are extended at once with numpy.
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from pagegraph.llm.common import new_folder, saved, shuffles_removed
 from pagegraph.session import removed
 
-SHARD = 1_000_000  # words of a shard; a piece of text that is longer is not cut
+SHARD = 5_000_000  # words of a shard, for which a task needs about 400 MB; a piece of text that is longer is not cut
 CHUNK = 1 << 16  # symbols of one row of a sequence
 UNKNOWN = "und"
 
@@ -58,10 +58,12 @@ class Index:
         n = len(seq)
         padded = np.concatenate([seq, np.zeros(depth + 1, dtype=seq.dtype)]).astype(np.int64)
         keys = [padded[i:i + n] << 32 | padded[i + 1:i + 1 + n] for i in range(0, depth, 2)]
-        order = np.lexsort(keys[::-1])
+        del padded
+        order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+        del keys
         bwt = seq[order - 1]
-        longer = np.empty(n, dtype=np.int64)
-        longer[np.argsort(bwt, kind="stable")] = np.arange(n)
+        longer = np.empty(n, dtype=np.int32)
+        longer[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
         return bwt, longer
 
     def words(self) -> dict[str, np.ndarray]:
@@ -78,15 +80,16 @@ class Index:
         lo, hi, other = (at["r_lo"], at["r_hi"], at["lo"]) if right else (at["lo"], at["hi"], at["r_lo"])
         n = hi - lo
         base = np.cumsum(n) - n
-        parent = np.repeat(np.arange(len(n)), n)
-        rows = np.arange(len(parent)) + (lo - base)[parent]
-        sym = bwt[rows].astype(np.int64)
-        order = np.argsort(parent * self.size + sym, kind="stable")
+        parent = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        rows = np.arange(len(parent), dtype=np.int32) + (lo - base).astype(np.int32)[parent]
+        sym = bwt[rows]
+        order = np.argsort(parent.astype(np.int64) * self.size + sym, kind="stable")
         parent, sym, rows = parent[order], sym[order], rows[order]
+        del order
         start = np.flatnonzero(np.concatenate([[True], (parent[1:] != parent[:-1]) | (sym[1:] != sym[:-1])])) if len(sym) else np.zeros(0, dtype=np.int64)
         count = np.diff(np.append(start, len(sym)))
         parent, sym, rows = parent[start], sym[start], rows[start]
-        a = longer[rows]  # of the symbol's first row in the interval: where the longer phrase begins
+        a = longer[rows].astype(np.int64)  # of the symbol's first row in the interval: where the longer phrase begins
         b = other[parent] + start - base[parent]  # symbols before it in the interval belong to smaller phrases
         real = sym > 0
         own, moved = (a[real], a[real] + count[real]), (b[real], b[real] + count[real])
