@@ -112,14 +112,14 @@ class Vocabulary:
 
 
 def vocabulary(path: str) -> Vocabulary:
-    store = worker_store()
+    store = worker_store("bpe")
     if ("bpe", path) not in store:
         store["bpe", path] = Vocabulary(path)
     return store["bpe", path]
 
 
 def _parts(path: str) -> Parts:
-    store = worker_store()
+    store = worker_store("bpe")
     if ("bpe-parts", path) not in store:
         v = vocabulary(path)
         first = next(iter(v.special), None)

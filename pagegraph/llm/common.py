@@ -45,9 +45,14 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def worker_store() -> dict:
-    """A dict that lives as long as the Python process; task functions are shipped by value, so module globals do not."""
-    return sys.__dict__.setdefault("_pagegraph_worker_store", {})
+def worker_store(owner: str) -> dict:
+    """A dict that lives as long as the Python process, or until another operator asks for its own; task functions are shipped by value, so
+    module globals do not. Workers outlive the stages of a pipeline, so what earlier operators kept would add up."""
+    held = sys.__dict__.setdefault("_pagegraph_worker_store", {})
+    if owner not in held:
+        held.clear()
+        held[owner] = {}
+    return held[owner]
 
 
 def row_key(row_id: Column, text: Column) -> Column:

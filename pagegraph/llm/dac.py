@@ -99,7 +99,7 @@ class Code:
 
 
 def _parts(path: str) -> Parts:
-    store = worker_store()
+    store = worker_store("dac")
     if ("library", path) not in store:
         import os
 

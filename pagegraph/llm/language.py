@@ -185,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", lang_o
     name = hashlib.sha256(b"".join(w.tobytes() for w in (*model.filters, model.bias, model.out, model.out_bias))).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = worker_store()
+        store = worker_store("language")
         if ("language", name) not in store:
             store["language", name] = Predictor(model)
         predictor = store["language", name]

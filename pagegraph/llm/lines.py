@@ -40,7 +40,7 @@ U = np.uint64
 
 def line_words(column: pa.Array, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows a to b of a batch's texts: hash, row and line number of every word; line ends are line feeds."""
-    store = worker_store()
+    store = worker_store("lines")
     if "words" not in store:
         store["words"] = Words()
     words = store["words"]

@@ -60,7 +60,7 @@ class Signer:
 
 def _sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a batch with the shingle hashes of their texts and how many each has."""
-    store = worker_store()
+    store = worker_store("near")
     if "words" not in store:
         store["words"] = Words()
     words = store["words"]

@@ -57,7 +57,7 @@ class Grams:
 
 
 def tools() -> tuple[Grams, Grams]:
-    store = worker_store()
+    store = worker_store("repeats")
     if "grams" not in store:
         store["grams"] = (Grams(PIECE + LENGTH), Grams(PIECE + LENGTH, OTHER, OTHER_INVERSE))
     return store["grams"]
