@@ -170,10 +170,12 @@ def pattern_filter(t):
 
 
 @query("pattern_not_exists", f"""SELECT st AS customer FROM gt a WHERE p = '{TYPE}' AND o = '{ex('Customer')}'
-  AND NOT EXISTS (SELECT 1 FROM gt b WHERE b.p = '{ex('placedBy')}' AND b.ot = a.st)""")
+  AND NOT EXISTS (SELECT 1 FROM gt b JOIN gt c ON c.st = b.st AND c.p = '{ex('status')}' AND c.o = 'P' WHERE b.p = '{ex('placedBy')}' AND b.ot = a.st)""")
 def pattern_not_exists(t):
+    """Customers without an order of status P, those without any order among them."""
     g = graph(t)
-    return P.not_exists(P.scan(g, ("?customer", TYPE, ex("Customer"))), P.scan(g, ("?order", ex("placedBy"), "?customer")))
+    orders = P.match(g, [("?order", ex("placedBy"), "?customer"), ("?order", ex("status"), TM.lit("P"))])
+    return P.not_exists(P.scan(g, ("?customer", TYPE, ex("Customer"))), orders.select("customer"))
 
 
 @query("pattern_topk", f"SELECT st AS part, ot AS name FROM gt WHERE p = '{ex('name')}' ORDER BY o DESC, ot DESC, s DESC LIMIT 25")
