@@ -60,5 +60,16 @@ def row_key(row_id: Column, text: Column) -> Column:
     return F.concat(F.coalesce(row_id.cast("string"), F.lit("~")), F.lit(":"), F.hex(F.xxhash64(text)))
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, for helper columns beside the caller's own."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def no_space(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, "")

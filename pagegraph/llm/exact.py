@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagegraph.llm.common import no_space, row_key, saved
+from pagegraph.llm.common import no_space, row_key, saved, spare
 
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1103515245, 1664525011, 1812433253, 1566083941)
@@ -203,7 +203,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_duplicates`` does not keep, columns as they were."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("rid").alias("__rid"))
+    name, = spare(docs, "rid")
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("rid").alias(name))
     rid = row_key(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    out = docs.withColumn("__rid", rid).join(kept, "__rid", "left_semi")
-    return out.dropDuplicates(["__rid"]).select(*[f"`{c}`" for c in docs.columns])
+    out = docs.withColumn(name, rid).join(kept, name, "left_semi")
+    return out.dropDuplicates([name]).select(*[f"`{c}`" for c in docs.columns])

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegraph.llm.common import saved, worker_store
+from pagegraph.llm.common import saved, spare, worker_store
 from pagegraph.llm.groups import components, runs
 from pagegraph.llm.near import block_pairs
 from pagegraph.llm.units import slices
@@ -489,8 +489,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def without_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that ``repeated_lines`` names taken out of the text, columns as they were."""
     text = F.col(f"`{text_col}`")
-    side = found.select(F.col(id_col).alias("__id"), F.col("tie").alias("__tie"), F.col("removed").alias("__removed")).distinct()
-    rows = docs.withColumn("__hash", F.xxhash64(text))
-    joined = rows.join(side, rows[id_col].eqNullSafe(side["__id"]) & (rows["__hash"] == side["__tie"]), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.size("__removed") > 0, kept).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])
+    own, tie, gone, hashed = spare(docs, "id", "tie", "removed", "hash")
+    side = found.select(F.col(id_col).alias(own), F.col("tie").alias(tie), F.col("removed").alias(gone)).distinct()
+    rows = docs.withColumn(hashed, F.xxhash64(text))
+    joined = rows.join(side, rows[id_col].eqNullSafe(side[own]) & (rows[hashed] == side[tie]), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return joined.withColumn(text_col, F.when(F.size(gone) > 0, kept).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagegraph.llm.common import WORD, row_key, saved
+from pagegraph.llm.common import WORD, row_key, saved, spare
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -107,12 +107,13 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
 def mixed(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of the mixture: each row of ``docs`` as often as it is taken, columns as they were."""
     taken = mix(docs, quality, id_col, text_col, **options)
-    rid = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.lit(":"), F.hex("tie"))
-    taken = taken.groupBy(rid.alias("__rid")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    rows = docs.withColumn("__rid", row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    key, copies, rows, nth, each = spare(docs, "rid", "copies", "rows", "nth", "each")
+    rid = F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("~")), F.lit(":"), F.hex("tie"))
+    taken = taken.groupBy(rid.alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    keyed = docs.withColumn(key, row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
     # repeated rows share a key: the copies of all are dealt out among them
-    nth = F.row_number().over(Window.partitionBy("__rid").orderBy("__rid"))
-    out = rows.join(taken.filter("__copies > 0"), "__rid").withColumn("__nth", nth)
-    mine = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("int")
-    out = out.withColumn("__n", F.explode(F.array_repeat(F.lit(0), mine.cast("int"))))
+    order = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    out = keyed.join(taken.filter(F.col(copies) > 0), key).withColumn(nth, order)
+    mine = F.floor(F.col(copies) / F.col(rows)) + (F.col(nth) <= F.col(copies) % F.col(rows)).cast("int")
+    out = out.withColumn(each, F.explode(F.array_repeat(F.lit(0), mine.cast("int"))))
     return out.select(*[f"`{c}`" for c in docs.columns])

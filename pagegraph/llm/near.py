@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagegraph.llm.common import row_key, saved, worker_store
+from pagegraph.llm.common import row_key, saved, spare, worker_store
 from pagegraph.llm.groups import components, runs
 from pagegraph.llm.units import slices
 from pagegraph.llm.words import Words, shingles
@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class of similar texts, columns as they were."""
-    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("rid").alias("__rid"))
+    name, = spare(docs, "rid")
+    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").select(F.col("rid").alias(name))
     rid = row_key(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    out = docs.withColumn("__rid", rid).join(kept, "__rid", "left_semi")
-    return out.dropDuplicates(["__rid"]).select(*[f"`{c}`" for c in docs.columns])
+    out = docs.withColumn(name, rid).join(kept, name, "left_semi")
+    return out.dropDuplicates([name]).select(*[f"`{c}`" for c in docs.columns])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagegraph.llm import exact, language, mixing, queries, warc
+from pagegraph.llm import exact, language, lines, mixing, near, queries, warc
 
 DIR = "/root/testdata/sf0.01"
 
@@ -176,3 +176,15 @@ def test_language_learns_rare_languages(spark, monkeypatch):
     rows = [(i, f"text {i}", f"l{i % 300}") for i in range(900)]
     language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
     assert seen == [Counter({f"l{k}": 1 for k in range(300)})]
+
+
+def test_columns_named_like_helpers_stay(spark):
+    names = ["rid", "RID_", "copies", "rows", "nth", "each", "id", "tie", "removed", "hash"]
+    rows = [(i, t, "a", *[f"{i}-{n}" for n in names]) for i, t in enumerate(["one two three\nfour", "one two three\nfour", "five six", ""])]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    whole = {tuple(r) for r in docs.collect()}
+    for out in (exact.drop_exact_duplicates(docs), near.drop_near_duplicates(docs), mixing.mixed(docs, share=1.0)):
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == docs.columns and got and set(got) <= whole
+    out = lines.without_lines(docs, lines.repeated_lines(docs))
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {r[2:] for r in whole}
