@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegraph.llm import bpe, exact, language, mixing, near
-from pagegraph.llm.common import saved
+from pagegraph.llm.common import saved, spare
 from pagegraph.llm.queries import held_out, quality_weights, vocab_path
 
 
 def readable_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that can be read: those without a text or a letter go, whatever language is found and whether any was learned."""
     model = language.fit(docs.filter(~held_out(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    found = language.predict(docs, model, lang_out="__lang", score_out="__score")
-    unreadable = (F.col("__lang") == language.UNKNOWN) & F.col("__score").eqNullSafe(F.lit(0.0))
+    lang, score = spare(docs, "lang_pred", "score")
+    found = language.predict(docs, model, lang_out=lang, score_out=score)
+    unreadable = (F.col(lang) == language.UNKNOWN) & F.col(score).eqNullSafe(F.lit(0.0))
     return found.filter(~unreadable).select(*docs.columns)
 
 
