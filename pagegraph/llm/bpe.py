@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegraph.llm.common import worker_store
-from pagegraph.llm.units import PATTERN, Parts, slices
+from pagegraph.llm.units import PATTERN, Parts, flat_ids, slices
 
 
 def byte_letters() -> list[str]:
@@ -124,14 +124,14 @@ def _parts(path: str) -> Parts:
         v = vocabulary(path)
         first = next(iter(v.special), None)
         assert len(v.special) <= 1, "texts are searched for one special token"
-        store["bpe-parts", path] = Parts(lambda some: [v.encode(t) for t in some], first, v.encode_whole)
+        store["bpe-parts", path] = Parts(lambda some: flat_ids([v.encode(t) for t in some]), first, v.encode_whole)
     return store["bpe-parts", path]
 
 
 def _encoded(parts: Parts, texts: pa.Array) -> pa.ListArray:
-    ids = parts.ids([t or "" for t in texts.to_pylist()])
-    ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+    ids, sizes = parts.ids(texts)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
 
 
 def _decoded(strings: pa.Array, ids: pa.ListArray) -> pa.Array:

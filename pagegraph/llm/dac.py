@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagegraph.llm.common import worker_store
-from pagegraph.llm.units import Parts, slices
+from pagegraph.llm.units import Parts, flat_ids, slices
 
 BLOCK = 64  # bytes of a bitmap per entry of its rank directory
 SEGMENT = 1 << 18  # tokens after which a segment ends with its document
@@ -112,10 +112,28 @@ def _parts(path: str) -> Parts:
         special = [x.content for x in t.get_added_tokens_decoder().values()]
         assert len(special) <= 1, "texts are searched for one special token"
 
-        def many(texts: list[str]) -> list:
+        vocabulary = t.get_vocab()
+        spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that begin with a space, which byte-level files write as \u0120
+        spaced[[i for s, i in vocabulary.items() if s.startswith("\u0120")]] = True
+
+        def alone(texts: list[str]) -> list:
             return [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
-        store["library", path] = Parts(many, special[0] if special else None, lambda x: many([x])[0])
+        def many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Words behind one space are encoded as one text: no token crosses to the next word, and the first of each begins with a space."""
+            is_word = np.array([x[0] == " " and x[1:].split() == [x[1:]] for x in texts], dtype=bool)
+            words = np.array(alone(["".join([x for x, w in zip(texts, is_word) if w])])[0], dtype=np.int32)
+            starts = np.flatnonzero(spaced[words]) if len(words) else words
+            assert len(starts) == is_word.sum(), "a word is not where its space is"
+            others, lengths = flat_ids(alone([x for x, w in zip(texts, is_word) if not w]))
+            sizes = np.empty(len(texts), dtype=np.int32)
+            sizes[is_word], sizes[~is_word] = np.diff(starts, append=len(words)), lengths
+            ids = np.empty(sizes.sum(), dtype=np.int32)
+            of_word = np.repeat(is_word, sizes)
+            ids[of_word], ids[~of_word] = words, others
+            return ids, sizes
+
+        store["library", path] = Parts(many, special[0] if special else None, lambda x: alone([x])[0])
     return store["library", path]
 
 
@@ -133,14 +151,12 @@ def write(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = _parts(vocab_path)
-        end = np.array([end_id], dtype=np.uint32).tobytes()
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
-        names, codes, n = [], [], 0
+        names, codes, sizes, n = [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            sizes = np.array([len(c) // 4 for c in codes], dtype=np.int64)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            code = pack(np.frombuffer(b"".join(codes), dtype=np.uint32))
+            starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            code = pack(np.concatenate(codes))
             ids = pa.chunked_array(names).combine_chunks()
             return pa.RecordBatch.from_arrays([
                 pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([first], pa.int64()),
@@ -152,11 +168,13 @@ def write(docs: DataFrame, path: str, vocab_path: str, id_col: str = "doc_id", t
             texts = batch.column(1)
             for a, b in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), 2_000_000):
                 names.append(batch.column(0).slice(a, b - a))
-                codes += [x + end for x in parts.ids(texts.slice(a, b - a).to_pylist())]
-                n = sum(map(len, codes)) // 4
+                ids, size = parts.ids(texts.slice(a, b - a))
+                codes.append(np.insert(ids, np.cumsum(size), end_id).view(np.uint32))
+                sizes.append(size + 1)
+                n += len(codes[-1])
                 if n >= SEGMENT:
                     yield row()
-                    segment, first, names, codes, n = segment + 1, first + n, [], [], 0
+                    segment, first, names, codes, sizes, n = segment + 1, first + n, [], [], [], 0
         if codes:
             yield row()
 
