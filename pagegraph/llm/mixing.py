@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted sampling without replacement (Efraimidis and Spirakis).
 
-A document gets the key -ln(u) / w, with u from a hash of its id and w its quality weight; the documents of a source in
+A document gets the key -ln(u) / w, with u from a hash of its id (where ids are null or shared, of its text too) and w its quality weight; the documents of a source in
 ascending order of the key are such a sample at every length. A source whose target holds k times its size gives every document
 k times; the rest is filled in the order of the keys up to the token budget.
 
@@ -58,6 +58,21 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     )
 
 
+def numbered(rows: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """``rows`` (id, source, size, tie) with the name that a row's key is made of: its id if no other row has it, else id, hash of the text and
+    a number among equal rows, so that rows sharing an id are sampled like others. Equal rows are counted before they are shuffled, and
+    dealt out again in runs of ``most``, so no task holds an id's rows at once."""
+    groups = rows.groupBy("id", "source", "size", "tie").agg(F.count("*").alias("n"))
+    often = groups.groupBy("id").agg(F.sum("n").alias("n_id")).filter("n_id > 1 and id is not null").select(F.col("id").alias("often"))
+    found = groups.join(often, groups["id"] == often["often"], "left")
+    found = found.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most))))
+    last = F.least(F.col("n"), (F.col("run") + 1) * most)
+    found = found.withColumn("nth", F.explode(F.sequence(F.col("run") * most + 1, last)))
+    shared = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("~")), F.hex("tie"), F.col("nth").cast("string"))
+    alone = F.col("id").isNotNull() & F.col("often").isNull()
+    return found.select("id", "source", "size", "tie", F.when(alone, F.col("id").cast("string")).otherwise(shared).alias("name"))
+
+
 def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
         seed: int = 7, block: int = BLOCK) -> DataFrame:
@@ -66,15 +81,15 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     ``quality`` holds (id, weight) with weights of at least 1, one row per id; ids without one weigh 2. Size counts the words
     of a text; a null text has none. Sources are weighed in the order of their names by code point, null last, by ``weights``
     in turn, and share ``share`` times all words. The document at the end of a budget is taken if that brings the source
-    nearer to its target. Rows with null or repeated ids are rows of their own; ties of the key go by id, then by a hash of
-    the text (``tie``); an empty table gives no rows. Other columns are not read.
+    nearer to its target. Rows with null or repeated ids are rows of their own, with keys of their own from id, text and number
+    among equal rows; ties of the key go by id, then by a hash of the text (``tie``); an empty table gives no rows. Other columns are not read.
     """
     text = F.col(f"`{text_col}`")
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
         F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("tie"),
     )
-    rows = saved(rows, "mix-sizes")
+    rows = numbered(saved(rows, "mix-sizes"))
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     goal = targets(totals, weights, share, epochs)
     goal = goal.withColumn("n_blocks", F.ceil(F.col("n_docs") / block).cast("long"))
@@ -87,7 +102,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
         side = side.groupBy("q_id").agg(F.max("weight").alias("weight"))
         rows = rows.join(side, rows["id"] == side["q_id"], "left").drop("q_id")
         weight = F.coalesce("weight", F.lit(2.0))
-    key = -F.log(uniform(F.coalesce(F.col("id").cast("string"), F.lit("~")), seed)) / weight
+    key = -F.log(uniform(F.col("name"), seed)) / weight
     keyed = rows.withColumn("key", key).join(goal, rows["source"].eqNullSafe(goal["of"]), "left")
     place = F.floor(F.col("n_blocks") * (1 - F.exp(-F.col("key"))))
     keyed = keyed.withColumn("block", F.least(F.col("n_blocks") - 1, place))

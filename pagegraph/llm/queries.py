@@ -37,7 +37,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = held_out(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     model = language.fit(docs.filter(~test))
     rows = docs.select("doc_id", test.alias("held_out"), "text")
-    return language.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    found = language.predict(rows, model)
+    return found.select("doc_id", "held_out", "lang_pred", F.coalesce("score", F.lit(0.0)).alias("score"))  # null: nothing was learned
 
 
 @query
