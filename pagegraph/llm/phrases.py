@@ -28,6 +28,7 @@ from pagegraph.session import removed
 
 SHARD = 5_000_000  # words of a shard, for which a task needs about 400 MB; a piece of text that is longer is not cut
 CHUNK = 1 << 16  # symbols of one row of a sequence
+KEYS = 1 << 14  # keys by which pairs are shuffled: pairs of a shard with the same key are one row
 UNKNOWN = "und"
 
 # Bytes that end a piece, bytes between words, and the small letters of A to Z.
@@ -202,7 +203,8 @@ def _squeezed(seq: np.ndarray) -> np.ndarray:
 
 
 WORDS = "shard long, nth int, part int, k long, lang string, word string, f long"
-_PAIR = pa.schema([("shard", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_PACKED = "shard long, key int, high array<long>, low array<int>, n array<int>"
+_PAIR = pa.schema([("shard", pa.int64()), ("key", pa.int32()), ("high", pa.list_(pa.int64())), ("low", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 _LONG = pa.schema([("ids", pa.list_(pa.int64())), ("n", pa.int64())])
 
 
@@ -230,8 +232,33 @@ def _table(rows: pa.Table, which: np.ndarray, *columns: str) -> list[np.ndarray]
     return [rows.column(c).to_numpy()[which].astype(np.int64) for c in columns]
 
 
+def _packed(shard: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Pairs (a, b), one row for each key (a hash of both): upper and lower parts of the two numbers, cut at 16 bits, and n.
+
+    Only the lower parts differ much; in a row pairs lie by n and upper part, so that those are runs and compress to little.
+    """
+    high, low = a >> 16 << 32 | b >> 16, ((a & 0xFFFF) << 16 | b & 0xFFFF) - (1 << 31)
+    mixed = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    keys = ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % KEYS
+    order = np.lexsort((high, np.minimum(n, 0xFFFF).astype(np.uint16), keys.astype(np.uint16)))
+    counts = np.bincount(keys, minlength=KEYS)
+    some = np.flatnonzero(counts)
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x[order].astype(t))) for x, t in ((high, np.int64), (low, np.int32), (n, np.int32))]
+    return pa.table([np.full(len(some), shard), some.astype(np.int32), *lists], schema=_PAIR)
+
+
+def _unpacked(pairs: DataFrame) -> DataFrame:
+    """Rows (shard, key, a, b, n) of packed pairs, lying together by key."""
+    rows = pairs.repartition("key").select("shard", "key", F.inline(F.arrays_zip("high", "low", "n")))
+    low = F.col("low").cast("long") + (1 << 31)
+    a = F.shiftleft(F.shiftright("high", 32), 16) + F.shiftright(low, 16)
+    b = F.shiftleft(F.col("high").bitwiseAND(0xFFFFFFFF), 16) + low.bitwiseAND(0xFFFF)
+    return rows.select("shard", "key", a.alias("a"), b.alias("b"), F.col("n").cast("long").alias("n"))
+
+
 def _pairs(key: tuple, sequence: pa.Table, words: pa.Table) -> pa.Table:
-    """Pairs of frequent words in a shard. ``words``: nth (symbol) and g (number of the word in the corpus)."""
+    """Pairs of frequent words in a shard, packed. ``words``: nth (symbol) and g (number of the word in the corpus)."""
     if not sequence.num_rows or not words.num_rows:
         return _PAIR.empty_table()
     seq = _sequence(sequence)
@@ -242,8 +269,7 @@ def _pairs(key: tuple, sequence: pa.Table, words: pa.Table) -> pa.Table:
     index = Index(_squeezed(new[seq]), 2)
     one = index.words()
     two = index.extend(one)
-    n = two["hi"] - two["lo"]
-    return pa.table([np.full(len(n), key[0].as_py()), g[one["sym"][two["parent"]] - 1], g[two["sym"] - 1], n], schema=_PAIR)
+    return _packed(key[0].as_py(), g[one["sym"][two["parent"]] - 1], g[two["sym"] - 1], two["hi"] - two["lo"])
 
 
 def _longer(depth: int):
@@ -316,8 +342,9 @@ def phrase_counts(docs: DataFrame, words: int = 4, least: int = 30, lang_col: st
     found = names.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f")
     if words > 1:
         grouped, symbols = sequences.groupBy("shard"), some.select("shard", "nth", "g")
-        pairs = grouped.cogroup(symbols.groupBy("shard")).applyInArrow(_pairs, "shard long, a long, b long, n long")
-        pairs = kept(_frequent(pairs, ["a", "b"], least), "pairs")
+        pairs = grouped.cogroup(symbols.groupBy("shard")).applyInArrow(_pairs, _PACKED)
+        # a key's rows are together already, so the sums by pair need no further shuffle
+        pairs = kept(_frequent(_unpacked(pairs), ["key", "a", "b"], least).drop("key"), "pairs")
         by_id = pairs.groupBy("a", "b").agg(F.max("f").alias("f")).select(F.array("a", "b").alias("ids"), "f")
         if words > 2:
             known = symbols.select("shard", "nth", F.col("g").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(

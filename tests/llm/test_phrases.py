@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,16 @@ def test_intervals_of_both_directions(seed):
             ranks = sorted(tuple(np.concatenate([side, np.zeros(4, dtype=np.int32)])[i:i + 4]) for i in range(len(side)))
             for x, lo in zip(names, level[at]):
                 assert list(ranks[lo][:k]) == (x[::-1] if mirrored else x)
+
+
+def test_packed_pairs_come_back(spark):
+    """Numbers beyond 32 bits, counts beyond 16, no pair at all: what a shard packs is what is counted."""
+    rng = np.random.default_rng(5)
+    a = np.sort(np.concatenate([rng.integers(0, 1 << 18, 500), rng.integers(0, 1 << 46, 500), [0, 0xFFFF, 0x8000]]))
+    b, n = rng.permutation(a), rng.choice([1, 2, 70_000, 2**31 - 1], len(a))
+    none = np.zeros(0, dtype=np.int64)
+    packed = pa.concat_tables([phrases._packed(7, a, b, n), phrases._packed(8, none, none, none)])
+    assert packed.num_rows == len(set(packed.column("key").to_pylist()))
+    rows = phrases._unpacked(spark.createDataFrame(packed.to_pylist(), phrases._PACKED)).collect()
+    assert {r.shard for r in rows} == {7}
+    assert sorted((r.a, r.b, r.n) for r in rows) == sorted(zip(a.tolist(), b.tolist(), n.tolist(), strict=True))
