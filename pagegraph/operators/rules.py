@@ -78,35 +78,100 @@ def infer_domain_range(triples: DataFrame) -> DataFrame:
     return _as_triples(by_s.unionByName(by_o).distinct().join(types, ["a", "b"], "left_anti"), T.RDF_TYPE)
 
 
-def _round(df: DataFrame, path: str) -> DataFrame:
+def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _round(df: DataFrame, path: str) -> DataFrame:
+    """What a round finds."""
+    return _kept(df, path)
+
+
+def _renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct ``a, b`` with each node that is in ``names(old, new)`` by its new name."""
+    for end in ("a", "b"):
+        new = names.select(F.col("old").alias(end), F.col("new").alias("name"))
+        pairs = pairs.join(new, end, "left").withColumn(end, F.coalesce("name", end)).drop("name")
+    return pairs.select("a", "b").distinct()
+
+
+def _composed(names: DataFrame | None, then: DataFrame) -> DataFrame:
+    """One renaming after another; a node that neither names keeps its name."""
+    if names is None:
+        return then
+    onward = then.select(F.col("old").alias("new"), F.col("new").alias("next"))
+    both = names.join(onward, "new", "left").select("old", F.coalesce("next", "new").alias("new"))
+    return both.unionByName(then.join(names.select("old"), "old", "left_anti"))
+
+
+def _merged(mutual: DataFrame, base: str) -> DataFrame | None:
+    """New names ``old, new`` under which nodes joined by the symmetric pairs ``mutual`` are one; None if there are none.
+
+    In every round a node takes the name of its first neighbour in an order that a hash deals anew, unless it comes first itself; what then
+    still differs is joined under the new names. A constant share of the names goes in each round, whatever the shape.
+    """
+    names, at = None, 0
+    mutual = _kept(mutual, f"{base}-pairs-0")
+    while not mutual.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(F.lit(at), F.col(c)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
+        first = mutual.groupBy("a").agg(F.min(order("b")).alias("m")).filter(F.col("m") < order("a"))
+        moved = _kept(first.select(F.col("a").alias("old"), F.col("m.node").alias("new")), f"{base}-moved-{at}")
+        names = _kept(_composed(names, moved), f"{base}-names-{at}")
+        at += 1
+        mutual = _kept(_renamed(mutual, moved).filter("a <> b"), f"{base}-pairs-{at}")
+    return names
+
+
 def closure(edges: DataFrame, reflexive_on: DataFrame | None = None) -> DataFrame:
     """All pairs ``a, b`` joined by a path of one or more edges.
 
     Pairs are kept with their distance d, and every round doubles the distance covered: after it all pairs up to 2 n steps apart are known.
     A shortest path of more than n and up to 2 n steps is one of exactly n and one of at most n, so a round joins only the pairs found
-    last that are exactly n apart with the known ones. That takes as many rounds as the logarithm of the longest distance, makes a pair
-    only by way of nodes n steps from its start, and ends on cycles, whose pairs have distances too. Each round is written to the shared
-    checkpoint folder, which cuts the lineage and survives the loss of executors.
+    last that are exactly n apart with the known ones. That takes as many rounds as the logarithm of the longest distance, and makes a pair
+    only by way of nodes n steps from its start.
+
+    Nodes that reach one another are one node of what is closed. Two edges back and forth show that before the first round, pairs known both
+    ways after any other; nodes so joined are merged, and the rounds begin again on the edges between merged nodes. So the inside of a
+    strongly connected part is never squared: its pairs are written out at the end, from the members of each node. A round finds all cycles
+    of up to 2 n edges at once, so there are no more new beginnings than the logarithm of the longest cycle that no shorter ones make up.
+
+    Each round is written to the shared checkpoint folder, which cuts the lineage and survives the loss of executors. Edges with a null end
+    join nothing and are left out.
     """
     spark = edges.sparkSession
     base = f"{checkpoint_dir(spark)}/closure-{uuid4().hex}"
-    step = edges.select("a", "b").distinct().withColumn("d", F.lit(1).cast("long"))
-    known = last = _round(step, f"{base}/0")
-    paths, n = [f"{base}/0"], 1
+    step = _kept(edges.select("a", "b").filter("a is not null and b is not null").distinct(), f"{base}/edges-0")
+    names, begun = None, 0
     while True:
-        # the pairs exactly n apart are among those found last
-        far = last.filter(F.col("d") == n).select("a", F.col("b").alias("m"))
-        on = known.select(F.col("a").alias("m"), "b", "d")
-        found = far.join(on, "m").groupBy("a", "b").agg((F.min("d") + n).alias("d"))
-        last = _round(found.join(known.select("a", "b"), ["a", "b"], "left_anti"), f"{base}/{len(paths)}")
-        if last.isEmpty():
+        known = last = _round(step.withColumn("d", F.lit(1).cast("long")), f"{base}/{begun}-0")
+        paths, n, moved = [f"{base}/{begun}-0"], 1, None
+        while not last.isEmpty():
+            back = known.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))
+            one_way = last.filter("a <> b").select("a", "b").join(back, ["a", "b"], "left_semi")
+            other_way = one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))
+            moved = _merged(one_way.unionByName(other_way).distinct(), f"{base}/{begun}-{len(paths)}")
+            if moved is not None:
+                break
+            # the pairs exactly n apart are among those found last; a loop leads nowhere new
+            far = last.filter((F.col("d") == n) & (F.col("a") != F.col("b"))).select("a", F.col("b").alias("m"))
+            on = known.filter("a <> b").select(F.col("a").alias("m"), "b", "d")
+            found = far.join(on, "m").groupBy("a", "b").agg((F.min("d") + n).alias("d"))
+            last = _round(found.join(known.select("a", "b"), ["a", "b"], "left_anti"), f"{base}/{begun}-{len(paths)}")
+            paths.append(f"{base}/{begun}-{len(paths)}")
+            known, n = spark.read.schema(last.schema).parquet(*paths), 2 * n
+        if moved is None:
             break
-        paths.append(f"{base}/{len(paths)}")
-        known, n = spark.read.schema(last.schema).parquet(*paths), 2 * n
+        begun += 1
+        step = _kept(_renamed(step, moved), f"{base}/edges-{begun}")
+        names = _kept(_composed(names, moved), f"{base}/names-{begun}")
+    known = known.select("a", "b")
+    if names is not None:
+        own = known.select(F.explode(F.array("a", "b")).alias("new")).distinct()
+        own = own.join(names.select(F.col("old").alias("new")), "new", "left_anti").select("new", F.col("new").alias("old"))
+        members = _kept(names.select("new", "old").unionByName(own), f"{base}/members")
+        for end in ("a", "b"):
+            known = known.join(members.select(F.col("new").alias(end), F.col("old").alias("member")), end).withColumn(end, F.col("member")).drop("member")
     known = written(known.select("a", "b"), "closure")
     removed(spark, base)
     if reflexive_on is not None:
