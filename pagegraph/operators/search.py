@@ -84,23 +84,42 @@ def words_with_tokens(words: DataFrame, tokens: DataFrame) -> DataFrame:
     return grams.join(best, "gram").filter(F.contains("word", "token")).select("word", "token").distinct()
 
 
-def match_all(passages_: DataFrame, key: str, queries: DataFrame) -> DataFrame:
-    """``query_id, key, pos, element, excerpt, score`` of every matching pair."""
-    qt = query_tokens(queries)
-    rows = written(passages_.select(
-        key, "pos", "element", excerpt(F.col("snippet")).alias("excerpt"),
+def _stored(passages_: DataFrame, key: str) -> DataFrame:
+    """Passages with a number of their own, their excerpt and its bytes, and their distinct words, written once."""
+    cut = passages_.select(key, "pos", "element", F.explode(F.array(excerpt(F.col("snippet")))).alias("excerpt"), "snippet")
+    return written(cut.select(
+        F.monotonically_increasing_id().alias("row"), key, "pos", "element", "excerpt", F.octet_length("excerpt").alias("bytes"),
         F.array_distinct(F.transform(F.split("snippet", NO_WORD), F.lower)).alias("words"),
     ), "passages")
-    said = rows.select(key, "pos", "element", "excerpt", F.explode_outer("words").alias("word")).filter("word <> ''")
-    held = words_with_tokens(said.select("word").distinct(), qt.select("token").distinct())
-    hits = said.join(held, "word").join(qt, "token")
+
+
+def _scored(rows: DataFrame, key: str, queries: DataFrame) -> DataFrame:
+    """``query_id, key, row, pos, bytes, score`` of every match of stored passages. Only numbers move; one shuffle by query and key serves
+    both sums and a ranking within them."""
+    qt = query_tokens(queries)
+    said = rows.select("row", key, "pos", "bytes", F.explode("words").alias("word")).filter("word <> ''")
+    held = written(words_with_tokens(said.select("word").distinct(), qt.select("token").distinct()), "held")
+    hits = said.join(held, "word").drop("word").join(qt, "token").repartition("query_id", key)
     # a token may be in several words of a passage but counts once
-    found = hits.groupBy("query_id", key, "pos").agg(
-        F.first("element").alias("element"), F.first("excerpt").alias("excerpt"), F.first("n_tokens").alias("n_tokens"),
-        F.collect_set(F.struct("token", "times")).alias("tokens"),
-    )
-    n_hits = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x["times"])
-    return found.select("query_id", key, "pos", "element", "excerpt", (n_hits / F.col("n_tokens")).alias("score"))
+    once = hits.groupBy("query_id", key, "row", "pos", "bytes", "n_tokens", "token").agg(F.first("times").alias("times"))
+    found = once.groupBy("query_id", key, "row", "pos", "bytes", "n_tokens").agg(F.sum("times").alias("n"))
+    return found.select("query_id", key, "row", "pos", "bytes", (F.col("n") / F.col("n_tokens")).alias("score"))
+
+
+def match_all(passages_: DataFrame, key: str, queries: DataFrame) -> DataFrame:
+    """``query_id, key, pos, element, excerpt, score`` of every matching pair."""
+    rows = _stored(passages_, key)
+    found = _scored(rows, key, queries).select("query_id", "row", "score")
+    return found.join(rows, "row").select("query_id", key, "pos", "element", "excerpt", "score")
+
+
+def search(passages_: DataFrame, key: str, queries: DataFrame, k: int = MAX_MATCHES) -> DataFrame:
+    """``query_id, key, rank, pos, element, excerpt, score``: the best ``k`` matches of every query in every key, ranked as by
+    :func:`rank_matches`. Matches are ranked by number, and only those that stay meet their text."""
+    rows = _stored(passages_, key)
+    w = Window.partitionBy("query_id", key).orderBy(F.desc("score"), "bytes", "pos")
+    best = _scored(rows, key, queries).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.select("query_id", "row", "rank", "score").join(rows, "row").select("query_id", key, "rank", "pos", "element", "excerpt", "score")
 
 
 def match_one(passages_: DataFrame, key: str, query: str) -> DataFrame:

@@ -93,8 +93,7 @@ def rank_matches(t):
     FROM scored WHERE score > 0)
   SELECT query_id, page_id, rank, element, excerpt, score FROM ranked WHERE rank <= 5""")
 def search_corpus(t):
-    m = S.match_all(S.passages(E.page_tokens(site_pages(t))), "page_id", queries_table(t))
-    return S.rank_matches(m, "query_id", "page_id").select("query_id", "page_id", "rank", "element", "excerpt", "score")
+    return S.search(S.passages(E.page_tokens(site_pages(t))), "page_id", queries_table(t)).select("query_id", "page_id", "rank", "element", "excerpt", "score")
 
 
 # --- snapshots -------------------------------------------------------------------------------

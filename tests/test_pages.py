@@ -166,3 +166,18 @@ def test_snapshot_triple_counts(spark):
     assert ("Shop", "literal", "en") in got["title"] and got["image"] == [("http://x.org/i.png", "iri", None)]
     few = TR.snapshot_triples(X.page_core(pages(spark, html), "title", "language"), only={"dcterms:title", "dcterms:language"})
     assert sorted(r.o for r in few.collect()) == ["Shop", "en"]
+
+
+def test_search_is_match_all_ranked(spark):
+    """Ties in score and length, a repeated row, a null key and words that hold a token twice: ranked by number as by text."""
+    texts = ["red red-ish redder", "red", "Red!", "blue moon", "", "the red blue", "é red", "blue", "moonred"]
+    rows = [(None if i % 7 == 6 else i % 2, i, "p", t) for i, t in enumerate(texts * 3)]
+    found = spark.createDataFrame(rows, "page_id int, pos int, element string, snippet string")
+    qs = spark.createDataFrame([(1, "red blue red"), (2, "moon"), (3, "nowhere"), (4, "")], "query_id int, query string")
+    for k in (1, 3, 100):
+        want = SR.rank_matches(SR.match_all(found, "page_id", qs), "query_id", "page_id", k=k)
+        got = SR.search(found, "page_id", qs, k=k)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    same = spark.createDataFrame([(1, 0, "p", "red"), (1, 0, "p", "red")], found.schema)
+    assert SR.search(same, "page_id", qs).count() == 2
+    assert SR.search(found.limit(0), "page_id", qs).isEmpty() and SR.search(found, "page_id", qs.limit(0)).isEmpty()
