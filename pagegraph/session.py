@@ -51,6 +51,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made(spark: SparkSession, path: str) -> None:
+    """Create a folder, wherever it lies, if it is not there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate data, wherever it lies."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

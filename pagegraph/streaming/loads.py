@@ -13,18 +13,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pagegraph.operators.extract import snapshot
 from pagegraph.operators.limits import LIMIT, WINDOW_SECONDS
 from pagegraph.operators.triples import COLUMNS, TRIPLE_SCHEMA, snapshot_triples
-from pagegraph.session import written
+from pagegraph.session import made, written
 from pagegraph.sources.pages import PAGE_SCHEMA
 
 BUCKETS = 256
 
 
 def page_stream(spark: SparkSession, folder: str, files: str = "*.parquet", per_trigger: int = 100) -> DataFrame:
-    """Pages of the parquet files of a folder, as they arrive."""
-    return (
-        spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", per_trigger).parquet(folder)
-    )
+    """Pages of the parquet files of a folder, as they arrive; a folder that ``files`` names is a table of its own files."""
+    # braces make a pattern of a plain name too: Spark takes a pattern's matches for files or folders, a plain path for a folder
+    return spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder.rstrip('/')}/{{{files}}}")
 
 
 def run_to_table(stream: DataFrame, path: str) -> DataFrame:
@@ -63,6 +61,7 @@ def load_pages(pages: DataFrame, store: str, query: str | None = None) -> None:
             new = new.join(old, same, "left_anti")
         new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
+    made(pages.sparkSession, store)  # a stream without a file runs no batch
     q = (
         pages.writeStream.foreachBatch(add).option("checkpointLocation", f"{store}-state")
         .trigger(availableNow=True).start()
