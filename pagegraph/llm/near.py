@@ -158,7 +158,8 @@ def forest_edges(classes: DataFrame, threshold: float, trees: int, depth: int, r
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a binary, b binary")
+    # the least class of a group comes first and is its root, so that groups of much the same classes give the same edges in every tree
+    return rows.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, "a binary, b binary")
 
 
 def linked(sets: list[np.ndarray], weights: np.ndarray, blocks: np.ndarray, threshold: float, across: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -142,3 +142,15 @@ def test_odd_rows(spark, odd, none):
     classes = {(r["class_id"], r["class_size"], r["rid"] if r["class_size"] == 1 else "") for r in got.collect()}
     assert got.filter("kept").count() == len(classes)
     assert near.near_duplicates(none).count() == 0 and near.drop_near_duplicates(none).count() == 0
+
+
+def test_trees_that_meet_much_the_same_classes_share_their_edges(spark):
+    """Sixty classes meet in every tree, but for those whose label differs there; the least of a tree is its root."""
+    same, rows = b"\1" * 4 * near.DEPTH, []
+    for i in range(60):
+        sig = b"".join((bytes([2, i, t, 3]) * near.DEPTH) if (i + t) % 5 == 0 else same for t in range(near.TREES))
+        rows.append((bytes([(i * 7) % 60]), bytearray(sig)))
+    classes = spark.createDataFrame(rows, "node binary, sig binary").repartition(7)
+    edges = near.forest_edges(classes, near.THRESHOLD, near.TREES, near.DEPTH, near.RECALL).filter("a <> b").distinct().collect()
+    assert {bytes(e.a)[0] for e in edges} <= {0, 1} and {bytes(e.b)[0] for e in edges} | {0} == set(range(60))
+    assert len(edges) <= 2 * 60
