@@ -6,6 +6,8 @@ shuffle).  Microdata needs containment and uses the element relation.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,15 @@ def head(toks: Column) -> Column:
     return M.tags(toks, "html", "meta", "link")
 
 
+def head_with(toks: Column, *words: str) -> Column:
+    """Those of the meta tags that may hold one of ``words`` in an attribute; a reference may spell it another way."""
+    return M.tags(F.filter(toks, lambda t: _holds(t, (*words, "&"))), "meta")
+
+
+def _holds(tok: Column, words: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(tok, F.lit(w)) for w in words])
+
+
 def _first_meta(heads: Column, name: str) -> Column:
     tag = M.first(heads, lambda h: (h["tag"] == "meta") & (M.attribute(h["attrs"], "name") == name))
     return M.attribute(tag["attrs"], "content")
@@ -155,14 +166,15 @@ def page_core(pages: DataFrame, *names: str) -> DataFrame:
     """Row-local facts of a page: ``page_id, url`` and the named ones (all by default)."""
     base = tokenized(pages).withColumn("heads", head(F.col("toks")))
     heads, toks = F.col("heads"), F.col("toks")
+    shared = len(names) != 1  # several facts parse the tags once for all; a single one only those it may be in
     facts = {
         "title": lambda: title(toks),
         "description": lambda: description(heads),
-        "keywords": lambda: keywords(heads),
+        "keywords": lambda: keywords(heads if shared else head_with(toks, "keywords")),
         "language": lambda: language(heads),
         "canonical_url": lambda: canonical(heads),
-        "open_graph": lambda: open_graph(heads),
-        "twitter_card": lambda: twitter_card(heads),
+        "open_graph": lambda: open_graph(heads if shared else head_with(toks, "og:")),
+        "twitter_card": lambda: twitter_card(heads if shared else head_with(toks, "twitter:")),
         "json_ld_count": lambda: json_ld_count(json_ld_blocks(toks)),
         "text": lambda: main_text(toks),
     }
@@ -312,7 +324,8 @@ def resource_urls(pages: DataFrame) -> DataFrame:
     """``page_id, tag, url_ref`` of script/img/iframe/link resources."""
     found = M.tags(F.col("toks"), "script", "img", "iframe", "link", "source", "embed")
     return (
-        tokenized(pages).select("page_id", F.explode(found).alias("r"))
+        # outer, or else the optimizer tokenises each page once more in a filter on the array's size
+        tokenized(pages).select("page_id", F.explode_outer(found).alias("r"))
         .select(
             "page_id", F.col("r.tag").alias("tag"),
             F.coalesce(M.attribute(F.col("r.attrs"), "src"), M.attribute(F.col("r.attrs"), "href")).alias("url_ref"),
