@@ -13,11 +13,13 @@ the first event that implies their end.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagegraph.functions import markup as M
-from pagegraph.functions.text import decode_entities
+from pagegraph.functions.text import decode_entities, let
 
 # Fixed values of the HTML standard: what ends a paragraph, what scopes list items.
 P_ENDERS = (
@@ -55,26 +57,60 @@ def _item_group(name: Column) -> Column:
     return group
 
 
-def elements(toks: DataFrame) -> DataFrame:
+def _events(toks: DataFrame, wanted: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """``page_id, n_tok, n_mark, pos, rank, name, raw, want, tok``: the tags that the ends of the wanted elements depend on.
+
+    ``rank`` counts the tokens up to this one that are not plain text, so positions in the text need no row per text token.
+    """
+
+    def ranked(x: Column, i: Column) -> Column:
+        name = M.token_name(x["tok"])
+        return F.struct(x["pos"].alias("pos"), (i + 1).alias("rank"), name.alias("name"), M.is_raw(x["tok"]).alias("raw"), x["tok"].alias("tok"))
+
+    def flagged(x: Column) -> Column:
+        opening = (x["name"] != "") & ~x["name"].startswith("/")
+        want = opening if wanted is None else F.when(opening, wanted(x["name"], x["tok"])).otherwise(F.lit(False))
+        return F.struct(*[x[c].alias(c) for c in ("pos", "rank", "name", "raw")], want.alias("want"), F.when(want, x["tok"]).alias("tok"))
+
+    def needed(marks: Column) -> Column:
+        """Tags of the wanted elements' names, what ends a paragraph or a list item if such are wanted, and raw elements."""
+        names = F.array_distinct(F.transform(F.filter(marks, lambda x: x["want"]), lambda x: x["name"]))
+
+        def keep(n: Column) -> Column:
+            item = F.arrays_overlap(n, F.array(*[F.lit(t) for t in ITEM_GROUP]))
+
+            def test(x: Column) -> Column:
+                bare = F.ltrim(x["name"], F.lit("/"))
+                in_list = item & bare.isin(*LISTS, *ITEM_GROUP)
+                ends_p = F.array_contains(n, "p") & x["name"].isin(*P_ENDERS, *P_CLOSERS)
+                return x["raw"] | F.array_contains(n, bare) | ends_p | in_list
+
+            return F.when(F.size(n) > 0, F.filter(marks, test))
+
+        return let(names, keep)
+
+    indexed = F.transform("toks", lambda t, i: F.struct((i + 1).alias("pos"), t.alias("tok")))
+    marks = F.transform(F.filter(indexed, lambda x: x["tok"].rlike("^<[a-zA-Z/!?]") & (x["tok"] != "</")), ranked)
+
+    def page(m: Column) -> Column:
+        tags = F.transform(F.filter(m, lambda x: x["name"] != ""), flagged)
+        return F.struct(F.size(m).alias("n_mark"), (tags if wanted is None else let(tags, needed)).alias("tags"))
+
+    # outer, or else the optimizer tokenises each page once more in a filter on the array's size
+    one = toks.select("page_id", F.size("toks").alias("n_tok"), F.explode_outer(F.array(let(marks, page))).alias("m"))
+    return one.select("page_id", "n_tok", "m.n_mark", F.explode_outer("m.tags").alias("x")).filter("x is not null").select(
+        "page_id", "n_tok", "n_mark", "x.*")
+
+
+def elements(toks: DataFrame, wanted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``page_id, pos, tag, attrs, end_pos, t_from, t_to`` from :func:`page_tokens`.
 
     The element holds the tokens ``pos .. end_pos``; its text is the text
-    tokens numbered ``t_from+1 .. t_to`` of the page.
+    tokens numbered ``t_from+1 .. t_to`` of the page.  ``wanted`` tells by the
+    name and the source of an opening tag which elements are asked for; only
+    tags that their ends depend on become rows.
     """
-    ev = toks.select(
-        "page_id",
-        F.size("toks").alias("n_tok"),
-        # outer, or else the optimizer tokenises each page once more in a filter on the array's size
-        F.posexplode_outer("toks").alias("p0", "tok"),
-    ).filter("tok is not null").select(
-        "page_id",
-        "n_tok",
-        (F.col("p0") + 1).alias("pos"),
-        M.token_name(F.col("tok")).alias("name"),
-        M.is_raw(F.col("tok")).alias("raw"),
-        M.is_text(F.col("tok")).cast("int").alias("is_text"),
-        F.when(F.col("tok").rlike("^<[a-zA-Z]"), F.col("tok")).alias("tok"),
-    )
+    ev = _events(toks, wanted)
     page = Window.partitionBy("page_id").orderBy("pos")
     so_far = page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = (
@@ -85,14 +121,14 @@ def elements(toks: DataFrame) -> DataFrame:
     bare = F.regexp_replace(name, "^/", "")
     step = F.when(name.startswith("/"), -1).otherwise(1)
     list_step = F.when(bare.isin(*LISTS), step).otherwise(0)
+    raws = F.col("raw").cast("int")
     ev = ev.select(
         "*",
-        F.sum("is_text").over(so_far).alias("t_to_here"),
+        (F.col("pos") - F.col("rank") + F.sum(raws).over(so_far)).alias("t_to_here"),
         F.sum(list_step).over(so_far).alias("list_level"),
-        F.sum("is_text").over(Window.partitionBy("page_id")).alias("n_text"),
+        (F.col("n_tok") - F.col("n_mark") + F.sum(raws).over(Window.partitionBy("page_id"))).alias("n_text"),
     )
-    # tags only from here on
-    ev = ev.filter(name != "").withColumn("bare", bare)
+    ev = ev.withColumn("bare", bare)
     by_tag = (
         Window.partitionBy("page_id", "bare").orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -139,7 +175,7 @@ def elements(toks: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("partner", page_end))
     )
     return (
-        ev.filter(~name.startswith("/"))
+        ev.filter("want")
         .withColumn("end", end)
         .select(
             "page_id",

@@ -187,27 +187,50 @@ def microdata_properties(elems: DataFrame, toks: DataFrame) -> DataFrame:
     Every itemprop inside an itemscope belongs to it, nested scopes included;
     the item element itself does not.
     """
-    from pagegraph.operators.elements import with_text
-
+    attrs = F.col("attrs")
     marked = elems.select(
         "page_id", "pos", "end_pos", "t_from", "t_to",
-        M.attribute(F.col("attrs"), "itemscope").isNotNull().alias("is_item"),
-        F.coalesce(M.attribute(F.col("attrs"), "itemtype"), F.lit("")).alias("item_type"),
-        M.attribute(F.col("attrs"), "itemprop").alias("prop"),
-    )
-    items = marked.filter("is_item").select(
-        "page_id", F.col("pos").alias("item_pos"), F.col("end_pos").alias("item_end"), "item_type"
+        M.attribute(attrs, "itemscope").isNotNull().alias("is_item"),
+        F.coalesce(M.attribute(attrs, "itemtype"), F.lit("")).alias("item_type"),
+        M.attribute(attrs, "itemprop").alias("prop"),
     )
-    props = with_text(marked.filter("prop is not null"), toks, "", "value").select(
-        "page_id", F.col("pos").alias("prop_pos"), "prop", "value"
-    )
-    return items.join(
-        props,
-        (items.page_id == props.page_id)
-        & (props.prop_pos > items.item_pos)
-        & (props.prop_pos < items.item_end),
-        "left",
-    ).select(items.page_id, "item_pos", "item_type", "prop", "value", "prop_pos")
+    # the marked elements of a page meet its texts as one row; both sides are partitioned by page_id
+    row = F.struct("pos", "end_pos", "t_from", "t_to", "is_item", "item_type", "prop")
+    spans = marked.groupBy("page_id").agg(F.collect_list(F.when(F.col("is_item") | F.col("prop").isNotNull(), row)).alias("spans"))
+    spans = spans.filter(F.exists("spans", lambda x: x["is_item"]))
+    page = toks.select("page_id", M.texts(F.col("toks")).alias("page_texts"))
+
+    def prop(x: Column) -> Column:
+        words = F.slice("page_texts", x["t_from"] + 1, F.greatest(x["t_to"] - x["t_from"], F.lit(0)))
+        return F.struct(x["prop"].alias("prop"), decode_entities(F.array_join(words, "")).alias("value"), x["pos"].alias("prop_pos"))
+
+    def of_items(props: Column) -> Column:
+        def of_item(i: Column) -> Column:
+            def line(p: Column) -> Column:
+                return F.struct(i["pos"].alias("item_pos"), i["item_type"].alias("item_type"), p["prop"].alias("prop"), p["value"].alias("value"), p["prop_pos"].alias("prop_pos"))
+
+            none = F.array(F.lit(None).cast("struct<prop:string,value:string,prop_pos:int>"))
+            inside = F.filter(props, lambda p: (p["prop_pos"] > i["pos"]) & (p["prop_pos"] < i["end_pos"]))
+            return F.transform(let(inside, lambda x: F.when(F.size(x) > 0, x).otherwise(none)), line)
+
+        return F.flatten(F.transform(F.filter("spans", lambda x: x["is_item"]), of_item))
+
+    props = F.transform(F.filter("spans", lambda x: x["prop"].isNotNull()), prop)
+    rows = spans.join(page, "page_id").select("page_id", F.explode_outer(let(props, of_items)).alias("row"))
+    return rows.select("page_id", "row.*")
+
+
+def microdata(pages: DataFrame) -> DataFrame:
+    """:func:`microdata_properties` of pages: only those that spell the mark of an item are cut, only marked elements found."""
+    from pagegraph.operators.elements import elements, page_tokens
+
+    toks = page_tokens(pages.filter(F.col("html").rlike("(?i)itemscope")))
+    return microdata_properties(elements(toks, may_be_marked), toks)
+
+
+def may_be_marked(name: Column, tok: Column) -> Column:
+    """Opening tags that may hold microdata: an attribute's name is spelt as it is."""
+    return tok.rlike("(?i)itemscope|itemprop")
 
 
 def microdata_summary(props: DataFrame) -> DataFrame:
@@ -235,11 +258,9 @@ def snapshot(
         pages = by_page(pages)
     core = page_core(pages)
     toks = page_tokens(pages, clustered=True)
-    elems = elements(toks)
-    marked = F.exists("attrs", lambda a: a["name"].isin("itemscope", "itemprop"))
+    elems = elements(toks, may_be_marked if query is None else lambda n, t: may_be_marked(n, t) | search.is_passage_tag(n, t))
     matches = None
-    wanted = marked if query is None else marked | F.col("tag").isin(*search.PASSAGE_TAGS)
-    elems = written(elems.filter(wanted), "elements")
+    elems = written(elems, "elements")
     if query is not None:
         found = search.match_one(search.passages(toks, elems), "page_id", query)
         matches = search.rank_matches(found, "page_id", k=k)

@@ -44,9 +44,14 @@ def sentences(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, "x.pos", F.lit("text").alias("element"), "x.snippet")
 
 
+def is_passage_tag(name: Column, tok: Column) -> Column:
+    """Opening tags of passages, for ``elements``."""
+    return name.isin(*PASSAGE_TAGS)
+
+
 def passages(toks: DataFrame, elems: DataFrame | None = None) -> DataFrame:
     """``page_id, pos, element, snippet``: headings, paragraphs and list items of pages."""
-    wanted = (E.elements(toks) if elems is None else elems).filter(F.col("tag").isin(*PASSAGE_TAGS))
+    wanted = E.elements(toks, is_passage_tag) if elems is None else elems.filter(F.col("tag").isin(*PASSAGE_TAGS))
     text = E.with_text(wanted.select("page_id", "pos", "tag", "t_from", "t_to"), toks, " ")
     return (
         text.select("page_id", "pos", F.col("tag").alias("element"), normalize_whitespace(F.col("text")).alias("snippet"))

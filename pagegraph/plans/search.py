@@ -153,7 +153,7 @@ def page_summary(t):
 def parse_result(t):
     pages = E.by_page(site_pages(t))
     toks = E.page_tokens(pages, clustered=True)
-    items = X.microdata_summary(X.microdata_properties(E.elements(toks), toks)).groupBy("page_id").agg(
+    items = X.microdata_summary(X.microdata_properties(E.elements(toks, X.may_be_marked), toks)).groupBy("page_id").agg(
         F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.struct("item_pos", "item_type"))).alias("i"))
     blocks = X.json_ld_strict(pages)
     joined = X.page_core(pages, "title").join(items, "page_id", "left").join(blocks, "page_id", "left")
