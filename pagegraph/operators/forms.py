@@ -33,6 +33,16 @@ THRESHOLD_TENTHS = 3
 FORM_TAGS = ("form", "input", "textarea", "select", "button", "label")
 
 
+def may_hold_form(html: Column) -> Column:
+    """Pages that spell a tag of a form: others have no such element."""
+    return html.rlike("(?i)<(?:" + "|".join(FORM_TAGS) + ")")
+
+
+def is_form_tag(name: Column, tok: Column) -> Column:
+    """Opening tags that form analysis reads, for ``elements``."""
+    return name.isin(*FORM_TAGS)
+
+
 def form_elements(elems: DataFrame) -> DataFrame:
     """The elements form analysis reads: a small part of a page, written once as it is read several times."""
     return written(elems.filter(F.col("tag").isin(*FORM_TAGS)), "form-elements")

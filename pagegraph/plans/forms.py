@@ -12,8 +12,8 @@ HINTS = ["email", "user", "name", "message", "search", "pw", "zip"]
 
 
 def base(t):
-    toks = E.page_tokens(site_pages(t))
-    return FM.form_elements(E.elements(toks)), toks
+    toks = E.page_tokens(site_pages(t).filter(FM.may_hold_form(F.col("html"))))
+    return FM.form_elements(E.elements(toks, FM.is_form_tag)), toks
 
 
 def fields(t):
