@@ -12,10 +12,9 @@ from pagegraph.operators.triples import COLUMNS, triple
 from pagegraph.session import checkpoint_dir, removed, written
 
 
-def _iri_edges(triples: DataFrame, p: str) -> DataFrame:
-    return triples.filter((F.col("p") == p) & (F.col("o_kind") == "iri")).select(
-        F.col("s").alias("a"), F.col("o").alias("b")
-    ).distinct()
+def _iri_edges(triples: DataFrame, p: str, parts: int | None = None) -> DataFrame:
+    pairs = triples.filter((F.col("p") == p) & (F.col("o_kind") == "iri")).select(F.col("s").alias("a"), F.col("o").alias("b"))
+    return (pairs.repartition(parts, "a", "b") if parts else pairs).distinct()
 
 
 def _as_triples(pairs: DataFrame, p: str) -> DataFrame:
@@ -38,23 +37,26 @@ def infer_subproperty(triples: DataFrame) -> DataFrame:
     return _one_step(triples, T.SUBPROPERTY)
 
 
-def infer_types(triples: DataFrame, added_classes: DataFrame | None = None) -> DataFrame:
+def infer_types(triples: DataFrame, added_classes: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """New type triples of one hop up the class hierarchy.
 
     ``added_classes``: subclass triples inferred before, if any.  Instances are
     reduced to (instance, class) first; the class side is a schema, small next
-    to the data, and AQE ships it.
+    to the data, and AQE ships it.  Instances are dealt into ``parts`` (the
+    session's shuffle partitions if not given): AQE goes by compressed sizes,
+    and names compress so well that it would leave most of them to one task.
     """
-    types = _iri_edges(triples, T.RDF_TYPE)
+    parts = parts or int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    types = _iri_edges(triples, T.RDF_TYPE, parts)
     up = _iri_edges(triples, T.SUBCLASS)
     if added_classes is not None:
         up = up.unionByName(added_classes.select(F.col("s").alias("a"), F.col("o").alias("b")))
     up = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    found = types.join(up, "b").select("a", F.col("c").alias("b")).distinct()
+    found = types.join(up, "b").select("a", F.col("c").alias("b")).repartition(parts, "a", "b").distinct()
     return _as_triples(found.join(types, ["a", "b"], "left_anti"), T.RDF_TYPE)
 
 
-def infer_rules(triples: DataFrame) -> DataFrame:
+def infer_rules(triples: DataFrame, parts: int | None = None) -> DataFrame:
     """The graph after subclass, subproperty and type rules, each seeing the last.
 
     Takes a set and returns a set: every rule yields distinct triples that the
@@ -63,7 +65,7 @@ def infer_rules(triples: DataFrame) -> DataFrame:
     """
     classes = infer_subclass(triples)
     properties = infer_subproperty(triples)
-    types = infer_types(triples, classes)
+    types = infer_types(triples, classes, parts)
     return triples.select(*COLUMNS).unionByName(classes).unionByName(properties).unionByName(types)
 
 

@@ -9,7 +9,7 @@ from pagegraph.operators import patterns as P
 from pagegraph.operators import rules as R
 from pagegraph.operators import triples as TR
 from pagegraph.plans import duck as D
-from pagegraph.plans.inputs import EX, NS_RDFS, ORDERS_GRAPH, TYPE, graph
+from pagegraph.plans.inputs import EX, NS_RDFS, ORDERS_GRAPH, TYPE, graph, graph_parts
 from pagegraph.plans.registry import CTES, query
 from pagegraph.sources import triples as ST
 
@@ -373,7 +373,8 @@ def infer_types(t):
   g2 AS (SELECT s, p, o FROM g1 UNION ({_step_sql(NS_RDFS + 'subPropertyOf', 'g1')}))
   SELECT s, p, o FROM g2 UNION ({_types_sql('g2')})""")
 def infer_rules(t):
-    return R.infer_rules(graph(t)).select("s", "p", "o").distinct()
+    parts = graph_parts(t)
+    return R.infer_rules(graph(t), parts).select("s", "p", "o").repartition(parts, "s", "p", "o").distinct()
 
 
 @query("transitive_closure", f"""WITH RECURSIVE up AS (SELECT s, o FROM graph WHERE p = '{NS_RDFS}subClassOf'),

@@ -161,6 +161,19 @@ def graph(t: Tables) -> DataFrame:
     return t.spark.sql(text, **{name: getattr(t, name) for name in tables})
 
 
+TRIPLES_OF_A_PART = 500_000
+
+
+def graph_parts(t: Tables) -> int:
+    """Partitions for a shuffle of the whole graph: the session's, or as many as leave each about half a million triples.
+
+    Row counts come from the footers of the tables.
+    """
+    rows = {name: getattr(t, name).count() for name in sorted({f[0] for f in FACTS})}
+    triples = sum(rows[f[0]] for f in FACTS)
+    return max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), -(-triples // TRIPLES_OF_A_PART))
+
+
 # --- queries, query log, requests, tokens ----------------------------------------------------
 
 # One query per kind of part, and one per sentence-like item of the benchmark table.

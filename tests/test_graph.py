@@ -40,6 +40,19 @@ def test_types_follow_classes(spark):
     assert pairs(out) == {("Fido", "Dog"), ("Fido", "Mammal"), ("Fido", "Animal")}
 
 
+def test_instances_stay_dealt(spark):
+    rows = [(f"n{i}", T.RDF_TYPE, "Dog") for i in range(500)] + [("Dog", T.SUBCLASS, "Mammal"), ("n7", T.RDF_TYPE, "Mammal")]
+    for threshold in ("10485760", "-1"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            out = R.infer_types(graph(spark, *rows), parts=5)
+            held = [len(x) for x in out.select("s").rdd.glom().collect()]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert sum(held) == 499 and len(held) == 5 and max(held) < 250
+
+
 @settings(max_examples=3, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from("abcd")), min_size=1, max_size=6))
 def test_inference_only_adds(spark, edges):
