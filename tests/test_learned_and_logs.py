@@ -106,6 +106,48 @@ def test_bio_golden(spark):
     assert got == [("Alice", "PER", .92), ("Example Corp", "ORG", .86), ("London", "LOC", .81)]
 
 
+def test_bio_against_loop(spark):
+    rng, rows, texts, want = random.Random(5), [], {}, set()
+    labels = ["O", "B-PER", "I-PER", "I-LOC", "B-LOC", "E-LOC", "E-PER", "S-ORG", "X", "B", None]
+    for key in [*range(40), None]:
+        n = rng.choice([1, 2, 7, 60])
+        texts[key] = "".join(rng.choice("ab é\u3000") for _ in range(2 * n))
+        body, spans, opened = texts[key].encode(), [], None
+        for pos in range(n):
+            a = rng.randrange(len(body))
+            lab, b, special = rng.choice(labels), a + rng.randrange(4), rng.choice([False, False, False, True, None])
+            share = rng.choice([0.25, 0.5, 1.0, float("nan"), float("inf"), None])
+            rows.append((key, pos, a, b, lab, share, special))
+            tag = lab[0] if lab and lab[1:2] == "-" and special is False and a < b else None
+            if tag in ("I", "E") and opened == lab[2:]:
+                spans[-1][2] = max(spans[-1][2], b)
+                spans[-1][4].append(share)
+            elif tag:
+                spans.append([pos, a, b, lab[2:], [share]])
+            opened = lab[2:] if tag in ("B", "I") else None
+        for pos, a, b, kind, shares in spans if key is not None else []:
+            good = [x for x in shares if x is not None and np.isfinite(x)]
+            try:
+                text = body[a:b].decode().strip()
+            except UnicodeDecodeError:
+                continue
+            if text:
+                want.add((key, pos, text, kind, round(sum(good) / max(len(good), 1), 6)))
+    rng.shuffle(rows)
+    t = spark.createDataFrame(rows, "k int, pos int, start int, end int, label string, confidence double, is_special boolean")
+    d = spark.createDataFrame(list(texts.items()), "k int, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = N.decode_bio(t, d, "k")
+        got = [(r.k, r.first_pos, r.text, r.entity_type, round(r.confidence, 6)) for r in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(set(got)) and set(got) == want
+    # tokens are sorted once and not aggregated row by row; a text becomes bytes once
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortAggregate" not in plan and "Window" not in plan and plan.count("cast(text") <= 1
+
+
 def test_name_runs_respect_unicode_words(spark):
     d = spark.createDataFrame([(1, "éAbc Abcé Zed. John Smith works at Microsoft in New York City")], "doc_id int, text string")
     assert [r.text for r in N.regex_entities(d, "doc_id").collect()] == ["Zed", "John Smith", "Microsoft", "New York City"]
