@@ -29,7 +29,8 @@ VOID_TAGS = (
 def token_pattern(possessive: bool) -> str:
     """The token expression; Java gets possessive loops (no recursion, no backtracking)."""
     p = "+" if possessive else ""
-    attrs = rf"""(?:"[^"]*{p}"|'[^']*{p}'|[^'">])*{p}"""
+    run = "++" if possessive else ""
+    attrs = rf"""(?:"[^"]*{p}"|'[^']*{p}'|[^'">]{run})*{p}"""
     raw = "|".join(
         rf"<{t}(?:[\s/]{attrs})?>.*?(?:</{t}\s*>|\z)" for t in RAW_TAGS
     )
@@ -41,6 +42,15 @@ def token_pattern(possessive: bool) -> str:
 
 
 TOKEN = token_pattern(possessive=True)
+_ATTRS = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++)*+"""
+_SCRIPT = rf"<script(?:[\s/]{_ATTRS})?>"
+_OTHER_RAW = "|".join(rf"<{t}(?:[\s/]{_ATTRS})?>.*?(?:</{t}\s*>|\z)" for t in RAW_TAGS[1:])
+# All that comes before a script element, and that element (nothing at the end of the page). Texts and tags, the most frequent, are tried first;
+# a raw-text element is no mere tag. What is passed over begins and ends with tokens, and any character begins one, so no place is tried twice.
+TO_SCRIPT = (
+    rf"(?is)(?:[^<]++|<(?!(?:{'|'.join(RAW_TAGS)})[\s/>])/?[a-z]{_ATTRS}>|<!--.*?(?:-->|\z)|{_OTHER_RAW}|<[!?][^>]*+>|(?!{_SCRIPT})<)*+"
+    rf"({_SCRIPT}.*?(?:</script\s*>|\z)|\z)"
+)
 RAW_TOKEN = r"(?i)^<(?:" + "|".join(RAW_TAGS) + r")[\s/>]"
 RAW_BODY = (
     r"""(?is)^<[a-z]+(?:"[^"]*"|'[^']*'|[^'">])*>(.*?)(?:</(?:"""
@@ -55,6 +65,11 @@ def tokens(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
 
 
+def script_tokens(html: Column) -> Column:
+    """Those of ``tokens`` that are script elements, without strings of the others."""
+    return F.filter(F.regexp_extract_all(html, F.lit(TO_SCRIPT), F.lit(1)), lambda t: t != "")
+
+
 def token_name(tok: Column) -> Column:
     """``div`` for an opening tag, ``/div`` for a closing one, '' for anything else."""
     return F.lower(F.regexp_extract(tok, NAME, 1))

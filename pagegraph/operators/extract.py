@@ -144,9 +144,14 @@ def json_ld_count(blocks: Column, keep_null: bool = False) -> Column:
     return F.size(valid)
 
 
+def json_ld(pages: DataFrame) -> DataFrame:
+    """``pages`` with their JSON-LD blocks as ``b``; only script elements are cut out."""
+    return pages.withColumn("b", json_ld_blocks(M.script_tokens(F.col("html"))))
+
+
 def json_ld_strict(pages: DataFrame) -> DataFrame:
     """``page_id, ok, n_blocks``: one invalid block fails the whole page."""
-    blocks = tokenized(pages).select("page_id", json_ld_blocks(F.col("toks")).alias("b"))
+    blocks = json_ld(pages).select("page_id", "b")
     ok = F.size(json_ld_valid(F.col("b"))) == F.size("b")
     return blocks.select(
         "page_id", ok.alias("ok"), F.when(ok, F.size("b")).alias("n_blocks"),

@@ -1,6 +1,7 @@
 """Pages: tokens, extraction, microdata, forms, validation."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,3 +182,22 @@ def test_search_is_match_all_ranked(spark):
     same = spark.createDataFrame([(1, 0, "p", "red"), (1, 0, "p", "red")], found.schema)
     assert SR.search(same, "page_id", qs).count() == 2
     assert SR.search(found.limit(0), "page_id", qs).isEmpty() and SR.search(found, "page_id", qs.limit(0)).isEmpty()
+
+
+def test_script_elements_are_those_of_the_tokens(spark):
+    rng = random.Random(11)
+    parts = ["<script>", "<SCRIPT type='a>b'>", "<script", "<script/>", "<scripts>", '<script"x">', "</script>", "</script >", "<style>", "</style>", "<title>",
+             "</title>", "<textarea a=\"<script>\">", "</textarea>", "<!--", "-->", "<!x", "<?y", ">", "<", "</", "< 5 ", "<p a='", "'", '"', "<b>", "</b>", "t\n", "é", "<1", "/"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(6000)] + ["", "<p>" * 50_000, "< " * 50_000]
+    df = spark.createDataFrame([(p,) for p in pages], "html string").repartition(4)
+    want = F.filter(M.tokens(F.col("html")), lambda t: t.rlike(r"(?i)^<script[\s/>]"))
+    got = df.select("html", want.alias("want"), M.script_tokens(F.col("html")).alias("got"))
+    assert got.filter("size(want) > 0").count() > 1000
+    assert [r.html for r in got.filter("want <> got").limit(3).collect()] == []
+
+
+def test_json_ld_makes_no_strings_of_other_tokens(spark):
+    df = spark.createDataFrame([(1, "<p>a<script type='application/ld+json'>{}</script><script>x</script>")], "page_id int, html string")
+    out = X.json_ld_strict(df)
+    assert [tuple(r) for r in out.collect()] == [(1, True, 1, "{}")]
+    assert M.TOKEN not in out._jdf.queryExecution().optimizedPlan().toString()
