@@ -33,6 +33,24 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges (a, b) connect, one for each node but the smallest of its part."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[:len(a)], place[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        open_ = p != q
+        if not open_.any():
+            break
+        x, y, p, q = x[open_], y[open_], p[open_], q[open_]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+    others = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[others]], nodes[others]
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a, b): node, label, the label being the smallest node.
 

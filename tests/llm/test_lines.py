@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from pagegraph.llm import lines, queries
+from pagegraph.llm.groups import spanning
 from tests_order import order
 
 
@@ -159,3 +160,72 @@ def test_blocks_go_by_the_words_of_lines(spark, monkeypatch):
     monkeypatch.setattr(lines, "later_sets", spy)
     assert found(lines.repeated_lines(df, shared=2000)) == brute(rows)
     assert seen == [8]
+
+
+def test_similar_sets_share_a_part():
+    rng = np.random.default_rng(5)
+    for threshold in (0.5, 0.8, 0.9):
+        met = 0
+        for n in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 33, 64, 100, 127, 128, 500):
+            for _ in range(30):
+                a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+                b = np.unique(np.concatenate([a[rng.random(n) > rng.random() * 0.3], rng.integers(0, 1 << 62, rng.integers(0, n // 5 + 2), dtype=np.uint64)]))
+                common = len(np.intersect1d(a, b))
+                if not len(b) or np.array_equal(a, b) or common < threshold * (len(a) + len(b) - common) - 1e-9:
+                    continue
+                h = np.concatenate([a, b])
+                part, of, i = lines.shared_parts(h, np.array([0, len(a), len(h)]), (h % np.uint64(50)).astype(np.int16), threshold)
+                x, y = (dict(zip(part[of == k].tolist(), i[of == k].tolist())) for k in (0, 1))
+                d = lines.differing(len(a), len(b), threshold)
+                assert any(x[k] <= d and y[k] <= d for k in x.keys() & y.keys())
+                met += 1
+        assert met > 20
+
+
+def test_orders_by_leading_bits_are_whole():
+    rng = np.random.default_rng(8)
+    h = rng.integers(0, 1 << 62, 1000, dtype=np.uint64)
+    h[500:] = h[:500] ^ np.uint64(1)  # differ in the last bit only
+    owner, times = rng.integers(0, 3, 1000), rng.integers(0, 3, 1000)
+    assert (lines.rarest_first(h, times, owner) == np.lexsort((h, times, owner))).all()
+    assert (lines.rarest_first(h[:500], times[:500], owner[:500]) == np.lexsort((h[:500], times[:500], owner[:500]))).all()
+
+
+def test_spanning_edges_connect_the_same():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 50, 400):
+        a, b = rng.integers(0, 1000, n), rng.integers(0, 1000, n)
+        x, y = spanning(a, b)
+
+        def parts(a, b):
+            label = {int(k): {int(k)} for k in a}
+            for p, q in zip(a.tolist(), b.tolist()):
+                both = label.setdefault(p, {p}) | label.setdefault(q, {q})
+                label.update(dict.fromkeys(both, both))
+            return {frozenset(s) for s in label.values() if len(s) > 1}
+
+        assert parts(a, b) == parts(x, y)
+        assert len(x) == sum(len(s) - 1 for s in parts(a, b))
+
+
+def test_near_copies_are_connected_without_all_pairs(spark, monkeypatch):
+    # 200 sets that are all similar: 19,900 pairs
+    words = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"x{i}"])) for i in range(200)]
+    counts, components = [], lines.components
+    monkeypatch.setattr(lines, "components", lambda edges, tag: counts.append(edges.count()) or components(edges, tag))
+    assert found(lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert 199 <= counts[0] < 4000
+
+
+def test_long_lines_meet_shorter_ones(spark):
+    # sets of about 64 words have bitmaps of one number or of two; some parts are of many sets
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(70)]
+    rows = []
+    for i in range(80):
+        some = rng.sample(words, rng.randrange(54, 71)) + [f"x{rng.randrange(40)}"] * rng.randrange(2)
+        rows.append((i, "\n".join([" ".join(some), "v1 v2 v3 v4 x" + str(i % 3)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(lines.repeated_lines(df)) == brute(rows)
+    assert found(lines.repeated_lines(df, meeting=4)) == brute(rows)
