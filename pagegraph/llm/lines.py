@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ LARGE = 256  # lines of a group above which its lines are first compared with a
 LEADERS = 32
 MEETING = 4096  # sets of a part that one task compares with as many others
 SHARED = 2_000_000  # words of a block in the exact comparison
+SLICE = 500_000  # bytes of text whose words are sorted together; these stay in a core's cache
+FEW = 4  # sets of a group that are compared pair by pair
 RANGE = 4096  # counters of the frequency table in one row
 BUCKETS = 1 << 12
 PACKED = 1 << 20  # records that a task packs, or compares, at a time
@@ -114,7 +117,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            for a, b in slices(sizes_of(batch.column(2)), 1_000_000):
+            for a, b in slices(sizes_of(batch.column(2)), SLICE):
                 h, cuts, row, line = line_sets(batch.column(2), a, b)
                 if not len(h):
                     continue
@@ -271,7 +274,7 @@ def packed_parts(docs: DataFrame, rare, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, held, total = rare.value, {3: [], 4: []}, {3: 0, 4: 0}
         for batch in batches:
-            for a, b in slices(sizes_of(batch.column(0)), 1_000_000):
+            for a, b in slices(sizes_of(batch.column(0)), SLICE):
                 h, cuts, _, _ = line_sets(batch.column(0), a, b)
                 if not len(h):
                     continue
@@ -527,6 +530,13 @@ def _with_end(batches: Iterator[pa.RecordBatch]):
 def earlier_links(sets: list[np.ndarray], order: np.ndarray, blocks: np.ndarray, threshold: float, across: bool) -> np.ndarray:
     """Which sets are similar to one of lower ``order``; see ``near.linked`` for the way of counting."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
+    if n <= FEW:
+        out = np.zeros(n, dtype=bool)
+        for i, j in combinations(range(n), 2):
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= threshold * (sizes[i] + sizes[j] - common) - 1e-9 and not (across and blocks[i] == blocks[j]):
+                out[i if order[i] > order[j] else j] = True
+        return out
     owner = np.repeat(np.arange(n), sizes)
     items, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     in_core = counts * 2 > n
@@ -578,7 +588,7 @@ def later_sets(wanted: DataFrame, texts: DataFrame, threshold: float) -> DataFra
                 out += asked
                 pieces += [parts[x["line"]] for x in asked]
             some = pa.array(pieces, pa.large_binary())
-            for a, b in slices(sizes_of(some), 1_000_000):
+            for a, b in slices(sizes_of(some), SLICE):
                 h, cuts, _, _ = line_sets(some, a, b)  # each of these lines has words
                 keep, own = pa.array(at[a:b], pa.int64()), out[a:b]
                 items = [h[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
@@ -651,7 +661,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = known.join(late, "node").select(F.col("first").alias("spot"))
     gone = marked.union(copies.select("spot"))
     per_text = gone.select("spot.*").groupBy("id", "tie").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    sizes = texts.select("id", "tie", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).alias("n_lines"))
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    sizes = texts.select("id", "tie", F.when(F.col("text").isNull(), 0).otherwise(feeds + 1).alias("n_lines"))
     same = sizes["id"].eqNullSafe(per_text["id"]) & (sizes["tie"] == per_text["tie"])
     return sizes.join(per_text, same, "left").select(
         sizes["id"].alias(id_col), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), sizes["tie"],
